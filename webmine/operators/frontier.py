@@ -27,6 +27,8 @@ def admit_frontier(candidates: DataFrame, visited: DataFrame | None, rules: Data
         c = c.join(visited.select(url).distinct(), url, "left_anti")
     c = c.withColumn("host", F.lower(U.url_hostname(F.col(url)))).where(F.col("host") != "")
     c = c.where(~U.is_trapped(U.url_path(F.col(url))))
+    # the candidate set feeds three joins (host verdicts, semi join, alias groups): materialise it once
+    c = cut_lineage(c.select(seq, url, "host"))
     c = filter_scope(c, rules, "host")
     return collapse_query_aliases(c.select(seq, url, "host"), alias_scope, url, seq)
 
@@ -71,17 +73,13 @@ def next_frontier(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame
     Edges of all pages (L7) become queue-form candidates; stored pages are visited and their hosts are scope
     includes (as seeds would be). Returns the admitted URLs with their first linking page and link count.
     """
-    spark = pages.sparkSession
     edges = build_link_edges(pages)
-    cand = edges.select(
-        F.col("src_page_id").alias("seq"), U.clean_url(F.col("dst_url")).alias("url")
-    )
+    cand = cut_lineage(edges.select(F.col("src_page_id").alias("seq"), U.clean_url(F.col("dst_url")).alias("url")))
     visited = pages.select(U.clean_url(F.col("url")).alias("url"))
     seed_hosts = pages.select(F.lit("include").alias("action"), F.lower(U.url_hostname(F.col("url"))).alias("pattern"))
     all_rules = seed_hosts if rules is None else seed_hosts.unionByName(rules)
     admitted = admit_frontier(cand, visited, all_rules)
     counts = cand.groupBy("url").agg(F.count(F.lit(1)).alias("n_links"))
-    del spark
     return admitted.join(counts, "url").select(
         "url", "host", F.col("seq").alias("first_src_page_id"), "n_links"
     )
@@ -97,7 +95,7 @@ def expand_frontier(seeds: DataFrame, pages: DataFrame, rules: DataFrame, max_ro
     prep = prepare_seeds(seeds)
     seed_rules = prep.select(F.lit("include").alias("action"), F.col("host").alias("pattern"))
     all_rules = rules.unionByName(seed_rules)
-    store = U.with_canonical(pages.select("page_id", "url", "html", U.clean_url(F.col("url")).alias("_q")), "_q", "key").drop("_q")
+    store = U.with_canonical(pages.select("page_id", "url", "html", U.clean_url(F.col("url")).alias("queue_url")), "queue_url", "key").drop("queue_url")
     frontier = prep.select(U.clean_url(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0))
     frontier = filter_scope(frontier.withColumn("host", F.lower(U.url_hostname(F.col("url")))), all_rules, "host")
     frontier = cut_lineage(frontier.select("url", "depth"))
@@ -105,7 +103,7 @@ def expand_frontier(seeds: DataFrame, pages: DataFrame, rules: DataFrame, max_ro
     for depth in range(1, max_rounds + 1):
         fetched = U.with_canonical(frontier.select("url"), "url", "key").join(store.drop("url"), "key")
         edges = build_link_edges(fetched.select("page_id", "url", "html"))
-        cand = edges.select(F.col("src_page_id").alias("seq"), U.clean_url(F.col("dst_url")).alias("url"))
+        cand = cut_lineage(edges.select(F.col("src_page_id").alias("seq"), U.clean_url(F.col("dst_url")).alias("url")))
         admitted = admit_frontier(cand, visited.select("url"), all_rules)
         nxt = cut_lineage(admitted.select("url", F.lit(depth).alias("depth")))
         if nxt.limit(1).count() == 0:
