@@ -12,10 +12,6 @@ from .links import build_link_edges
 from .scope import filter_scope
 from .urls import collapse_query_aliases
 
-# Largest wordlist we broadcast for discovery (the crawler's own has 1,022 lines).
-MAX_BROADCAST_WORDS = 1_000_000
-
-
 def admit_frontier(candidates: DataFrame, visited: DataFrame | None, rules: DataFrame, alias_scope: str = "path",
                    url: str = "url", seq: str = "seq") -> DataFrame:
     """first occurrence of each URL that has a host, is in scope, is unvisited, not a trap and not redundant.
@@ -49,19 +45,23 @@ def visited_hosts(prepared_seeds: DataFrame) -> DataFrame:
     return prepared_seeds.select(F.col("hostname").alias("host")).where(F.col("host") != "").distinct()
 
 
-def discover_paths(hosts: DataFrame, wordlist: DataFrame, visited: DataFrame | None = None) -> DataFrame:
+def discover_paths(hosts: DataFrame, wordlist: DataFrame, visited: DataFrame | None = None,
+                   words_per_bucket: int = 1000) -> DataFrame:
     """every host x word x {https, http}, one leading '/' trimmed; unvisited. Returns ``(url, queue_url)``.
 
-    The output is hosts x words by definition; the distinct wordlist (configuration, 1,022 lines in the crawler) is
-    broadcast after a size check so the product is built map-side per host partition.
+    The output is hosts x words by definition. It is built as an equi-join, not a cross join: each distinct word gets
+    one salt in [0, k) and each (host, scheme) row is repeated for every salt, so every pair meets exactly once and the
+    product is spread over k join keys (k grows with the wordlist, ~``words_per_bucket`` words per key). A small
+    wordlist side is broadcast by Spark's own size check; nothing is collected.
     """
     words = wordlist.select(F.regexp_replace("path", r"^/", "").alias("word")).distinct()
-    n = words.limit(MAX_BROADCAST_WORDS + 1).count()
-    if n > MAX_BROADCAST_WORDS:
-        raise ValueError(f"wordlist has more than {MAX_BROADCAST_WORDS} distinct entries")
-    schemes = F.array(F.lit("https"), F.lit("http"))
-    prod = hosts.select("host", F.explode(schemes).alias("scheme")).crossJoin(F.broadcast(words))
-    out = prod.select(F.concat("scheme", F.lit("://"), "host", F.lit("/"), "word").alias("url"))
+    n_words = words.count()
+    k = max(1, -(-n_words // words_per_bucket))
+    w = words.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(k)).cast("int"))
+    h = hosts.select(
+        "host", F.explode(F.array(F.lit("https"), F.lit("http"))).alias("scheme"),
+    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    out = h.join(w, "salt").select(F.concat("scheme", F.lit("://"), "host", F.lit("/"), "word").alias("url"))
     if visited is not None:
         out = out.join(visited.select("url").distinct(), "url", "left_anti")
     return out.distinct().select("url", U.clean_url(F.col("url")).alias("queue_url"))

@@ -6,8 +6,10 @@ rather than "earlier kept", which is order-free (differs only when A~B, B~C and
 
 Plan: exact copies are grouped first (hash of the body), so only one representative per group reaches the
 near-duplicate stage. Representatives get shingle hashes and a MinHash signature from an Arrow-batched pandas UDF
-(numpy inside, one call per batch), the signature is cut into bands, candidates come from an equi-join on
-(host, band, band hash), and every candidate is verified with the exact Jaccard on the shingle-hash sets (JVM side).
+(numpy inside, one call per batch), the signature is cut into bands, and each (host, band, band hash) bucket is
+searched leader-first: a body is verified against the bucket's smallest id, and only when that leader is not similar
+against the other earlier members below the best match so far. A cluster of near-copies therefore costs one
+comparison per member, not all pairs. Verification is the exact Jaccard on the shingle-hash sets (JVM side).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from ..functions import urls as U
 from ..functions.patterns import BODY_SIMILARITY_CUT
 from ..session import cut_lineage
 
-N_BANDS, ROWS_PER_BAND = 16, 4  # P(candidate | J=0.97) = 1 - (1 - 0.97^4)^16 > 1 - 1e-15
+N_BANDS, ROWS_PER_BAND = 24, 8  # P(miss | J=0.97) = (1 - 0.97^8)^24 < 1e-15; P(candidate | J=0.5) < 0.1
 _NUM_HASHES = N_BANDS * ROWS_PER_BAND
 _rng = np.random.default_rng(20240611)
 _A = (_rng.integers(1, 2**63 - 1, size=_NUM_HASHES, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -94,28 +96,42 @@ def similar_bodies(bodies: DataFrame, group: str = "host", cut: int = BODY_SIMIL
         .select("page_id", "grp", "s.sh", "s.bands")
     )
     banded = sig.select("page_id", "grp", F.posexplode("bands").alias("band", "bh"))
-    a, b = banded.alias("a"), banded.alias("b")
-    cand = (
-        a.join(b, [F.col("a.grp") == F.col("b.grp"), F.col("a.band") == F.col("b.band"), F.col("a.bh") == F.col("b.bh")])
-        .where(F.col("a.page_id") < F.col("b.page_id"))
-        .select(F.col("a.grp").alias("grp"), F.col("a.page_id").alias("x"), F.col("b.page_id").alias("y"))
-        .distinct()
+    bucket = ["grp", "band", "bh"]
+    sh = sig.select("page_id", "sh")
+
+    def verify(cand: DataFrame) -> DataFrame:
+        """Keep candidate pairs (x < y) whose exact shingle Jaccard is >= cut (integer arithmetic)."""
+        v = cand.join(sh.select(F.col("page_id").alias("x"), F.col("sh").alias("shx")), "x").join(
+            sh.select(F.col("page_id").alias("y"), F.col("sh").alias("shy")), "y"
+        )
+        inter = F.size(F.array_intersect("shx", "shy"))
+        union = F.size("shx") + F.size("shy") - inter
+        return v.where((F.size("shx") > 0) & (F.lit(100) * inter >= F.lit(cut) * union)).select("x", "y")
+
+    # Phase A: every body meets only the leader (smallest id) of each of its buckets — no all-pairs per bucket.
+    leaders = banded.groupBy(*bucket).agg(F.min("page_id").alias("leader"))
+    member = banded.join(leaders, bucket).where(F.col("page_id") > F.col("leader"))
+    pa = verify(member.select(F.col("leader").alias("x"), F.col("page_id").alias("y")).distinct())
+    best_a = pa.groupBy("y").agg(F.min("x").alias("best"))
+    # Phase B: only where a bucket's leader is not similar, look at the other earlier members of that bucket below the
+    # best match found so far. Together A and B give the smallest similar earlier body among all LSH candidates.
+    open_ = (
+        member.join(pa.withColumnRenamed("x", "leader").withColumnRenamed("y", "page_id"), ["leader", "page_id"], "left_anti")
+        .join(best_a.withColumnRenamed("y", "page_id"), "page_id", "left")
+        .select(*bucket, F.col("page_id").alias("y"), "leader", "best")
     )
-    shx = sig.select(F.col("page_id").alias("x"), F.col("sh").alias("shx"))
-    shy = sig.select(F.col("page_id").alias("y"), F.col("sh").alias("shy"))
-    v = cand.join(shx, "x").join(shy, "y")
-    inter = F.size(F.array_intersect("shx", "shy"))
-    union = F.size("shx") + F.size("shy") - inter
-    pairs = v.where((F.size("shx") > 0) & (F.lit(100) * inter >= F.lit(cut) * union)).select("grp", "x", "y")
-    # smallest similar representative of each representative, either direction
-    both = pairs.select("grp", F.col("x").alias("r"), F.col("y").alias("o")).unionByName(
-        pairs.select("grp", F.col("y").alias("r"), F.col("x").alias("o"))
+    others = banded.select(*bucket, F.col("page_id").alias("x"))
+    cb = open_.join(others, bucket).where(
+        (F.col("x") > F.col("leader")) & (F.col("x") < F.col("y")) & (F.col("best").isNull() | (F.col("x") < F.col("best")))
     )
-    min_sim = both.groupBy("r").agg(F.min("o").alias("ms"))
-    rep_rows = min_sim.where(F.col("ms") < F.col("r")).select(F.col("r").alias("page_id"), F.col("ms").alias("similar_to"))
+    pb = verify(cb.select("x", "y").distinct())
+    first = pa.unionByName(pb).groupBy("y").agg(F.min("x").alias("first"))
+    rep_rows = first.select(F.col("y").alias("page_id"), F.col("first").alias("similar_to"))
     dups = exact.where(F.col("dup_of").isNotNull()).select("page_id", "dup_of")
-    dup_rows = dups.join(min_sim.withColumnRenamed("r", "dup_of"), "dup_of", "left").select(
-        "page_id", F.least(F.col("dup_of"), F.coalesce(F.col("ms"), F.col("dup_of"))).alias("similar_to")
+    # an exact copy of representative A is similar to A and to whatever A is similar to; the smallest of those is
+    # A's own first similar body when A has one, else A
+    dup_rows = dups.join(first.withColumnRenamed("y", "dup_of"), "dup_of", "left").select(
+        "page_id", F.coalesce(F.col("first"), F.col("dup_of")).alias("similar_to")
     )
     grp = exact.select("page_id", "grp")
     return rep_rows.unionByName(dup_rows).join(grp, "page_id").select("page_id", "grp", "similar_to")
