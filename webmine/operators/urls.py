@@ -50,6 +50,24 @@ def _with_query_info(df: DataFrame, url: str) -> DataFrame:
     ).withColumn("_pairs", F.when(F.col("_q") != "", query_pairs(F.col("_q"))))
 
 
+def _global_rank(df: DataFrame, order: str, out: str) -> DataFrame:
+    """Dense 1-based ranks of distinct ``order`` values without a single-partition window: range-partition, number rows
+    within each partition, add the row counts of the partitions before it (a table with one row per partition)."""
+    from pyspark.sql import Window
+
+    from ..session import cut_lineage
+
+    parted = cut_lineage(df.repartitionByRange(order).withColumn("_pid", F.spark_partition_id()))
+    local = parted.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(order)))
+    counts = parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    offsets = counts.select(
+        "_pid", (F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off")
+    )
+    return local.join(F.broadcast(offsets), "_pid").select(
+        *df.columns, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).cast("bigint").alias(out)
+    )
+
+
 def collapse_query_aliases(df: DataFrame, scope: str = "path", url: str = "url", seq: str = "seq") -> DataFrame:
     """U5 (scope='path') and U6 (scope='global').
 
@@ -90,18 +108,23 @@ def collapse_query_aliases(df: DataFrame, scope: str = "path", url: str = "url",
         (F.size(F.array_except("_s", "_m")) == 0) & (F.size(F.array_intersect("_e", "_nv")) == 0)
     )
     best_s = cand.groupBy("_s", "_e").agg(F.min("_tmin").alias("_sup_min"))
-    # keys with only empty-valued names: the earliest map with no non-empty value for any of them.
+    # Keys with only empty-valued names E: the earliest map with no non-empty value for any name of E. Maps get
+    # distributed global ranks by first seq; the blocked (E, map) pairs come from an equi-join on the name, and the
+    # answer is the smallest rank that is 1 or follows a blocked rank without being blocked itself.
     ke = keys.where(F.size("_s") == 0)
-    n_ke = ke.limit(100001).count()
-    if n_ke > 100000:
-        raise ValueError("too many distinct empty-valued name sets to broadcast")
-    best_e = (
-        tv.select("_tmin", "_nv")
-        .join(F.broadcast(ke), F.size(F.array_intersect(F.col("_e"), F.col("_nv"))) == 0)
-        .groupBy("_s", "_e")
-        .agg(F.min("_tmin").alias("_sup_min"))
-    ) if n_ke else None
-    best = best_s if best_e is None else best_s.unionByName(best_e)
+    ranked = _global_rank(tv.select("_tmin", "_nv"), "_tmin", "_rank")
+    blocked = (
+        ke.select("_s", "_e", F.explode("_e").alias("_n"))
+        .join(ranked.select("_rank", F.explode("_nv").alias("_n")), "_n")
+        .select("_s", "_e", "_rank")
+        .distinct()
+    )
+    cands = ke.select("_s", "_e", F.lit(1).cast("bigint").alias("_rank")).unionByName(
+        blocked.select("_s", "_e", (F.col("_rank") + 1).alias("_rank"))
+    )
+    first_free = cands.join(blocked, ["_s", "_e", "_rank"], "left_anti").groupBy("_s", "_e").agg(F.min("_rank").alias("_rank"))
+    best_e = first_free.join(ranked.select("_rank", "_tmin"), "_rank").select("_s", "_e", F.col("_tmin").alias("_sup_min"))
+    best = best_s.unionByName(best_e)
     t = t.join(best, ["_s", "_e"], "left")
     redundant_g = redundant | (
         (F.col("_q") != "") & F.col("_pairs").isNotNull() & F.coalesce(F.col("_sup_min") < F.col(seq), F.lit(False))
