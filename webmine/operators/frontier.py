@@ -26,7 +26,12 @@ def admit_frontier(candidates: DataFrame, visited: DataFrame | None, rules: Data
     # the candidate set feeds three joins (host verdicts, semi join, alias groups): materialise it once
     c = cut_lineage(c.select(seq, url, "host"))
     c = filter_scope(c, rules, "host")
-    return collapse_query_aliases(c.select(seq, url, "host"), alias_scope, url, seq)
+    # visited URLs count as earlier than every candidate for the query-alias check, then are dropped again
+    alias_in = c.select(seq, url)
+    if visited is not None:
+        alias_in = visited.select(F.lit(-1).cast("bigint").alias(seq), url).distinct().unionByName(alias_in)
+    kept = collapse_query_aliases(alias_in, alias_scope, url, seq).where(F.col(seq) >= 0)
+    return kept.join(c.select(url, "host"), url).select(seq, url, "host")
 
 
 def seed_robots(urls: DataFrame, visited: DataFrame | None = None, url: str = "url") -> DataFrame:
