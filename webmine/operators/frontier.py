@@ -25,7 +25,8 @@ def admit_frontier(candidates: DataFrame, visited: DataFrame | None, rules: Data
     c = c.where(~U.is_trapped(U.url_path(F.col(url))))
     # the candidate set feeds three joins (host verdicts, semi join, alias groups): materialise it once
     c = cut_lineage(c.select(seq, url, "host"))
-    c = filter_scope(c, rules, "host")
+    # scoped candidates feed the alias check and the join back: materialise once so the verdict plan runs once
+    c = cut_lineage(filter_scope(c, rules, "host"))
     # visited URLs count as earlier than every candidate for the query-alias check, then are dropped again
     alias_in = c.select(seq, url)
     if visited is not None:
