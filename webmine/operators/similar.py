@@ -111,7 +111,7 @@ def similar_bodies(bodies: DataFrame, group: str = "host", cut: int = BODY_SIMIL
     # Phase A: every body meets only the leader (smallest id) of each of its buckets — no all-pairs per bucket.
     leaders = banded.groupBy(*bucket).agg(F.min("page_id").alias("leader"))
     member = banded.join(leaders, bucket).where(F.col("page_id") > F.col("leader"))
-    pa = verify(member.select(F.col("leader").alias("x"), F.col("page_id").alias("y")).distinct())
+    pa = cut_lineage(verify(member.select(F.col("leader").alias("x"), F.col("page_id").alias("y")).distinct()))
     best_a = pa.groupBy("y").agg(F.min("x").alias("best"))
     # Phase B: only where a bucket's leader is not similar, look at the other earlier members of that bucket below the
     # best match found so far. Together A and B give the smallest similar earlier body among all LSH candidates.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.patterns import BAD_ESCAPE
+from ..session import cut_lineage
 
 SEP = "\u0001"
 
@@ -55,8 +56,6 @@ def _global_rank(df: DataFrame, order: str, out: str) -> DataFrame:
     within each partition, add the row counts of the partitions before it (a table with one row per partition)."""
     from pyspark.sql import Window
 
-    from ..session import cut_lineage
-
     parted = cut_lineage(df.repartitionByRange(order).withColumn("_pid", F.spark_partition_id()))
     local = parted.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(order)))
     counts = parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -88,6 +87,8 @@ def collapse_query_aliases(df: DataFrame, scope: str = "path", url: str = "url",
     t = t.withColumn("_m", F.array_sort(F.transform(F.col("_pairs"), enc))).withColumn(
         "_s", F.array_sort(F.transform(F.filter("_pairs", lambda x: x["v"] != ""), enc))
     ).withColumn("_e", F.array_sort(F.transform(F.filter("_pairs", lambda x: x["v"] == ""), lambda x: x["k"])))
+    # parsed once: feeds the distinct maps, the distinct keys and the final join
+    t = cut_lineage(t)
     withq = t.where(F.col("_pairs").isNotNull())
     # distinct first-value maps of URLs with a query, with their earliest seq
     tv = withq.groupBy("_m").agg(F.min(seq).alias("_tmin")).withColumn(
@@ -112,6 +113,8 @@ def collapse_query_aliases(df: DataFrame, scope: str = "path", url: str = "url",
     # distributed global ranks by first seq; the blocked (E, map) pairs come from an equi-join on the name, and the
     # answer is the smallest rank that is 1 or follows a blocked rank without being blocked itself.
     ke = keys.where(F.size("_s") == 0)
+    if ke.limit(1).count() == 0:
+        return _drop_redundant(t.join(best_s, ["_s", "_e"], "left"), redundant, seq, df.columns)
     ranked = _global_rank(tv.select("_tmin", "_nv"), "_tmin", "_rank")
     blocked = (
         ke.select("_s", "_e", F.explode("_e").alias("_n"))
@@ -125,8 +128,11 @@ def collapse_query_aliases(df: DataFrame, scope: str = "path", url: str = "url",
     first_free = cands.join(blocked, ["_s", "_e", "_rank"], "left_anti").groupBy("_s", "_e").agg(F.min("_rank").alias("_rank"))
     best_e = first_free.join(ranked.select("_rank", "_tmin"), "_rank").select("_s", "_e", F.col("_tmin").alias("_sup_min"))
     best = best_s.unionByName(best_e)
-    t = t.join(best, ["_s", "_e"], "left")
+    return _drop_redundant(t.join(best, ["_s", "_e"], "left"), redundant, seq, df.columns)
+
+
+def _drop_redundant(t: DataFrame, redundant: Column, seq: str, cols: list[str]) -> DataFrame:
     redundant_g = redundant | (
         (F.col("_q") != "") & F.col("_pairs").isNotNull() & F.coalesce(F.col("_sup_min") < F.col(seq), F.lit(False))
     )
-    return t.where(~redundant_g).select(*df.columns)
+    return t.where(~redundant_g).select(*cols)
