@@ -51,9 +51,10 @@ def _one(text: str):
     with np.errstate(over="ignore"):
         sh = (th[:-2] * _C1) ^ ((th[1:-1] * _C2) >> np.uint64(1)) ^ (th[2:] + _C1)
         sh = np.unique(sh)
-        mins = np.empty(_NUM_HASHES, dtype=np.uint64)
-        for i in range(_NUM_HASHES):
-            mins[i] = (sh * _A[i] + _B[i]).min()
+        mins = np.full(_NUM_HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
+        for lo in range(0, len(sh), 4096):  # bounded memory: 4096 x hashes at a time
+            block = sh[lo:lo + 4096, None] * _A[None, :] + _B[None, :]
+            mins = np.minimum(mins, block.min(axis=0))
         bands = mins.reshape(N_BANDS, ROWS_PER_BAND)
         bh = np.zeros(N_BANDS, dtype=np.uint64)
         for j in range(ROWS_PER_BAND):
@@ -91,8 +92,10 @@ def similar_bodies(bodies: DataFrame, group: str = "host", cut: int = BODY_SIMIL
     exact = cut_lineage(exact_body_groups(bodies, group))
     reps = exact.where(F.col("dup_of").isNull()).select("page_id", "grp")
     texts = _prepare(bodies, group).select("page_id", F.lower("text").alias("text"))
+    n_parts = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sig = cut_lineage(
-        reps.join(texts, "page_id").select("page_id", "grp", shingle_signature("text").alias("s"))
+        reps.join(texts, "page_id").repartition(n_parts, "page_id")
+        .select("page_id", "grp", shingle_signature("text").alias("s"))
         .select("page_id", "grp", "s.sh", "s.bands")
     )
     banded = sig.select("page_id", "grp", F.posexplode("bands").alias("band", "bh"))

@@ -286,7 +286,7 @@ def frontier_rounds(spark, sf):
 
 @q("frontier_next")
 def frontier_next(spark, sf):
-    return FR.next_frontier(X.pages(spark, sf)).select(
+    return FR.next_frontier(X.pages(spark, sf, spread=True)).select(
         "url", "host", _big("first_src_page_id").alias("first_src_page_id"), _big("n_links").alias("n_links")
     )
 

@@ -54,3 +54,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder; survives executor loss (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_rows(df: DataFrame, key: str = "page_id") -> DataFrame:
+    """Spread CPU-heavy per-row work (regexes over bodies, MinHash) over all cores.
+
+    When a scan yields fewer partitions than the session has cores (one large row group, say), hash-partition by
+    ``key``; with many splits (the cluster case) the scan's own partitions are kept and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
