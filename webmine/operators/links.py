@@ -44,7 +44,8 @@ def extract_robots(bodies: DataFrame, body: str = "body") -> DataFrame:
         return F.regexp_replace(v, ROBOTS_EXTENSION, "/")
 
     paths = F.array_distinct(F.filter(F.transform(vals, clean), lambda p: F.octet_length(p) > 1))
-    return bodies.select("page_id", F.posexplode(paths).alias("pos", "path"))
+    others = [c for c in bodies.columns if c != body]
+    return bodies.select(*others, F.posexplode(paths).alias("pos", "path"))
 
 
 def route_bodies(pages: DataFrame) -> DataFrame:
@@ -54,9 +55,8 @@ def route_bodies(pages: DataFrame) -> DataFrame:
     """
     is_robots = F.col("url").endswith("robots.txt")
     robots = extract_robots(pages.where(is_robots).select("page_id", "url", F.col("html").alias("body"))).select(
-        "page_id", F.lit("robots").alias("kind"), "pos", F.col("path").alias("raw")
+        "page_id", "url", F.lit("robots").alias("kind"), "pos", F.col("path").alias("raw")
     )
-    robots = robots.join(pages.where(is_robots).select("page_id", "url"), "page_id")
     html = extract_links(pages.where(~is_robots)).select("page_id", "url", F.lit("html").alias("kind"), "pos", "raw")
     return html.unionByName(robots.select("page_id", "url", "kind", "pos", "raw"))
 
@@ -126,15 +126,17 @@ def build_link_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def host_outdegree(edges: DataFrame) -> DataFrame:
-    """Per source host, edges and distinct targets."""
+def host_outdegree(edges: DataFrame, approx: bool = False) -> DataFrame:
+    """Per source host, edges and distinct targets (``approx=True``: HyperLogLog++ sketch, constant memory)."""
+    distinct = F.approx_count_distinct("dst_url") if approx else F.count_distinct("dst_url")
     return (
         edges.select(F.lower(U.url_hostname("src_url")).alias("host"), "dst_url")
         .groupBy("host")
-        .agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("dst_url").alias("n_targets"))
+        .agg(F.count(F.lit(1)).alias("n_edges"), distinct.alias("n_targets"))
     )
 
 
-def url_indegree(edges: DataFrame) -> DataFrame:
-    """Per target URL, linking pages."""
-    return edges.groupBy("dst_url").agg(F.count_distinct("src_page_id").alias("indegree"))
+def url_indegree(edges: DataFrame, approx: bool = False) -> DataFrame:
+    """Per target URL, linking pages (``approx=True``: HyperLogLog++ sketch)."""
+    distinct = F.approx_count_distinct("src_page_id") if approx else F.count_distinct("src_page_id")
+    return edges.groupBy("dst_url").agg(distinct.alias("indegree"))

@@ -44,8 +44,7 @@ def _seeds(spark, sf):
 
 
 def _prepared(spark, sf):
-    s = _seeds(spark, sf)
-    return IO.prepare_seeds(s).join(s.select("seed", "page_id", "pos"), "seed").dropDuplicates(["page_id", "pos"])
+    return IO.prepare_seeds(_seeds(spark, sf))
 
 
 def _visited(spark, sf):
@@ -113,9 +112,7 @@ def wordlist_clean(spark, sf):
 @q("result_lines")
 def result_lines(spark, sf):
     res = H.resolve_redirects(X.fetch_log(spark, sf))
-    return IO.result_lines(res).join(res.select("request_url", "page_id"), "request_url").select(
-        _big("page_id").alias("page_id"), "line"
-    )
+    return IO.result_lines(res).select(_big("page_id").alias("page_id"), "line")
 
 
 @q("params_json")

@@ -62,15 +62,17 @@ def prepare_seeds(seeds: DataFrame, prefer_http: bool = False, col: str = "seed"
     hostname = U.url_hostname(u)
     default_port = ((sch == "https") & (port == "443")) | ((sch == "http") & (port == "80"))
     url = F.when(default_port, F.concat(sch, F.lit("://"), hostname)).otherwise(u)
+    others = [c for c in seeds.columns if c not in (col, "url", "host", "hostname")]
     return seeds.select(
-        s.alias("seed"), url.alias("url"), U.url_hostport(u).alias("host"), hostname.alias("hostname")
+        *others, s.alias("seed"), url.alias("url"), U.url_hostport(u).alias("host"), hostname.alias("hostname")
     )
 
 
 def result_lines(results: DataFrame) -> DataFrame:
     """IO5 line format ``"<status> <request_url>"`` (the status filter does not apply to the file)."""
     return results.select(
-        F.concat_ws(" ", F.col("status_code").cast("string"), F.col("request_url")).alias("line"), "request_url"
+        F.concat_ws(" ", F.col("status_code").cast("string"), F.col("request_url")).alias("line"), "request_url",
+        *[c for c in ("page_id",) if c in results.columns],
     )
 
 
