@@ -49,9 +49,21 @@ def run_available(stream: DataFrame, name: str, output_mode: str = "append") ->
     return spark.read.parquet(out + "/data")
 
 
-def stream_dedupe_urls(urls: DataFrame, url: str = "url") -> DataFrame:
-    """Admit each canonical URL once (state store keeps the seen keys)."""
-    c = U.with_canonical(urls.select(url), url, "canonical_url").where(F.col("canonical_url").isNotNull())
+def stream_dedupe_urls(urls: DataFrame, url: str = "url", event_time: str | None = None,
+                       delay: str = "1 hour") -> DataFrame:
+    """Admit each canonical URL once.
+
+    Without an event time the state store keeps every seen key (the crawler's unbounded visited set). With
+    ``event_time`` the state is bounded: duplicates are dropped within the watermark ``delay`` and older keys are
+    evicted (``dropDuplicatesWithinWatermark``).
+    """
+    cols = [url] + ([event_time] if event_time else [])
+    c = U.with_canonical(urls.select(*cols), url, "canonical_url").where(F.col("canonical_url").isNotNull())
+    if event_time:
+        return (
+            c.select("canonical_url", event_time).withWatermark(event_time, delay)
+            .dropDuplicatesWithinWatermark(["canonical_url"])
+        )
     return c.select("canonical_url").dropDuplicates(["canonical_url"])
 
 
