@@ -9,10 +9,10 @@ from ..functions import urls as U
 from ..session import cut_lineage
 from ..sources.io import prepare_seeds
 from .links import build_link_edges
-from .scope import filter_scope
+from .scope import ScopeRules, filter_scope, prepare_rules
 from .urls import collapse_query_aliases
 
-def admit_frontier(candidates: DataFrame, visited: DataFrame | None, rules: DataFrame, alias_scope: str = "path",
+def admit_frontier(candidates: DataFrame, visited: DataFrame | None, rules: DataFrame | ScopeRules, alias_scope: str = "path",
                    url: str = "url", seq: str = "seq") -> DataFrame:
     """first occurrence of each URL that has a host, is in scope, is unvisited, not a trap and not redundant.
 
@@ -100,7 +100,7 @@ def expand_frontier(seeds: DataFrame, pages: DataFrame, rules: DataFrame, max_ro
     """
     prep = prepare_seeds(seeds)
     seed_rules = prep.select(F.lit("include").alias("action"), F.col("host").alias("pattern"))
-    all_rules = rules.unionByName(seed_rules)
+    all_rules = prepare_rules(cut_lineage(rules.unionByName(seed_rules)))  # once for every round
     store = U.with_canonical(pages.select("page_id", "url", "html", U.clean_url(F.col("url")).alias("queue_url")), "queue_url", "key").drop("queue_url")
     frontier = prep.select(U.clean_url(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0))
     frontier = filter_scope(frontier.withColumn("host", F.lower(U.url_hostname(F.col("url")))), all_rules, "host")

@@ -10,6 +10,8 @@ no non-equi join is needed. The verdict is joined back on host (AQE splits a hot
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,34 @@ def _suffixes(host):
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))
 
 
-def host_verdicts(hosts: DataFrame, rules: DataFrame, host: str = "host") -> DataFrame:
-    """``(host, included, excluded, in_scope)`` for each distinct host."""
+@dataclass(frozen=True)
+class ScopeRules:
+    """Normalised rules plus the two facts the plan needs (distinct bare-word lengths, whether includes exist).
+
+    Build once with ``prepare_rules`` and reuse across rounds of a loop: each build runs two small actions on the
+    rules table (a configuration table, not data).
+    """
+
+    rules: DataFrame
+    bare_lengths: tuple[int, ...]
+    has_includes: bool
+
+
+def prepare_rules(rules: DataFrame | ScopeRules) -> ScopeRules:
+    if isinstance(rules, ScopeRules):
+        return rules
     r = normalize_rules(rules)
+    bare = r.where(~F.col("pattern").contains("."))
+    # distinct lengths of bare words: at most the longest host name (253), whatever the number of rules
+    lengths = tuple(sorted(row[0] for row in bare.select(F.length("pattern")).distinct().collect()))
+    has_includes = r.where(F.col("action") == "include").limit(1).count() > 0
+    return ScopeRules(r, lengths, has_includes)
+
+
+def host_verdicts(hosts: DataFrame, rules: DataFrame | ScopeRules, host: str = "host") -> DataFrame:
+    """``(host, included, excluded, in_scope)`` for each distinct host."""
+    sr = prepare_rules(rules)
+    r = sr.rules
     h = hosts.select(F.col(host).alias("host")).where(F.col("host").isNotNull()).distinct()
     dotted = r.where(F.col("pattern").contains("."))
     bare = r.where(~F.col("pattern").contains("."))
@@ -36,7 +63,7 @@ def host_verdicts(hosts: DataFrame, rules: DataFrame, host: str = "host") -> Dat
     m1 = suf.join(dotted, "pattern").select("host", "action")
 
     # bare words: substrings of each host with the (few, <= host length) distinct rule lengths
-    lengths = [row[0] for row in bare.select(F.length("pattern")).distinct().collect()]
+    lengths = list(sr.bare_lengths)
     if lengths:
         def subs_of_len(n):
             # every substring of length n (an empty sequence when the host is shorter)
@@ -53,7 +80,7 @@ def host_verdicts(hosts: DataFrame, rules: DataFrame, host: str = "host") -> Dat
         F.max((F.col("action") == "include").cast("int")).alias("inc"),
         F.max((F.col("action") == "exclude").cast("int")).alias("exc"),
     )
-    has_includes = r.where(F.col("action") == "include").limit(1).count() > 0
+    has_includes = sr.has_includes
     v = h.join(flags, "host", "left").select(
         "host",
         (F.coalesce("inc", F.lit(0)) == 1).alias("included"),
@@ -63,7 +90,7 @@ def host_verdicts(hosts: DataFrame, rules: DataFrame, host: str = "host") -> Dat
     return v.withColumn("in_scope", in_scope)
 
 
-def filter_scope(df: DataFrame, rules: DataFrame, host: str = "host") -> DataFrame:
+def filter_scope(df: DataFrame, rules: DataFrame | ScopeRules, host: str = "host") -> DataFrame:
     """Rows of ``df`` whose host is in scope (left semi join on the per-host verdict)."""
     v = host_verdicts(df, rules, host).where("in_scope").select(F.col("host").alias("_h"))
     return df.join(v, df[host] == v["_h"], "left_semi")
