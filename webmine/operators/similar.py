@@ -4,9 +4,9 @@ Similarity is the Jaccard index of word-3-shingle sets (lower-cased text split o
 when it is exact-equal to, or at least 97% similar to, an *earlier* (smaller id) body of the same host — "earlier"
 rather than "earlier kept", which is order-free (differs only when A~B, B~C and A!~C).
 
-Plan: exact copies are grouped first (hash of the body), so only one representative per group reaches the
-near-duplicate stage. Representatives get shingle hashes and a MinHash signature from an Arrow-batched pandas UDF
-(numpy inside, one call per batch), the signature is cut into bands, and each (host, band, band hash) bucket is
+Plan: one map-side pass computes each body's content hash and, with an Arrow-batched pandas UDF (numpy inside), its
+shingle hashes and MinHash signature, so the body text is never shuffled. Exact copies are grouped on the hash (narrow
+columns) and only one representative per group enters the band search. The signature is cut into bands, and each (host, band, band hash) bucket is
 searched leader-first: a body is verified against the bucket's smallest id, and only when that leader is not similar
 against the other earlier members below the best match so far. A cluster of near-copies therefore costs one
 comparison per member, not all pairs. Verification is the exact Jaccard on the shingle-hash sets (JVM side).
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions import urls as U
 from ..functions.patterns import BODY_SIMILARITY_CUT
-from ..session import cut_lineage
+from ..session import cut_lineage, spread_rows
 
 N_BANDS, ROWS_PER_BAND = 24, 8  # P(miss | J=0.97) = (1 - 0.97^8)^24 < 1e-15; P(candidate | J=0.5) < 0.1
 _NUM_HASHES = N_BANDS * ROWS_PER_BAND
@@ -89,16 +89,19 @@ def exact_body_groups(bodies: DataFrame, group: str = "host") -> DataFrame:
 def similar_bodies(bodies: DataFrame, group: str = "host", cut: int = BODY_SIMILARITY_CUT) -> DataFrame:
     """``(page_id, grp, similar_to)`` for every body with an earlier body of its group at least ``cut``% similar
     (exact copies included); ``similar_to`` is the smallest such id."""
-    exact = cut_lineage(exact_body_groups(bodies, group))
-    reps = exact.where(F.col("dup_of").isNull()).select("page_id", "grp")
-    texts = _prepare(bodies, group).select("page_id", F.lower("text").alias("text"))
-    n_parts = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # One map-side pass over the bodies: content hash and signature together, so html is never shuffled.
     sig = cut_lineage(
-        reps.join(texts, "page_id").repartition(n_parts, "page_id")
-        .select("page_id", "grp", shingle_signature("text").alias("s"))
-        .select("page_id", "grp", "s.sh", "s.bands")
+        spread_rows(_prepare(bodies, group))
+        .select("page_id", "grp", F.sha2("text", 256).alias("body_hash"), shingle_signature(F.lower("text")).alias("s"))
+        .select("page_id", "grp", "body_hash", "s.sh", "s.bands")
     )
-    banded = sig.select("page_id", "grp", F.posexplode("bands").alias("band", "bh"))
+    narrow = sig.select("page_id", "grp", "body_hash")
+    first_of = narrow.groupBy("grp", "body_hash").agg(F.min("page_id").alias("_first"))
+    exact = narrow.join(first_of, ["grp", "body_hash"]).select(
+        "page_id", "grp", F.when(F.col("_first") < F.col("page_id"), F.col("_first")).alias("dup_of")
+    )
+    reps = exact.where(F.col("dup_of").isNull()).select("page_id")
+    banded = sig.select("page_id", "grp", F.posexplode("bands").alias("band", "bh")).join(reps, "page_id", "left_semi")
     bucket = ["grp", "band", "bh"]
     sh = sig.select("page_id", "sh")
 
