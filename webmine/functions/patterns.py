@@ -17,6 +17,21 @@ LINK_PATTERN = (
     r"""(?:\.[a-zA-Z0-9_]{1,})+)|([a-zA-Z0-9_\-/]+/))(?:"|')"""
 )
 
+# Java form of the link pattern: the same match set (and group spans), written so that Java's backtracking engine stays
+# linear where Go's RE2 is linear by construction. Each change relies on the character that must follow a run not being
+# in the run's class, so giving characters back can never help:
+#  - alternative 1: the tail run before the closing quote is possessive;
+#  - alternative 2: two adjacent identical stars become one possessive star;
+#  - alternatives 3 and 4 ("dir/file.ext", "dir/name"): a lookahead checks the "/" at position >= 1 (and, for 4,
+#    three more characters after it), then the path run is taken possessively; the "?"/"#" tail is possessive.
+# The DuckDB oracle runs the original pattern above; tests/test_link_pattern.py checks both agree on random input.
+LINK_PATTERN_JAVA = (
+    r"""(?:"|')(?:(((?:[a-zA-Z]{1,10}:(?:\\)?/(?:\\)?/|//)[^"'/]{1,}\.[a-zA-Z]{2,}[^"']*+)|((?:/|\.\./|\./|\\/)"""
+    r"""[^"'><,;|*()(%%$^/\\\[\]][^"'><,;|()]*+))|((?=[a-zA-Z0-9_\-/]+/)[a-zA-Z0-9_\-/]*+\.[a-zA-Z0-9_]++"""
+    r"""(?:[\?|#][^"|']*+)?)|((?=[a-zA-Z0-9_\-/]+/[a-zA-Z0-9_\-/]{3})[a-zA-Z0-9_\-/]*+(?:[\?|#][^"|']*+)?)|([a-zA-Z0-9_\-]+"""
+    r"""(?:\.[a-zA-Z0-9_]{1,})+)|([a-zA-Z0-9_\-/]+/))(?:"|')"""
+)
+
 # robots.txt rule pattern. Java's "." also stops at \r and Unicode line ends; Spark gets a (?d) prefix (UNIX_LINES).
 ROBOTS_PATTERN = r"(?:Allow|Disallow): \s*(.*)"
 ROBOTS_EXTENSION = r"/\.[a-z0-9]+$"

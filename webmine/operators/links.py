@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.patterns import LINK_PATTERN, ROBOTS_EXTENSION, ROBOTS_PATTERN
+from ..functions.patterns import LINK_PATTERN_JAVA, ROBOTS_EXTENSION, ROBOTS_PATTERN
 
 
 def _unquote_all(matches: Column) -> Column:
@@ -26,7 +26,7 @@ def _unquote_all(matches: Column) -> Column:
 
 def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """L1: ``(page_id, url, pos, raw)``; distinct per page, first occurrence order."""
-    found = _unquote_all(F.regexp_extract_all(F.col(html), F.lit(LINK_PATTERN), 0))
+    found = _unquote_all(F.regexp_extract_all(F.col(html), F.lit(LINK_PATTERN_JAVA), 0))
     return pages.select("page_id", "url", F.posexplode(found).alias("pos", "raw"))
 
 
