@@ -14,8 +14,11 @@ comparison per member, not all pairs. Verification is the exact Jaccard on the s
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +65,11 @@ def _one(text: str):
     return {"sh": sh.view(np.int64).tolist(), "bands": bh.view(np.int64).tolist()}
 
 
+# The UDF is the only Python code that runs on workers: ship it (and the constants above) by value, so workers need
+# no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @F.pandas_udf(SIG_TYPE)
 def shingle_signature(texts: pd.Series) -> pd.DataFrame:
     rows = [_one(t) for t in texts]
