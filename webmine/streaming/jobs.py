@@ -29,8 +29,9 @@ def stream_table(spark: SparkSession, folder: str, pattern: str = "*.parquet", m
 
 
 def stream_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    """IO2: one seed per line of each text file dropped into ``folder``."""
-    return spark.readStream.text(folder).select(F.col("value").alias("seed"))
+    """IO2: one seed per line of each text file dropped into ``folder``; a target already seen on an earlier line is
+    not admitted again (the visited state is global, kept in the state store across micro-batches)."""
+    return spark.readStream.text(folder).select(F.col("value").alias("seed")).dropDuplicates(["seed"])
 
 
 def run_available(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
