@@ -94,3 +94,12 @@ def test_scope(spark):
     rules = spark.createDataFrame([("include", "shop.test"), ("include", "blog"), ("exclude", "a.shop.test")], "action string, pattern string")
     got = {r["host"] for r in G.filter_scope(hosts, rules).collect()}
     assert got == {"shop.test", "myblog.net"}
+
+
+def test_param_summary_parts(spark):
+    u = spark.createDataFrame([(f"n{i:03d}", "medium") for i in range(25)] + [("b", "high"), ("a", "high")],
+                              "name string, certainty string")
+    rows = sorted((r["certainty"], r["part"], r["names"]) for r in P.param_summary(u, chunk=10).collect())
+    assert rows[0] == ("high", 0, "a, b")
+    assert [r[1] for r in rows[1:]] == [0, 1, 2]
+    assert ", ".join(r[2] for r in rows[1:]) == ", ".join(f"n{i:03d}" for i in range(25))

@@ -144,18 +144,27 @@ def unique_params(params: DataFrame) -> DataFrame:
     )
 
 
-def param_summary(unique: DataFrame, buckets: int = 64) -> DataFrame:
+SUMMARY_CHUNK = 10_000  # names per summary part
+
+
+def param_summary(unique: DataFrame, chunk: int = SUMMARY_CHUNK) -> DataFrame:
     """Per certainty, the sorted distinct names joined with ', ' (empty groups not shown).
 
-    Names are sorted and joined per (certainty, hash bucket) in parallel; the final step only orders and joins the
-    bucket strings, so no task sorts the whole name list. The one output value per certainty is the report line itself.
+    The line is emitted as ordered parts ``(certainty, part, names)`` of at most ``chunk`` names each, so no task ever
+    holds a whole certainty's names; joining the parts of a certainty in ``part`` order with ', ' gives the line.
+    Ranks come from a range-partitioned sort (no single-partition window).
     """
+    from .urls import _global_rank
+
     names = unique.select("certainty", "name").distinct()
-    # range buckets keep global order: bucket = first character code of the name
-    part = names.withColumn("_b", F.substring("name", 1, 1))
-    chunks = part.groupBy("certainty", "_b").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("_s"))
-    return chunks.groupBy("certainty").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_s"))), lambda x: x["_s"]), ", ").alias("names")
+    keyed = names.withColumn("_k", F.concat("certainty", F.lit("\u0000"), "name"))
+    ranked = _global_rank(keyed, "_k", "_r")
+    first = ranked.groupBy("certainty").agg(F.min("_r").alias("_r0"))
+    parts = ranked.join(F.broadcast(first), "certainty").withColumn(
+        "part", F.floor((F.col("_r") - F.col("_r0")) / F.lit(chunk)).cast("bigint")
+    )
+    return parts.groupBy("certainty", "part").agg(
+        F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names")
     )
 
 
