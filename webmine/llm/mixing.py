@@ -62,8 +62,8 @@ def mix_sources(
     next to each other in the order. Empty tables give an empty result. Extra columns are not read.
     """
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if keep_rows else []
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("string")
-    shuffle_key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), crc))
+    name, content = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))
+    shuffle_key = F.md5(F.concat_ws(":", F.lit(seed), name, content))
     rows = docs.select(
         F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"),
         shuffle_key.alias("__md5"), *row,
