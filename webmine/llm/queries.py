@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, mixing, neighbours, packing, sharding, warc
+from . import extraction, fingerprints, mixing, neighbours, packing, sharding, warc
 from .common import table
 
 #: Queries of a search: every id that this divides.
@@ -40,6 +40,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_sharding": op3_sharding,
@@ -47,4 +51,5 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
+    "op10_fingerprints": op10_fingerprints,
 }
