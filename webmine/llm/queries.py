@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, fingerprints, mixing, neighbours, packing, sharding, warc
+from . import extraction, fingerprints, mixing, neighbours, packing, sharding, toxicity, warc
 from .common import table
 
 #: Queries of a search: every id that this divides.
@@ -25,6 +25,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_sharding": op3_sharding,
     "op5_html_extraction": op5_html_extraction,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
