@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, fingerprints, mixing, neighbours, packing, sharding, toxicity, warc
+from . import extraction, fingerprints, minhash, mixing, neighbours, packing, sharding, toxicity, warc
 from .common import table
 
 #: Queries of a search: every id that this divides.
 QUERY_STEP = 50
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % QUERY_STEP == 0), k=5)
@@ -49,6 +53,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_sharding": op3_sharding,
     "op5_html_extraction": op5_html_extraction,
