@@ -219,25 +219,28 @@ def word_features(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Lexicon:
-    """Weights of 64-bit features, in a hash table without collisions among its own entries."""
+    """Weights of 64-bit features: sorted, behind a bitmap of their first bits that rules out nearly all words."""
 
     keys: np.ndarray
     weights: np.ndarray
+    bitmap: np.ndarray
 
     @staticmethod
     def build(features: np.ndarray, weights: np.ndarray) -> Lexicon:
-        bits = 16
-        while len(np.unique(features >> np.uint64(64 - bits))) < len(features):
-            bits += 1
-        keys, table = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.float32)
-        at = (features >> np.uint64(64 - bits)).astype(np.int64)
-        keys[at], table[at] = features, weights
-        return Lexicon(keys, table)
+        order = np.argsort(features)
+        bitmap = np.zeros(1 << 20, dtype=bool)
+        bitmap[(features >> np.uint64(44)).astype(np.int64)] = True
+        return Lexicon(features[order], weights[order].astype(np.float32), bitmap)
 
     def word_weights(self, features: np.ndarray) -> np.ndarray:
         """The largest weight among each word's features, 0 for words without any."""
-        at = (features >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
-        return np.where((self.keys[at] == features) & (features != 0), self.weights[at], 0).max(axis=1, initial=0)
+        out = np.zeros(features.shape, dtype=np.float32)
+        maybe = np.nonzero(self.bitmap[(features >> np.uint64(44)).astype(np.int64)])
+        if len(self.keys) and len(maybe[0]):
+            found = features[maybe]
+            at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+            out[maybe] = np.where((self.keys[at] == found) & (found != 0), self.weights[at], 0)
+        return out.max(axis=1, initial=0)
 
 
 def text_inputs(encoded: list[bytes], lexicon: Lexicon) -> np.ndarray:
