@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, fingerprints, minhash, mixing, neighbours, packing, sharding, toxicity, warc
+from . import extraction, fingerprints, minhash, mixing, neighbours, packing, sharding, substrings, toxicity, warc
 from .common import table
 
 #: Queries of a search: every id that this divides.
@@ -25,6 +25,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.passage_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_text(table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_sharding": op3_sharding,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
