@@ -7,8 +7,8 @@ and so every word that some removed window covers. Three steps keep the work nea
    equal anchors. Anchors that only one text has are dropped, and with them nearly all of the corpus.
 2. Shards. Around each shared anchor the run of windows that it leads is a fragment. Fragments are dealt to shards by
    their anchor. Equal fragments are one row, with the smallest id that has it, so a passage that many texts share is
-   one row too; where its surroundings still make very many fragments of one anchor, these are cut into windows that
-   are dealt by their own hash.
+   one row too; as its surroundings may still make very many fragments of one anchor, those of anchors with very many
+   occurrences are cut into windows that are dealt by their own hash.
 3. Search. A shard builds an FM-index of its fragments: suffixes sorted, their Burrows-Wheeler transform in a wavelet
    matrix of bits with rank counts. Every window of every fragment is searched backward; its interval names all
    occurrences in the shard, whose smallest id goes back to the documents.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -32,46 +32,53 @@ from .words import chunks, mix64, window_hashes, word_hashes
 
 WINDOW = 13
 ANCHOR = 5
-#: An anchor with more different fragments than this is dealt out window by window.
-HOT_FRAGMENTS = 50_000
-#: Fragments in a shard, about.
-SHARD_FRAGMENTS = 50_000
+#: The pieces of an anchor with more occurrences than this are dealt out window by window.
+HOT_TEXTS = 200_000
+#: Anchors in a shard, about.
+SHARD_ANCHORS = 20_000
+_T_BITS = (1 << 40) - 1
 _SALT = np.uint64(0x6A09E667F3BCC909)
 
 
 # --- anchors and fragments --------------------------------------------------------------------------------------------
 
 
-def window_anchors(words: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
-    """The hash of each window's anchor, for the words of one text."""
-    grams = mix64(window_hashes(words, anchor) ^ _SALT)
-    spans = np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1) if len(words) >= window else grams[:0, None]
-    return spans.min(axis=1) if len(spans) else np.zeros(0, dtype=np.uint64)
-
-
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of equal values."""
-    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, dtype=np.int64)
-    return starts, np.append(starts[1:], len(values)) if len(values) else starts
-
-
-def anchor_rows(key: list[int], words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (anchor, key of the text)."""
-    anchors, keys = [], []
-    for i, k in enumerate(key):
-        a = np.unique(window_anchors(words[first[i] : first[i + 1]], window))
-        anchors.append(a)
-        keys.append(np.full(len(a), k, dtype=np.int64))
-    return np.concatenate(anchors).view(np.int64) if anchors else np.zeros(0, np.int64), np.concatenate(keys) if keys else np.zeros(0, np.int64)
-
-
-def fragments(words: np.ndarray, shared: np.ndarray, window: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(anchor, first window, words) of a text's fragments: runs of windows that have one ``shared`` anchor."""
-    anchors = window_anchors(words, window).view(np.int64)
-    keep = np.isin(anchors, shared)
-    for lo, hi in zip(*_runs(anchors), strict=True):
-        if keep[lo]:
-            yield int(anchors[lo]), int(lo), words[lo : hi - 1 + window]
+def window_anchors(words: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of the window at each word of some texts, and whether that window lies in one text."""
+    count = max(len(words) - window + 1, 0)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    grams = mix64(window_hashes(words, ANCHOR) ^ _SALT)
+    anchors = grams[:count].copy()
+    for i in range(1, window - ANCHOR + 1):
+        np.minimum(anchors, grams[i : i + count], out=anchors)
+    return anchors.view(np.int64), owner[:count] == owner[len(words) - count :]
+
+
+def anchor_rows(keys: np.ndarray, words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, key of the text), a row per run of equal anchors."""
+    anchors, whole = window_anchors(words, first, window)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(anchors)]
+    new = whole.copy()
+    new[1:] &= (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1]) | ~whole[:-1]
+    return anchors[new], keys[owner[new]]
+
+
+def fragments(words: np.ndarray, first: np.ndarray, shared: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(text, anchor, piece, first word, end) of the fragments of some texts: the runs of windows that have one
+    ``shared`` anchor. ``piece`` is a hash of the fragment's first and last window and its length. Positions count from
+    the first text on."""
+    anchors, whole = window_anchors(words, first, window)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(anchors)]
+    keep = whole & np.isin(anchors, shared)
+    change = np.ones(len(anchors), dtype=bool)
+    change[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1]) | (keep[1:] != keep[:-1])
+    starts = np.flatnonzero(change)
+    ends = np.append(starts[1:], len(anchors))
+    starts, ends = starts[keep[starts]], ends[keep[starts]]
+    full = window_hashes(words, window)
+    with np.errstate(over="ignore"):
+        piece = mix64(full[starts] ^ mix64(full[ends - 1] + (ends - starts).astype(np.uint64))).view(np.int64)
+    return owner[starts], anchors[starts], piece, starts, ends + window - 1
 
 
 # --- the FM-index -----------------------------------------------------------------------------------------------------
@@ -134,14 +141,20 @@ class FMIndex:
         return self._descend(i, symbol) - self.base[symbol]
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The interval of sorted suffixes that begin with each row of ``patterns``."""
+        """The interval of sorted suffixes that begin with each row of ``patterns``, or (-1, 0) as soon as only one is
+        left: the text holds each pattern, so that one is the pattern's own place."""
         last = patterns[:, -1]
         lo, hi = self.starts[last], self.starts[last + 1]
+        left, right = np.full(len(patterns), -1, dtype=np.int64), np.zeros(len(patterns), dtype=np.int64)
+        open_ = np.arange(len(patterns))
         for k in range(patterns.shape[1] - 2, -1, -1):
-            symbol = patterns[:, k]
+            more = hi - lo > 1
+            open_, lo, hi = open_[more], lo[more], hi[more]
+            symbol = patterns[open_, k]
             lo = self.starts[symbol] + self.rank(lo, symbol)
             hi = self.starts[symbol] + self.rank(hi, symbol)
-        return lo, hi
+        left[open_], right[open_] = lo, hi
+        return left, right
 
 
 def first_owners(pieces: list[np.ndarray], owners: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
@@ -158,15 +171,20 @@ def first_owners(pieces: list[np.ndarray], owners: np.ndarray, window: int = WIN
     out = np.empty(int(counts.sum()), dtype=np.int64)
     at = np.concatenate([np.arange(s, s + c) for s, c in zip(starts, counts, strict=False)])
     view = np.lib.stride_tricks.sliding_window_view(text, window)
+    own = np.repeat(owners, counts)
     for lo in range(0, len(at), 1 << 17):
-        a, b = index.search(view[at[lo : lo + (1 << 17)]])
-        left, inverse = np.unique(a, return_inverse=True)
-        right = np.empty(len(left), dtype=np.int64)
-        right[inverse] = b
-        # Intervals of patterns of one length don't overlap, so one pass over their bounds gives all minima.
-        bounds = np.column_stack((left, right)).ravel()
-        inner = np.append(owner, np.iinfo(np.int64).max)
-        out[lo : lo + len(a)] = np.minimum.reduceat(inner, bounds)[::2][inverse]
+        some = slice(lo, lo + (1 << 17))
+        a, b = index.search(view[at[some]])
+        out[some] = own[some]
+        found = np.flatnonzero(a >= 0)
+        if len(found):
+            # Intervals of patterns of one length don't overlap, so one pass over their bounds gives all minima.
+            left, inverse = np.unique(a[found], return_inverse=True)
+            right = np.empty(len(left), dtype=np.int64)
+            right[inverse] = b[found]
+            bounds = np.column_stack((left, right)).ravel()
+            inner = np.append(owner, np.iinfo(np.int64).max)
+            out[lo + found] = np.minimum.reduceat(inner, bounds)[::2][inverse]
     return np.split(out, np.cumsum(counts)[:-1])
 
 
@@ -181,81 +199,107 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def shared_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(t, anchors)``: for each text the anchors that another text has too."""
+def _pack(text: Column) -> Column:
+    """The compressed UTF-8 of a text; it moves through shuffles in half the space."""
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        return texts.map(lambda t: press.compress(t.encode("utf-8", "surrogatepass")) if isinstance(t, str) else None)
+
+    return pack(text)
+
+
+def anchors_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(anchor, t)``: the anchors of each text, under 40 bits of its hash (a text that shares them only brings some
+    more candidates)."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = batch["t"].tolist()
+            keys = batch["t"].to_numpy(np.int64)
             for base, encoded in chunks(batch["text"].tolist()):
                 words, first = word_hashes(encoded)
                 anchor, t = anchor_rows(keys[base : base + len(encoded)], words, first, window)
                 yield pd.DataFrame({"anchor": anchor, "t": t})
 
-    rows = _keyed(docs).select("t", "text").mapInPandas(emit, "anchor long, t long")
-    twice = rows.groupBy("anchor").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("anchor")
-    return rows.join(twice, "anchor").groupBy("t").agg(F.collect_set("anchor").alias("anchors"))
+    rows = _keyed(docs).select(F.col("t").bitwiseAND(F.lit(_T_BITS)).alias("t"), "text")
+    return rows.mapInPandas(emit, "anchor long, t long")
 
 
-def marked_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(t, c, first, anchors, packed)``: a row per text with shared anchors, its smallest id and its compressed
-    UTF-8, checkpointed."""
-
-    @F.pandas_udf("binary")
-    def pack(texts: pd.Series) -> pd.Series:
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=1)
-        return texts.map(lambda t: press.compress(t.encode("utf-8", "surrogatepass")))
-
-    rows = _keyed(docs).select("t", "c", "id", pack("text").alias("packed"))
+def marked_texts(docs: DataFrame, shared: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(t, c, first, anchors, packed)``: a row per text that has some of the anchors ``shared``, with these, its
+    smallest id and its compressed UTF-8; checkpointed."""
+    marks = anchors_of(docs, window).join(shared.select("anchor"), "anchor")
+    marks = marks.groupBy(F.col("t").alias("t40")).agg(F.collect_set("anchor").alias("anchors"))
+    rows = _keyed(docs).select("t", "c", "id", _pack(F.col("text")).alias("packed"))
     one = rows.groupBy("t", "c").agg(F.min("id").alias("first"), F.any_value("packed").alias("packed"))
-    return cut_lineage(one.join(shared_anchors(docs, window), "t").select("t", "c", "first", "anchors", "packed"))
+    one = one.withColumn("t40", F.col("t").bitwiseAND(F.lit(_T_BITS)))
+    return cut_lineage(one.join(marks, "t40").select("t", "c", "first", "anchors", "packed"))
 
 
 def _cut(marked: DataFrame, window: int, with_words: bool) -> DataFrame:
-    """The fragments of ``marked`` texts: ``(anchor, piece, first, words)``, or ``(anchor, piece, first, t, c, start)``.
-    ``piece``: a hash that, with the anchor, stands for the words."""
+    """The fragments of ``marked`` texts: ``(anchor, piece, first, last, words)``, where equal fragments of a task are
+    merged into one row with the smallest and largest id, or ``(anchor, piece, first, t, c, start)`` for each."""
+    names = ["anchor", "piece", "first", *(["last", "words"] if with_words else ["t", "c", "start"])]
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo : lo + 256]
                 words, at = word_hashes([unpack(p) for p in part["packed"]])
-                for i, row in enumerate(part.itertuples(index=False)):
-                    for anchor, start, piece in fragments(words[at[i] : at[i + 1]], np.asarray(row.anchors, dtype=np.int64), window):
-                        name = int(window_hashes(piece, len(piece)).view(np.int64)[0])
-                        out.append((anchor, name, row.first, piece.tobytes()) if with_words else (anchor, name, row.first, row.t, row.c, start))
-            yield pd.DataFrame(out, columns=names)
-
-    names = ["anchor", "piece", "first", *(["words"] if with_words else ["t", "c", "start"])]
-    schema = "anchor long, piece long, first long, " + ("words binary" if with_words else "t long, c long, start long")
-    columns = ["first", "anchors", "packed", "t", "c"]
-    return marked.select(*columns).mapInPandas(emit, schema)
-
-
-def _searched(pieces: DataFrame, window: int, shard_fragments: int) -> DataFrame:
-    """``pieces`` (route, anchor, piece, at, words, first) with ``owners``: for each window the smallest ``first`` of the
-    pieces of the same route that hold it. A shard is an FM-index over all pieces of some routes."""
+                # Which anchors are shared doesn't depend on the text.
+                shared = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in part["anchors"]]))
+                yield part, words, at, *fragments(words, at, shared, window)
+
+    def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, _, at, text, anchor, piece, start, _ in parts(batches):
+            of = {n: part[n].to_numpy(np.int64)[text] for n in ("first", "t", "c")}
+            yield pd.DataFrame({"anchor": anchor, "piece": piece, **of, "start": start - at[text]})[names]
+
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[int, int], list] = {}
+        for part, words, _, text, anchor, piece, start, end in parts(batches):
+            ids = part["first"].to_numpy(np.int64)[text].tolist()
+            for key, i, lo, hi in zip(zip(anchor.tolist(), piece.tolist(), strict=True), ids, start.tolist(), end.tolist(), strict=True):
+                row = known.get(key)
+                if row is None:
+                    known[key] = [i, i, words[lo:hi].tobytes()]
+                else:
+                    row[0], row[1] = min(row[0], i), max(row[1], i)
+            if len(known) > 100_000:
+                yield pd.DataFrame([(*k, *v) for k, v in known.items()], columns=names)
+                known = {}
+        yield pd.DataFrame([(*k, *v) for k, v in known.items()], columns=names)
+
+    schema = "anchor long, piece long, first long, " + ("last long, words binary" if with_words else "t long, c long, start long")
+    return marked.select("first", "anchors", "packed", "t", "c").mapInPandas(distinct if with_words else occurrences, schema)
+
+
+def _searched(pieces: DataFrame, window: int, shards: int) -> DataFrame:
+    """``pieces`` (route, anchor, piece, first, last, words) as ``(route, anchor, piece, owners)``: for each window of a
+    piece the smallest ``first`` of the pieces of the same route that hold it. A shard is an FM-index over all pieces of
+    some routes. Pieces of one text alone whose windows nobody has earlier take nothing from anyone and are left out."""
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = [np.frombuffer(w, dtype=np.uint64) for w in pdf["words"]]
-        owners = first_owners(words, pdf["first"].to_numpy(np.int64), window)
-        return pdf[["anchor", "piece", "at"]].assign(owners=owners)
+        by = pdf.groupby(["route", "anchor", "piece"], sort=False)
+        one = by.agg(first=("first", "min"), last=("last", "max"), words=("words", "first")).reset_index()
+        firsts = one["first"].to_numpy(np.int64)
+        owners = first_owners([np.frombuffer(w, dtype=np.uint64) for w in one["words"]], firsts, window)
+        tells = (firsts < one["last"].to_numpy(np.int64)) | np.array([(o < f).any() for o, f in zip(owners, firsts, strict=True)], dtype=bool)
+        return one.assign(owners=owners).loc[tells, ["route", "anchor", "piece", "owners"]]
 
-    count = pieces.count()
-    shards = max(1, -(-count // shard_fragments))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(search, "anchor long, piece long, at int, owners array<long>")
+    return dealt.groupBy("shard").applyInPandas(search, "route long, anchor long, piece long, owners array<long>")
 
 
 def _windows(hot: DataFrame, window: int) -> DataFrame:
-    """Pieces of hot anchors cut into windows (route: hash of the window), equal windows merged, and each window's
-    places: ``(route, words, first)`` and ``(route, anchor, piece, at)``."""
+    """Pieces of hot anchors cut into windows: ``(route, anchor, piece, at, words, first, last)``, the route being a hash
+    of the window."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -263,54 +307,51 @@ def _windows(hot: DataFrame, window: int) -> DataFrame:
             for row in batch.itertuples(index=False):
                 words = np.frombuffer(row.words, dtype=np.uint64)
                 for at, route in enumerate(window_hashes(words, window).view(np.int64).tolist()):
-                    out.append((route, row.anchor, row.piece, at, words[at : at + window].tobytes(), row.first))
-            yield pd.DataFrame(out, columns=["route", "anchor", "piece", "at", "words", "first"])
-
-    return hot.select("anchor", "piece", "words", "first").mapInPandas(
-        cut, "route long, anchor long, piece long, at int, words binary, first long")
-
-
-def piece_owners(pieces: DataFrame, window: int = WINDOW, hot_fragments: int = HOT_FRAGMENTS, shard_fragments: int = SHARD_FRAGMENTS) -> DataFrame:
-    """``(anchor, piece, at, owners)`` of the distinct fragments ``pieces`` (anchor, piece, words, first): from window
-    ``at`` of the piece on, the smallest id of a text that has the window."""
-    crowd = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_fragments).select("anchor")
-    crowd = cut_lineage(crowd)
-    if crowd.isEmpty():
-        usual = pieces.select(F.col("anchor").alias("route"), "anchor", "piece", F.lit(0).alias("at"), "words", "first")
-        return _searched(usual, window, shard_fragments)
-    usual = pieces.join(crowd, "anchor", "left_anti").select(
-        F.col("anchor").alias("route"), "anchor", "piece", F.lit(0).alias("at"), "words", "first")
-    single = cut_lineage(_windows(pieces.join(crowd, "anchor", "left_semi"), window))
-    # Equal windows of hot anchors are searched once, under their own hash, and given back to all their places.
-    one = single.groupBy("route", "words").agg(F.min("first").alias("first"))
-    one = cut_lineage(one.withColumn("piece", F.xxhash64("words")))
-    found = _searched(one.select("route", F.col("route").alias("anchor"), "piece", F.lit(0).alias("at"), "words", "first"), window, shard_fragments)
-    places = single.select("route", F.xxhash64("words").alias("w"), "anchor", "piece", "at")
-    found = found.select(F.col("anchor").alias("route"), F.col("piece").alias("w"), "owners")
-    back = places.join(found, ["route", "w"]).select("anchor", "piece", "at", "owners")
-    return _searched(usual, window, shard_fragments).unionByName(back)
-
-
-def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_fragments: int = HOT_FRAGMENTS) -> DataFrame:
+                    out.append((route, row.anchor, row.piece, at, words[at : at + window].tobytes(), row.first, row.last))
+            yield pd.DataFrame(out, columns=["route", "anchor", "piece", "at", "words", "first", "last"])
+
+    return hot.select("anchor", "piece", "words", "first", "last").mapInPandas(
+        cut, "route long, anchor long, piece long, at int, words binary, first long, last long")
+
+
+def piece_owners(pieces: DataFrame, hot: DataFrame, window: int, shards: int) -> DataFrame:
+    """``(anchor, piece, at, owners)`` of the fragments ``pieces`` (anchor, piece, first, last, words): from window ``at``
+    of the piece on, the smallest id of a text that has the window. ``hot``: the anchors whose pieces are cut."""
+    usual = pieces.withColumn("route", F.col("anchor"))
+    if hot.isEmpty():
+        return _searched(usual, window, shards).select("anchor", "piece", F.lit(0).alias("at"), "owners")
+    found = _searched(usual.join(hot, "anchor", "left_anti"), window, shards)
+    single = cut_lineage(_windows(pieces.join(hot, "anchor", "left_semi"), window))
+    # Equal windows are searched once, under their own hash, and given back to all their places.
+    one = single.groupBy("route", "words").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    one = one.select("route", F.col("route").alias("anchor"), F.xxhash64("words").alias("piece"), "first", "last", "words")
+    back = _searched(one, window, shards).select("route", F.col("piece").alias("w"), "owners")
+    places = single.select("route", F.xxhash64("words").alias("w"), "anchor", "piece", "at").distinct()
+    cut = places.join(back, ["route", "w"]).select("anchor", "piece", "at", "owners")
+    return found.select("anchor", "piece", F.lit(0).alias("at"), "owners").unionByName(cut)
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """``(t, c, starts)``: the windows (by first word) of each text that also start in a document with a smaller id
     than the smallest one that has the text."""
-    marked = marked_texts(docs, window)
-    pieces = cut_lineage(_cut(marked, window, True).groupBy("anchor", "piece").agg(
-        F.min("first").alias("first"), F.max("first").alias("last"), F.any_value("words").alias("words")))
-    owners = piece_owners(pieces.drop("last"), window, hot_fragments)
-    # A piece of one text whose windows nobody has earlier takes nothing from anyone.
-    telling = owners.join(pieces.select("anchor", "piece", "first", "last"), ["anchor", "piece"]).where(
-        F.expr("first < last or exists(owners, o -> o < first)")).select("anchor", "piece", "at", "owners")
-    places = _cut(marked, window, False)
+    shared = anchors_of(docs, window).groupBy("anchor").agg(
+        F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("anchor", "n")
+    shared = cut_lineage(shared)
+    shards = shared.count() // SHARD_ANCHORS + 1
+    marked = marked_texts(docs, shared, window)
+    hot = shared.where(F.col("n") > hot_texts).select("anchor")
+    owners = piece_owners(_cut(marked, window, True), hot, window, shards)
     taken = F.expr("filter(transform(owners, (o, i) -> if(o < first, start + at + i, null)), x -> x is not null)")
-    hits = places.join(telling, ["anchor", "piece"]).select("t", "c", taken.alias("starts")).where(F.size("starts") > 0)
-    return hits.groupBy("t", "c").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    hits = _cut(marked, window, False).join(owners, ["anchor", "piece"]).select("t", "c", taken.alias("starts"))
+    return hits.where(F.size("starts") > 0).groupBy("t", "c").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
-def kept_words(text: str | None, starts, copy: bool, window: int) -> tuple[list[bytes], int]:
-    """(words that stay, number of words) of a text whose windows ``starts`` are removed; of a later copy of an equal
+def kept_words(packed: bytes | None, starts, copy: bool, window: int) -> tuple[list[bytes], int]:
+    """(words that stay, number of words) of a compressed text whose windows ``starts`` are removed; of a later copy of an equal
     text all windows are."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
+    import zstandard
+
+    words = zstandard.ZstdDecompressor().decompress(packed).split() if packed is not None else []
     if copy and len(words) >= window:
         return [], len(words)
     if starts is None or not len(starts):
@@ -322,20 +363,22 @@ def kept_words(text: str | None, starts, copy: bool, window: int) -> tuple[list[
     return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)], len(words)
 
 
-def with_windows(docs: DataFrame, window: int = WINDOW, hot_fragments: int = HOT_FRAGMENTS) -> DataFrame:
-    """``docs`` (all columns) with ``__starts`` (windows to remove, or NULL) and ``__copy`` (a later copy of a text)."""
+def with_windows(docs: DataFrame, window: int = WINDOW, hot_texts: int = HOT_TEXTS) -> DataFrame:
+    """``docs`` (all columns, but ``text`` compressed as ``__packed``) with ``__starts`` (windows to remove, or NULL) and
+    ``__copy`` (a later copy of a text)."""
     keyed = _keyed(docs)
     first = keyed.groupBy("t", "c").agg(F.min("id").alias("__first"), F.max("id").alias("hi")).where("__first < hi")
-    starts = repeated_windows(docs, window, hot_fragments)
+    starts = repeated_windows(docs, window, hot_texts)
     known = first.select("t", "c", "__first").join(starts, ["t", "c"], "full").toDF("__t", "__c", "__first", "__starts")
     text = F.col("text")
     rows = docs.withColumn("__th", F.xxhash64(text)).withColumn("__ch", F.crc32(text.cast("binary")))
-    out = rows.join(known, (F.col("__th") == F.col("__t")) & (F.col("__ch") == F.col("__c")) & text.isNotNull(), "left")
+    rows = rows.withColumn("__null", text.isNull()).withColumn("__packed", _pack(text)).drop("text")
+    out = rows.join(known, (F.col("__th") == F.col("__t")) & (F.col("__ch") == F.col("__c")) & ~F.col("__null"), "left")
     copy = F.coalesce(id_or_last("doc_id") > F.col("__first"), F.lit(False))
-    return out.withColumn("__copy", copy).select(*docs.columns, "__starts", "__copy")
+    return out.withColumn("__copy", copy).select(*[c for c in docs.columns if c != "text"], "__packed", "__starts", "__copy")
 
 
-def passage_digest(docs: DataFrame, window: int = WINDOW, hot_fragments: int = HOT_FRAGMENTS) -> DataFrame:
+def passage_digest(docs: DataFrame, window: int = WINDOW, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256)`` for every row: what stays of its words, joined by one space.
 
     NULL text: no words. Documents with equal ids don't remove from each other; NULL ids count as larger than all.
@@ -351,8 +394,8 @@ def passage_digest(docs: DataFrame, window: int = WINDOW, hot_fragments: int = H
             out.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
 
-    rows = with_windows(docs.select("doc_id", "text"), window, hot_fragments)
-    return rows.select("doc_id", digest("text", "__starts", "__copy").alias("d")).select("doc_id", "d.*")
+    rows = with_windows(docs.select("doc_id", "text"), window, hot_texts)
+    return rows.select("doc_id", digest("__packed", "__starts", "__copy").alias("d")).select("doc_id", "d.*")
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -364,13 +407,17 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame
 
     @F.pandas_udf("string")
     def keep(text: pd.Series, starts: pd.Series, copy: pd.Series) -> pd.Series:
+        import zstandard
+
         out = []
         for t, s, c in zip(text, starts, copy, strict=True):
             kept, n = kept_words(t, s, c, window)
-            out.append(t if len(kept) == n else b" ".join(kept).decode("utf-8", "surrogatepass"))
+            whole = zstandard.ZstdDecompressor().decompress(t) if t is not None else None
+            left = whole if len(kept) == n else b" ".join(kept)
+            out.append(None if left is None else left.decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype=object)
 
-    rows = with_windows(docs, window).withColumn("text", keep("text", "__starts", "__copy"))
+    rows = with_windows(docs, window).withColumn("text", keep("__packed", "__starts", "__copy"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
