@@ -36,7 +36,6 @@ ANCHOR = 5
 HOT_TEXTS = 200_000
 #: Anchors in a shard, about.
 SHARD_ANCHORS = 20_000
-_T_BITS = (1 << 40) - 1
 _SALT = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -213,8 +212,7 @@ def _pack(text: Column) -> Column:
 
 
 def anchors_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(anchor, t)``: the anchors of each text, under 40 bits of its hash (a text that shares them only brings some
-    more candidates)."""
+    """``(anchor, t)``: the anchors of each text, a row per run of windows, under the text's hash."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -224,19 +222,20 @@ def anchors_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 anchor, t = anchor_rows(keys[base : base + len(encoded)], words, first, window)
                 yield pd.DataFrame({"anchor": anchor, "t": t})
 
-    rows = _keyed(docs).select(F.col("t").bitwiseAND(F.lit(_T_BITS)).alias("t"), "text")
-    return rows.mapInPandas(emit, "anchor long, t long")
+    return _keyed(docs).select("t", "text").mapInPandas(emit, "anchor long, t long")
 
 
 def marked_texts(docs: DataFrame, shared: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(t, c, first, anchors, packed)``: a row per text that has some of the anchors ``shared``, with these, its
     smallest id and its compressed UTF-8; checkpointed."""
     marks = anchors_of(docs, window).join(shared.select("anchor"), "anchor")
-    marks = marks.groupBy(F.col("t").alias("t40")).agg(F.collect_set("anchor").alias("anchors"))
+    marks = marks.groupBy("t").agg(F.collect_set("anchor").alias("anchors"))
+    # One key for both sides, so that the texts move once; two texts with one 64-bit hash end the job, they don't mix.
     rows = _keyed(docs).select("t", "c", "id", _pack(F.col("text")).alias("packed"))
-    one = rows.groupBy("t", "c").agg(F.min("id").alias("first"), F.any_value("packed").alias("packed"))
-    one = one.withColumn("t40", F.col("t").bitwiseAND(F.lit(_T_BITS)))
-    return cut_lineage(one.join(marks, "t40").select("t", "c", "first", "anchors", "packed"))
+    one = rows.groupBy("t").agg(
+        F.min("c").alias("c"), F.max("c").alias("c2"), F.min("id").alias("first"), F.any_value("packed").alias("packed"))
+    one = one.where(F.assert_true(F.col("c") == F.col("c2"), F.lit("two texts have the same hash")).isNull())
+    return cut_lineage(one.join(marks, "t").select("t", "c", "first", "anchors", "packed"))
 
 
 def _cut(marked: DataFrame, window: int, with_words: bool) -> DataFrame:
@@ -251,10 +250,11 @@ def _cut(marked: DataFrame, window: int, with_words: bool) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo : lo + 256]
-                words, at = word_hashes([unpack(p) for p in part["packed"]])
+                texts = [unpack(p) for p in part["packed"]]
+                words, at = word_hashes(texts)
                 # Which anchors are shared doesn't depend on the text.
                 shared = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in part["anchors"]]))
-                yield part, words, at, *fragments(words, at, shared, window)
+                yield part, texts, at, *fragments(words, at, shared, window)
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, _, at, text, anchor, piece, start, _ in parts(batches):
@@ -263,12 +263,13 @@ def _cut(marked: DataFrame, window: int, with_words: bool) -> DataFrame:
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple[int, int], list] = {}
-        for part, words, _, text, anchor, piece, start, end in parts(batches):
+        for part, texts, _, text, anchor, piece, start, end in parts(batches):
+            words = b" ".join(texts).split()
             ids = part["first"].to_numpy(np.int64)[text].tolist()
             for key, i, lo, hi in zip(zip(anchor.tolist(), piece.tolist(), strict=True), ids, start.tolist(), end.tolist(), strict=True):
                 row = known.get(key)
                 if row is None:
-                    known[key] = [i, i, words[lo:hi].tobytes()]
+                    known[key] = [i, i, b" ".join(words[lo:hi])]
                 else:
                     row[0], row[1] = min(row[0], i), max(row[1], i)
             if len(known) > 100_000:
@@ -280,6 +281,11 @@ def _cut(marked: DataFrame, window: int, with_words: bool) -> DataFrame:
     return marked.select("first", "anchors", "packed", "t", "c").mapInPandas(distinct if with_words else occurrences, schema)
 
 
+def _hashed(pieces) -> list[np.ndarray]:
+    words, at = word_hashes(list(pieces))
+    return np.split(words, at[1:-1])
+
+
 def _searched(pieces: DataFrame, window: int, shards: int) -> DataFrame:
     """``pieces`` (route, anchor, piece, first, last, words) as ``(route, anchor, piece, owners)``: for each window of a
     piece the smallest ``first`` of the pieces of the same route that hold it. A shard is an FM-index over all pieces of
@@ -289,7 +295,7 @@ def _searched(pieces: DataFrame, window: int, shards: int) -> DataFrame:
         by = pdf.groupby(["route", "anchor", "piece"], sort=False)
         one = by.agg(first=("first", "min"), last=("last", "max"), words=("words", "first")).reset_index()
         firsts = one["first"].to_numpy(np.int64)
-        owners = first_owners([np.frombuffer(w, dtype=np.uint64) for w in one["words"]], firsts, window)
+        owners = first_owners(_hashed(one["words"]), firsts, window)
         tells = (firsts < one["last"].to_numpy(np.int64)) | np.array([(o < f).any() for o, f in zip(owners, firsts, strict=True)], dtype=bool)
         return one.assign(owners=owners).loc[tells, ["route", "anchor", "piece", "owners"]]
 
@@ -305,9 +311,9 @@ def _windows(hot: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                words = np.frombuffer(row.words, dtype=np.uint64)
-                for at, route in enumerate(window_hashes(words, window).view(np.int64).tolist()):
-                    out.append((route, row.anchor, row.piece, at, words[at : at + window].tobytes(), row.first, row.last))
+                words, hashes = row.words.split(), _hashed([row.words])[0]
+                for at, route in enumerate(window_hashes(hashes, window).view(np.int64).tolist()):
+                    out.append((route, row.anchor, row.piece, at, b" ".join(words[at : at + window]), row.first, row.last))
             yield pd.DataFrame(out, columns=["route", "anchor", "piece", "at", "words", "first", "last"])
 
     return hot.select("anchor", "piece", "words", "first", "last").mapInPandas(
