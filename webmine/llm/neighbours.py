@@ -66,6 +66,11 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
+def _sum(x: np.ndarray) -> np.ndarray:
+    """Row sums, added from left to right (as SQL engines do, so that scores agree to the last bit)."""
+    return np.cumsum(x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+
+
 def tile_best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, ids, cosines): the k best rows of ``x`` for each query, ties to smaller ids, without the query."""
     q, x = _scaled(q), _scaled(x)
@@ -83,7 +88,7 @@ def tile_best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
     floor = np.partition(lower, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), -np.inf)
     qi, xi = np.nonzero((upper >= floor[:, None]) & ~own)
     a, b = q[qi], x[xi]
-    cosine = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    cosine = np.clip(_sum(a * b) / np.sqrt(_sum(a * a) * _sum(b * b)), -1, 1)
     order = np.lexsort((ids[xi], -cosine, qi))
     qi, xi, cosine = qi[order], xi[order], cosine[order]
     first = np.searchsorted(qi, np.arange(len(q) + 1))
