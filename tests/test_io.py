@@ -36,7 +36,7 @@ def test_pages_json_source_and_seed_lists(spark):
         .write.mode("overwrite").json(os.path.join(d, "pages"))
     p = IO.load_pages(spark, os.path.join(d, "pages"), fmt="json")
     assert p.columns == ["page_id", "url", "html"] and p.first()["page_id"] == 7
-    seeds = IO.load_seeds(spark, "a.test, b.test,c.test")
+    seeds = IO.load_seeds(spark, targets="a.test, b.test,c.test")
     assert sorted(r["seed"] for r in seeds.collect()) == ["a.test", "b.test", "c.test"]
     prep = {r["seed"]: r["url"] for r in IO.prepare_seeds(spark.createDataFrame(
         [("e.test",), ("https://e.test:443/deep/path",), ("http://e.test:8080/p",)], "seed string")).collect()}

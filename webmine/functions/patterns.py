@@ -57,7 +57,7 @@ PARAM_WEBSOCKET_URL = r"""new\s+WebSocket\s*\(\s*["']([^"']+)"""
 PARAM_OBJECT_KEY = r"""["']?([a-zA-Z_][a-zA-Z0-9_]*)["']?\s*:"""
 
 # Valid parameter name: 1 to 50 characters, a letter or "_" first, then letters, digits, "_" or "-".
-PARAM_NAME_VALID = r"^[a-zA-Z_][a-zA-Z0-9_-]{0,49}$"
+PARAM_NAME_VALID = r"^[a-zA-Z_][a-zA-Z0-9_-]{0,49}\z"
 
 # Names dropped from object-key extractors; compared against the lower-cased name.
 COMMON_NON_PARAMS = [

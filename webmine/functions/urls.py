@@ -223,7 +223,8 @@ def _decode_ip_host_stages(d: DataFrame, src: str, out: str) -> DataFrame:
     h = F.col(src)
     dword_re = r"^(\d+)((?:\.+)?(?::\d*)?)$"
     d = d.withColumn("_dw", F.regexp_extract(h, dword_re, 1))
-    dv = F.when((F.col("_dw") != "") & (F.length("_dw") <= 18), F.col("_dw").cast("bigint"))
+    whole = F.when(F.col("_dw") != "", F.col("_dw")).try_cast("decimal(38,0)")
+    dv = F.when(whole <= F.lit(2**32 - 1), whole.cast("bigint"))
     d = d.withColumn("_dv", dv)
     d = d.withColumn("_ha1", F.when(F.col("_dv").isNotNull(), F.concat(_quad(F.col("_dv")), F.regexp_extract(h, dword_re, 2))).otherwise(h))
     h1 = F.col("_ha1")
@@ -240,7 +241,8 @@ def _decode_ip_host_stages(d: DataFrame, src: str, out: str) -> DataFrame:
     h2 = F.col("_ha2")
     hex_re = r"^0x([0-9A-Fa-f]+)((?:\.+)?(?::\d*)?)$"
     d = d.withColumn("_hx", F.regexp_extract(h2, hex_re, 1))
-    d = d.withColumn("_hv", F.when((F.col("_hx") != "") & (F.length("_hx") <= 15), F.conv("_hx", 16, 10).cast("bigint")))
+    digits = F.regexp_replace("_hx", "^0+(?=.)", "")  # eight digits are 2^32 - 1 at most
+    d = d.withColumn("_hv", F.when((F.col("_hx") != "") & (F.length(digits) <= 8), F.conv(digits, 16, 10).cast("bigint")))
     return d.withColumn(
         out, F.when(F.col("_hv").isNotNull(), F.concat(_quad(F.col("_hv")), F.regexp_extract(h2, hex_re, 2))).otherwise(h2)
     )

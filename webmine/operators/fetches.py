@@ -47,7 +47,9 @@ def resolve_redirects(fetches: DataFrame, max_requests: int = MAX_REQUESTS_PER_C
     Returns ``(page_id, request_url, final_url, redirect_chain ARRAY<STRUCT<url,status_code,type>>, status_code, error,
     is_catch_all)``. Each step is one join of the still-redirecting requests with the narrow fetch table.
     """
-    nodes = fetches.select("url", F.col("status_code").cast("int").alias("st"), F.col("location").alias("loc"))
+    # A URL that was fetched more than once counts as its first fetch.
+    seen = fetches.groupBy("url").agg(F.min(F.struct("page_id", F.col("status_code").cast("int").alias("st"), F.col("location").alias("loc"))).alias("f"))
+    nodes = seen.select("url", "f.st", "f.loc")
     first = fetches.select(
         "page_id", F.col("url").alias("request_url"), F.col("url").alias("cur"),
         F.col("status_code").cast("int").alias("st"), F.col("location").alias("loc"),

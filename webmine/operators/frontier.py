@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,10 +93,10 @@ def next_frontier(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame
     )
 
 
-def expand_frontier(seeds: DataFrame, pages: DataFrame, rules: DataFrame, max_rounds: int = 10) -> DataFrame:
+def expand_frontier(seeds: DataFrame, pages: DataFrame, rules: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """the crawl loop over stored pages. Round 0 is the prepared seeds; each round joins the frontier to stored
     bodies (by canonical URL), takes their links (L7), and admits unvisited in-scope URLs (F1). Stops when a round
-    admits nothing or after ``max_rounds``. Each round's state is checkpointed to the shared folder.
+    admits nothing, or after ``max_rounds`` if that is given. Each round's state is checkpointed to the shared folder.
 
     Returns ``(url, depth, page_id)`` — page_id is NULL for a URL with no stored body.
     """
@@ -102,21 +104,23 @@ def expand_frontier(seeds: DataFrame, pages: DataFrame, rules: DataFrame, max_ro
     seed_rules = prep.select(F.lit("include").alias("action"), F.col("host").alias("pattern"))
     all_rules = prepare_rules(cut_lineage(rules.unionByName(seed_rules)))  # once for every round
     store = U.with_canonical(pages.select("page_id", "url", "html", U.clean_url(F.col("url")).alias("queue_url")), "queue_url", "key").drop("queue_url")
+    # Links of all stored pages, once: html is read here and never again; the rounds join narrow edges.
+    keyed = cut_lineage(store.select("page_id", "key"))
+    edges = build_link_edges(store.select("page_id", "url", "html")).select("src_page_id", U.clean_url(F.col("dst_url")).alias("dst"))
+    edges = cut_lineage(edges.join(keyed, F.col("src_page_id") == F.col("page_id")).select("key", F.col("src_page_id").alias("seq"), "dst"))
     frontier = prep.select(U.clean_url(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0))
     frontier = filter_scope(frontier.withColumn("host", F.lower(U.url_hostname(F.col("url")))), all_rules, "host")
     frontier = cut_lineage(frontier.select("url", "depth"))
     visited = frontier
-    for depth in range(1, max_rounds + 1):
-        fetched = U.with_canonical(frontier.select("url"), "url", "key").join(store.drop("url"), "key")
-        edges = build_link_edges(fetched.select("page_id", "url", "html"))
-        cand = cut_lineage(edges.select(F.col("src_page_id").alias("seq"), U.clean_url(F.col("dst_url")).alias("url")))
+    for depth in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
+        fetched = U.with_canonical(frontier.select(F.col("url").alias("from")), "from", "key").select("key")
+        cand = cut_lineage(fetched.join(edges, "key").select("seq", F.col("dst").alias("url")))
         admitted = admit_frontier(cand, visited.select("url"), all_rules)
         nxt = cut_lineage(admitted.select("url", F.lit(depth).alias("depth")))
         if nxt.limit(1).count() == 0:
             break
         visited = cut_lineage(visited.unionByName(nxt))
         frontier = nxt
-    keyed = store.select("page_id", "key")
     return U.with_canonical(visited.select("url", "depth"), "url", "key").join(keyed, "key", "left").select(
         "url", "depth", "page_id"
     )

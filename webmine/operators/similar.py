@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions import urls as U
 from ..functions.patterns import BODY_SIMILARITY_CUT
-from ..session import cut_lineage, spread_rows
+from ..session import cut_lineage
 
 N_BANDS, ROWS_PER_BAND = 24, 8  # P(miss | J=0.97) = (1 - 0.97^8)^24 < 1e-15; P(candidate | J=0.5) < 0.1
 _NUM_HASHES = N_BANDS * ROWS_PER_BAND
@@ -99,7 +99,7 @@ def similar_bodies(bodies: DataFrame, group: str = "host", cut: int = BODY_SIMIL
     (exact copies included); ``similar_to`` is the smallest such id."""
     # One map-side pass over the bodies: content hash and signature together, so html is never shuffled.
     sig = cut_lineage(
-        spread_rows(_prepare(bodies, group))
+        _prepare(bodies, group)
         .select("page_id", "grp", F.sha2("text", 256).alias("body_hash"), shingle_signature(F.lower("text")).alias("s"))
         .select("page_id", "grp", "body_hash", "s.sh", "s.bands")
     )

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread_rows
 from ..sources.io import load_table
 
 PAGES_PLUS_SNIPPETS = [
@@ -34,14 +33,13 @@ SCOPE_RULES = [
 ]
 
 
-def pages(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    """The stored pages; ``spread=True`` for views that run regexes over ``html`` (see ``spread_rows``)."""
-    p = load_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return spread_rows(p) if spread else p
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored pages."""
+    return load_table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
 
 def pages_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pages(spark, sf_dir, spread=True)
+    p = pages(spark, sf_dir)
     m = F.col("page_id") % 9
     extra = F.when(m == 0, F.lit(PAGES_PLUS_SNIPPETS[0]))
     for i in range(1, 8):
@@ -111,7 +109,7 @@ def crawl_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pages(spark, sf_dir, spread=True)
+    p = pages(spark, sf_dir)
     pid = F.col("page_id")
     return (
         p.select("page_id", "url", "html")
@@ -127,7 +125,7 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pages(spark, sf_dir, spread=True)
+    p = pages(spark, sf_dir)
     a = p.select(F.col("page_id").alias("a_id"), F.col("url").alias("a_url"))
     b = p.select(F.col("page_id").alias("b_id"), F.col("url").alias("b_url"))
     j = p.join(a, F.col("a_id") == 2 * F.col("page_id") + 1, "left").join(b, F.col("b_id") == 2 * F.col("page_id") + 2, "left")

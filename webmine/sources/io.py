@@ -29,18 +29,17 @@ def split_seed_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.select(F.posexplode(targets).alias("pos", "seed"), *[c for c in lines.columns if c != col])
 
 
-def load_seeds(spark: SparkSession, source) -> DataFrame:
-    """IO1: targets from a one-per-line text file (path) or a comma list string."""
-    if isinstance(source, str) and ("," in source or "://" not in source and "/" not in source):
-        lines = spark.createDataFrame([(source,)], "value STRING")
-    else:
-        lines = spark.read.text(source)
+def load_seeds(spark: SparkSession, *, path: str | None = None, targets: str | None = None) -> DataFrame:
+    """IO1: targets from a one-per-line text file (``path``) or a target or comma list of them (``targets``)."""
+    if (path is None) == (targets is None):
+        raise ValueError("give either path or targets")
+    lines = spark.createDataFrame([(targets,)], "value STRING") if path is None else spark.read.text(path)
     return split_seed_lines(lines).select("seed")
 
 
 def load_wordlist(lines: DataFrame, col: str = "value") -> DataFrame:
-    """IO4: trim each line; drop blank lines and lines starting with '#'. Duplicates are kept."""
-    w = F.trim(F.col(col))
+    """IO4: trim all white space of each line; drop blank lines and lines starting with '#'. Duplicates are kept."""
+    w = F.regexp_replace(F.col(col), r"^[\s\u0085\p{Z}]+|[\s\u0085\p{Z}]+$", "")
     others = [c for c in lines.columns if c != col]
     return lines.select(*others, w.alias("path")).where((F.col("path") != "") & ~F.col("path").startswith("#"))
 

@@ -19,13 +19,13 @@ from ..operators import report as R
 from ..session import scratch_path
 
 
-def stream_table(spark: SparkSession, folder: str, pattern: str = "*.parquet", max_files_per_trigger: int = 1) -> DataFrame:
+def stream_table(spark: SparkSession, folder: str, pattern: str = "*.parquet", max_files_per_trigger: int | None = None) -> DataFrame:
     """A file stream over the Parquet files of ``folder`` matching ``pattern`` (schema taken from the files)."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", max_files_per_trigger).parquet(folder)
-    )
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(folder)
 
 
 def stream_seeds(spark: SparkSession, folder: str) -> DataFrame:
