@@ -1,3 +1,4 @@
+from webmine.operators import frontier as FR
 from webmine.operators import urls as UO
 
 
@@ -10,6 +11,25 @@ def test_alias_global_empty_values(spark):
     assert kept == [1, 2, 3, 5, 7]
 
 
+def test_alias_path_unparsable_earlier(spark):
+    rows = [(1, "http://a.test/a?x;y"), (2, "http://a.test/a?p=1"), (3, "http://a.test/a?q=1"), (4, "http://a.test/a?z;w")]
+    df = spark.createDataFrame(rows, "seq bigint, url string")
+    assert sorted(r["seq"] for r in UO.collapse_query_aliases(df, "path").collect()) == [1, 2, 4]
+
+
+def test_pagination_of_one_page(spark):
+    links = "".join(f'<a href="/list?page={i}"></a>' for i in range(1, 31))
+    rows = [(1, "http://p.test/start.html", links), (2, "http://p.test/robots.txt", "Disallow: /hidden\nAllow: /list?page=0")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = sorted(r["url"] for r in FR.next_frontier(pages).collect())
+    assert got == ["http://p.test/hidden/", "http://p.test/list?page=1%2F"]  # the link rules end a path with a slash
+
+
+def test_robots_of_root_page(spark):
+    pages = spark.createDataFrame([(1, "http://p.test/", "")], "page_id bigint, url string, html string")
+    assert [tuple(r) for r in FR.next_frontier(pages).collect()] == [("http://p.test/robots.txt", "p.test", 1, 0)]
+
+
 def test_alias_path(spark):
     rows = [(1, "http://a.test/p?x=1"), (2, "http://a.test/p"), (3, "http://a.test/p?y=2"), (4, "http://a.test/q")]
     df = spark.createDataFrame(rows, "seq bigint, url string")

@@ -4,6 +4,7 @@ Edges, canonical keys and per-URL properties come from the DuckDB SQL of ``oracl
 code); the loop itself is plain Python over those small tables.
 """
 
+import itertools
 import os
 
 import duckdb
@@ -17,15 +18,19 @@ LINKED = """SELECT p.page_id, p.url, concat(p.html, CASE WHEN a.url IS NULL THEN
 FROM pages p LEFT JOIN pages a ON a.page_id = 2 * p.page_id + 1 LEFT JOIN pages b ON b.page_id = 2 * p.page_id + 2"""
 
 
-def brute_force(con, max_rounds=10):
+def brute_force(con, max_rounds=None):
     ctes = [("linked", LINKED)] + O.edges_ctes("linked")
     w = "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in ctes)
-    edges = con.sql(w + f"\nSELECT src_page_id, {O.clean_url('dst_url')} AS url FROM edges").fetchall()
+    edges = con.sql(w + f"\nSELECT src_page_id, pos, {O.clean_url('dst_url')} AS url FROM edges").fetchall()
     store = con.sql(
         "WITH linked AS (" + LINKED + ") " + O.canon(f"(SELECT page_id, {O.clean_url('url')} AS q FROM linked)", "q", "key", "page_id")
     ).fetchall()
     seed_url = con.sql(f"SELECT {O.clean_url('url')} FROM pages WHERE page_id = 0").fetchall()[0][0]
-    urls = sorted({u for _, u in edges} | {seed_url})
+    urls = sorted({u for _, _, u in edges} | {seed_url})
+    roots = con.sql("SELECT u, " + f"{O.scheme('u')} || '://' || {O.hostport('u')} || '/robots.txt' FROM (SELECT unnest(?) AS u) "
+                    f"WHERE {O.upath('u')} IN ('', '/')", params=[urls]).fetchall()
+    robots = dict(roots)
+    urls = sorted(set(urls) | set(robots.values()))
     con.execute("CREATE OR REPLACE TEMP TABLE cu AS SELECT unnest(?) AS url", [urls])
     props_sql = (
         "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in O.alias_ctes("(SELECT 0 AS seq, url FROM cu)")) +
@@ -40,13 +45,15 @@ def brute_force(con, max_rounds=10):
 
     depth = {seed_url: 0}
     frontier = {seed_url}
-    for d in range(1, max_rounds + 1):
+    for d in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
         keys = {props[u][4] for u in frontier}
         pages = {pid for pid, key in store if key in keys}
         cand = {}
-        for src, u in edges:
+        for src, pos, u in edges:
             if src in pages:
-                cand[u] = min(cand.get(u, src), src)
+                cand[u] = min(cand.get(u, (src, pos)), (src, pos))
+        for u in frontier & robots.keys():
+            cand[robots[u]] = (-1, 0)
         cand = {u: s for u, s in cand.items() if u not in depth and props[u][0] != "" and not props[u][1] and in_scope(props[u][0])}
         vbases = {props[v][2] for v in depth}
         admitted = set()

@@ -19,6 +19,13 @@ def one(spark, fn, value):
     ("http://h.test/café", "http://h.test/caf%C3%A9"),
     ("http://3232235521/", "http://192.168.0.1"),
     ("http://h.test/bad%zz", None),
+    ("http://h.test/caf%e9", "http://h.test/caf%E9"),
+    ("http://h.test/caf%E8/%41%2d", "http://h.test/caf%E8/A-"),
+    ("http://h.test/a%0A", "http://h.test/a%0A"),
+    ("http://h.test/a/%0a", "http://h.test/a/%0A"),
+    ("http://h.test/%2541?k=%e9&j=%20+%2B", "http://h.test/%2541?j=+++%2B".replace("+++", "++") + "&k=%E9"),
+    ("http://h.test/?k%E9=1#f%E9", "http://h.test?k%E9=1#f%E9"),
+    ("http://99999999999/", "http://99999999999"),
 ])
 def test_canonical(spark, raw, want):
     df = spark.createDataFrame([(raw,)], "u string")

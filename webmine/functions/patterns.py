@@ -56,6 +56,38 @@ PARAM_GRAPHQL_VAR = r"""\$([a-zA-Z_][a-zA-Z0-9_]*)\s*:\s*[a-zA-Z!\[\]]+"""
 PARAM_WEBSOCKET_URL = r"""new\s+WebSocket\s*\(\s*["']([^"']+)"""
 PARAM_OBJECT_KEY = r"""["']?([a-zA-Z_][a-zA-Z0-9_]*)["']?\s*:"""
 
+# Java forms of the extractors above: the same names in the same order, written so that Java's backtracking engine does
+# not scan one stretch of text again for every start or every brace in it. The oracle runs the originals;
+# tests/test_param_patterns.py checks both agree on random input. Two ideas:
+#  - runs whose next character isn't in the run's class are possessive;
+#  - where a start fails, the run that it covers is matched as a whole with an empty group (dropped afterwards): a later
+#    start in that run ends at the same place and has fewer positions to try, so it fails too.
+_REGION = r"(?:%s|[^>]*+)"
+PARAM_FORM_INPUT_JAVA = "<input" + _REGION % r"""[^>]*\bname\s*+=\s*+["']?([^"'\s>]++)"""
+PARAM_FORM_TEXTAREA_JAVA = "<textarea" + _REGION % r"""[^>]*\bname\s*+=\s*+["']?([^"'\s>]++)"""
+PARAM_FORM_SELECT_JAVA = "<select" + _REGION % r"""[^>]*\bname\s*+=\s*+["']?([^"'\s>]++)"""
+PARAM_META_CONTENT_JAVA = "<meta" + _REGION % (
+    r"""[^>]*name\s*+=\s*+["']([^"']++)["'][^>]*content\s*+=\s*+["'](?=[^"']*?api)[^"']*+["']"""
+)
+PARAM_DATA_ATTR_JAVA = r"""data-(?:([a-zA-Z][a-zA-Z0-9-]*+)\s*+=|[a-zA-Z][a-zA-Z0-9-]*+)"""
+PARAM_OBJECT_KEY_JAVA = r"""["']?(?:([a-zA-Z_][a-zA-Z0-9_]*+)["']?\s*+:|[a-zA-Z_][a-zA-Z0-9_]*+)"""
+# Object bodies: group 1 is the body with its braces, or has no closing brace where there is none in the text.
+PARAM_JS_POST_DATA_JAVA = r"""(?:data|body)\s*+:\s*+(?:JSON\.stringify\()?(\{[^}]*+\}?+)"""
+PARAM_FETCH_BODY_JAVA = r"""body\s*+:\s*+(?:JSON\.stringify\()?(\{[^}]*+\}?+)"""
+# The brace that opens the body is the one after the first comma, else the last one before that comma that is closed:
+# either the very last, or an earlier one that closes before the next opens. Where the one after the comma never closes and
+# nothing before it does, nothing later can match: the rest of the text is taken.
+PARAM_JS_AJAX_DATA_JAVA = (
+    r"""\$\.(?:post|ajax)\s*+\((?:(?:[^,]*+,\s*+(?=\{[^}]*+\})|[^,]*(?=\{[^,{]*+(?:,|\z))(?=\{[^}]*+\})"""
+    r"""|[^,]*(?=\{[^{}]*+\}))(\{[^}]*+\})|[^,]*+(?:,\s*+\{[^}]*+\z)?+)"""
+)
+# Hidden inputs, one tag (from "<input" to ">") at a time; group numbers differ from the original's.
+HIDDEN_TAG = r"<input[^>]*+"
+HIDDEN_LAST_TYPE = r"""(?s)^(.*)type\s*+=\s*+["']?hidden(.*)$"""
+HIDDEN_NAME_AFTER = r"""(?s)^.*name\s*+=\s*+["']?([^"'\s>]++)"""
+HIDDEN_NAME_BEFORE = r"""(?s)^<input.*name\s*+=\s*+["']?([^"'\s>]++)"""
+HIDDEN_OPEN_NAME = r"""name\s*=\s*["']?\z"""
+
 # Valid parameter name: 1 to 50 characters, a letter or "_" first, then letters, digits, "_" or "-".
 PARAM_NAME_VALID = r"^[a-zA-Z_][a-zA-Z0-9_-]{0,49}\z"
 
@@ -100,7 +132,7 @@ DOMAIN_NAME = r"(?i)^([a-z0-9-]+\.)+[a-z]{2,}\z"
 # Unprintable or binary text: a control character or the replacement character.
 UNPRINTABLE = r"[\p{Cc}\x{FFFD}]"
 # A percent sign not followed by two hex digits makes a URL unparsable.
-BAD_ESCAPE = r"%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)"
+BAD_ESCAPE = r"%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?\z)"
 MEDIA_EXTENSIONS = [
     "jpg", "jpeg", "png", "gif", "bmp", "svg", "webp", "ico", "tif", "tiff", "avif",
     "mp3", "wav", "ogg", "flac", "aac", "m4a",

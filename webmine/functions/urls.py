@@ -6,6 +6,9 @@ percent escape in path or fragment) give NULL where a canonical form is asked fo
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,35 +179,60 @@ def _unescape_keep(encoded: Column, keep: list[str]) -> Column:
     return out
 
 
-def _path_decode(c: Column) -> Column:
-    return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+_PATH_SAFE = r"^[A-Za-z0-9\-._~:/\[\]@!$&'()*+,;=]*\z"
+_FRAGMENT_SAFE = r"^[A-Za-z0-9\-._~:/\[\]@!$&'()*+,;=?#]*\z"
+
+
+_TOKENS = r"%[0-9A-Fa-f]{2}|[^%]+|%"
+_UNRESERVED = string.ascii_letters + string.digits + "-._~"
 
 
-_PATH_SAFE = r"^[A-Za-z0-9\-._~:/\[\]@!$&'()*+,;=]*$"
-_FRAGMENT_SAFE = r"^[A-Za-z0-9\-._~:/\[\]@!$&'()*+,;=?#]*$"
+def _escapes(c: Column, literal: str, text: Callable[[Column], Column], space: str = "%20") -> Column:
+    """Normal escapes without decoding, so bytes that are no UTF-8 stay as they are: an escape of a character in
+    ``literal`` becomes that character, any other gets upper-case hex (``space`` for a space), and ``text`` escapes
+    what isn't an escape yet."""
+    plain = F.create_map(*[F.lit(x) for ch in literal for x in ("%%%02X" % ord(ch), ch)], F.lit("%20"), F.lit(space))
 
+    def token(t):
+        up = F.upper(t)
+        return F.when(t.startswith("%"), F.coalesce(F.try_element_at(plain, up), up)).otherwise(text(t))
 
-def _path_encode(c: Column, keep: list[str], safe: str) -> Column:
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_TOKENS), 0), token), "")
+
+
+def _path_normal(c: Column, keep: list[str], safe: str) -> Column:
+    literal = _UNRESERVED + "*" + "".join(keep)
     # fast path: nothing to escape
-    return F.when(c.rlike(safe), c).otherwise(_unescape_keep(F.url_encode(c), keep))
+    return F.when(c.rlike(safe), c).otherwise(_escapes(c, literal, lambda t: _unescape_keep(F.url_encode(t), keep)))
+
 
+def _query_normal(c: Column) -> Column:
+    def text(t):
+        out = F.replace(F.replace(F.url_encode(t), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+        return F.replace(out, F.lit("%2B"), F.lit("+"))  # a raw "+" is a space and stays one
 
-def _query_escape(c: Column) -> Column:
-    return F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    return F.when(c.rlike(r"^[A-Za-z0-9\-._~+]*\z"), c).otherwise(_escapes(c, _UNRESERVED, text, "+"))
+
+
+def _no_utf8(decoded: Column, raw: Column) -> Column:
+    return decoded.contains("\ufffd") & ~F.upper(raw).contains("%EF%BF%BD") & ~raw.contains("\ufffd")
 
 
 def _sort_query(q: Column) -> Column:
     pairs = F.filter(F.split(q, "&"), lambda p: (p != "") & ~p.contains(";"))
-    kv = F.transform(
-        pairs,
-        lambda p: F.struct(
-            F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"),
-            F.try_url_decode(F.when(p.contains("="), F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).otherwise(F.lit("")))
-            .alias("v"),
-        ),
-    )
-    good = F.array_sort(F.filter(kv, lambda x: x["k"].isNotNull() & x["v"].isNotNull()))
-    rendered = F.array_join(F.transform(good, lambda x: F.concat(x["k"], F.lit("="), _query_escape(x["v"]))), "&")
+
+    def parsed(p):
+        k = F.substring_index(p, "=", 1)
+        v = F.when(p.contains("="), F.regexp_extract(p, r"(?s)^[^=]*=(.*)\z", 1)).otherwise(F.lit(""))
+        dk = F.try_url_decode(k)
+        # order by decoded name and value; a name that is no UTF-8 keeps its escapes
+        return F.struct(
+            dk.alias("k"), F.try_url_decode(v).alias("v"),
+            F.when(_no_utf8(dk, k), _query_normal(k)).otherwise(dk).alias("name"), _query_normal(v).alias("value"),
+        )
+
+    good = F.array_sort(F.filter(F.transform(pairs, parsed), lambda x: x["k"].isNotNull() & x["v"].isNotNull()))
+    rendered = F.array_join(F.transform(good, lambda x: F.concat(x["name"], F.lit("="), x["value"])), "&")
     return F.when(F.size(good) > 0, rendered).otherwise(q)
 
 
@@ -295,7 +323,7 @@ def with_canonical(df: DataFrame, src, out: str = "canonical_url") -> DataFrame:
         ),
     )
     d = d.withColumn("_h", F.regexp_replace("_h3", r":+$", ""))
-    d = d.withColumn("_pd", _path_decode(col("_rp")))
+    d = d.withColumn("_pd", F.when(~col("_bad"), _path_normal(col("_rp"), _PATH_KEEP, _PATH_SAFE)))
     d = d.withColumn("_pseg", F.split("_pd", "/"))
     d = d.withColumn(
         "_pf",
@@ -317,11 +345,9 @@ def with_canonical(df: DataFrame, src, out: str = "canonical_url") -> DataFrame:
         .when(F.element_at("_pseg", -1).isin(".", "..") & ~col("_pj2").endswith("/"), F.concat("_pj2", F.lit("/")))
         .otherwise(col("_pj2")),
     )
-    d = d.withColumn("_p", F.regexp_replace(F.regexp_replace("_pdot", r"/{2,}", "/"), r"/$", ""))
-    d = d.withColumn("_po", _path_encode(col("_p"), _PATH_KEEP, _PATH_SAFE))
+    d = d.withColumn("_po", F.regexp_replace(F.regexp_replace("_pdot", r"/{2,}", "/"), r"/\z", ""))
     d = d.withColumn("_qo", F.when(col("_hq"), _sort_query(col("_q"))).otherwise(F.lit("")))
-    d = d.withColumn("_fd", F.try_url_decode(F.replace(col("_fr"), F.lit("+"), F.lit("%2B"))))
-    d = d.withColumn("_fo", F.when(col("_fr") != "", _path_encode(col("_fd"), _FRAGMENT_KEEP, _FRAGMENT_SAFE)))
+    d = d.withColumn("_fo", F.when((col("_fr") != "") & ~col("_bad"), _path_normal(col("_fr"), _FRAGMENT_KEEP, _FRAGMENT_SAFE)))
     host = col("_h")
     authority_part = F.when((sch != "") | (host != "") | (col("_ui") != ""), F.concat(F.lit("//"), "_ui", "_h")).otherwise(
         F.lit("")

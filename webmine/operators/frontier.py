@@ -14,35 +14,49 @@ from .links import build_link_edges
 from .scope import ScopeRules, filter_scope, prepare_rules
 from .urls import collapse_query_aliases
 
+
 def admit_frontier(candidates: DataFrame, visited: DataFrame | None, rules: DataFrame | ScopeRules, alias_scope: str = "path",
                    url: str = "url", seq: str = "seq") -> DataFrame:
     """first occurrence of each URL that has a host, is in scope, is unvisited, not a trap and not redundant.
 
-    ``candidates(seq, url)`` are queue-form URLs; ``visited(url)``. Returns ``(seq, url, host)``.
+    ``candidates(seq, url)`` are queue-form URLs; ``visited(url)``. ``seq`` is any orderable type; URLs with equal ``seq``
+    don't make each other redundant, so give a total order (a page and a position on it). Returns ``(seq, url, host)``.
     """
-    c = candidates.select(seq, url).groupBy(url).agg(F.min(seq).alias(seq))
+    return _admit(candidates.select(seq, url, F.lit(1).alias("_w")), visited, rules, alias_scope, url, seq).drop("n_links")
+
+
+def _admit(candidates: DataFrame, visited: DataFrame | None, rules: DataFrame | ScopeRules, alias_scope: str, url: str,
+           seq: str) -> DataFrame:
+    """F1 with ``n_links``, the sum of the candidates' weights ``_w`` per URL."""
+    c = candidates.groupBy(url).agg(F.min(seq).alias(seq), F.sum("_w").alias("n_links"))
     if visited is not None:
         c = c.join(visited.select(url).distinct(), url, "left_anti")
     c = c.withColumn("host", F.lower(U.url_hostname(F.col(url)))).where(F.col("host") != "")
     c = c.where(~U.is_trapped(U.url_path(F.col(url))))
     # the candidate set feeds three joins (host verdicts, semi join, alias groups): materialise it once
-    c = cut_lineage(c.select(seq, url, "host"))
+    c = cut_lineage(c.select(seq, url, "host", "n_links"))
     # scoped candidates feed the alias check and the join back: materialise once so the verdict plan runs once
     c = cut_lineage(filter_scope(c, rules, "host"))
     # visited URLs count as earlier than every candidate for the query-alias check, then are dropped again
-    alias_in = c.select(seq, url)
+    alias_in = c.select(F.struct(F.lit(1).alias("new"), F.col(seq).alias("s")).alias("_o"), url, "n_links")
     if visited is not None:
-        alias_in = visited.select(F.lit(-1).cast("bigint").alias(seq), url).distinct().unionByName(alias_in)
-    kept = collapse_query_aliases(alias_in, alias_scope, url, seq).where(F.col(seq) >= 0)
-    return kept.join(c.select(url, "host"), url).select(seq, url, "host")
+        none = F.lit(None).cast(c.schema[seq].dataType).alias("s")
+        old = visited.select(F.struct(F.lit(0).alias("new"), none).alias("_o"), url, F.lit(None).cast("bigint").alias("n_links"))
+        alias_in = old.distinct().unionByName(alias_in)
+    kept = collapse_query_aliases(alias_in, alias_scope, url, "_o").where(F.col("_o.new") == 1)
+    return kept.select(F.col("_o.s").alias(seq), url, F.lower(U.url_hostname(F.col(url))).alias("host"), "n_links")
+
+
+def robots_of(urls: DataFrame, url: str = "url") -> DataFrame:
+    """F2 per row: the rows whose URL has an empty or "/" path, with ``url`` the robots.txt of their host."""
+    path = U.url_path(F.col(url))
+    robots = F.concat(U.url_scheme(F.col(url)), F.lit("://"), U.url_hostport(F.col(url)), F.lit("/robots.txt"))
+    return urls.where(path.isin("", "/")).withColumn("url", robots)
 
 
 def seed_robots(urls: DataFrame, visited: DataFrame | None = None, url: str = "url") -> DataFrame:
     """a URL with an empty or "/" path adds ``scheme://host/robots.txt`` (distinct, unvisited)."""
-    path = U.url_path(F.col(url))
-    r = urls.where(path.isin("", "/")).select(
-        F.concat(U.url_scheme(F.col(url)), F.lit("://"), U.url_hostport(F.col(url)), F.lit("/robots.txt")).alias("url")
-    ).distinct()
+    r = robots_of(urls, url).select("url").distinct()
     if visited is not None:
         r = r.join(visited.select("url").distinct(), "url", "left_anti")
     return r
@@ -78,25 +92,29 @@ def discover_paths(hosts: DataFrame, wordlist: DataFrame, visited: DataFrame | N
 def next_frontier(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """F6 (flagship): one crawl round from everything stored.
 
-    Edges of all pages (L7) become queue-form candidates; stored pages are visited and their hosts are scope
-    includes (as seeds would be). Returns the admitted URLs with their first linking page and link count.
+    Edges of all pages (L7, robots.txt bodies included) and the robots.txt of stored root URLs (F2) become queue-form
+    candidates, ordered by page and position on it; stored pages are visited and their hosts are scope includes (as
+    seeds would be). Returns the admitted URLs with their first linking page and link count (0: a robots.txt seed only).
     """
-    edges = build_link_edges(pages)
-    cand = cut_lineage(edges.select(F.col("src_page_id").alias("seq"), U.clean_url(F.col("dst_url")).alias("url")))
+    order = lambda page, pos: F.struct(page.cast("bigint").alias("page"), pos.cast("bigint").alias("pos")).alias("seq")
+    cand = build_link_edges(pages).select(
+        order(F.col("src_page_id"), F.col("pos")), U.clean_url(F.col("dst_url")).alias("url"), F.lit(1).alias("_w")
+    )
+    robots = robots_of(pages.select("page_id", U.clean_url(F.col("url")).alias("url"))).select(
+        order(F.col("page_id"), F.lit(-1)), "url", F.lit(0).alias("_w")
+    )
     visited = pages.select(U.clean_url(F.col("url")).alias("url"))
     seed_hosts = pages.select(F.lit("include").alias("action"), F.lower(U.url_hostname(F.col("url"))).alias("pattern"))
-    all_rules = seed_hosts if rules is None else seed_hosts.unionByName(rules)
-    admitted = admit_frontier(cand, visited, all_rules)
-    counts = cand.groupBy("url").agg(F.count(F.lit(1)).alias("n_links"))
-    return admitted.join(counts, "url").select(
-        "url", "host", F.col("seq").alias("first_src_page_id"), "n_links"
-    )
+    all_rules = cut_lineage((seed_hosts if rules is None else seed_hosts.unionByName(rules)).distinct())
+    admitted = _admit(cand.unionByName(robots), visited, all_rules, "path", "url", "seq")
+    return admitted.select("url", "host", F.col("seq.page").alias("first_src_page_id"), "n_links")
 
 
 def expand_frontier(seeds: DataFrame, pages: DataFrame, rules: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """the crawl loop over stored pages. Round 0 is the prepared seeds; each round joins the frontier to stored
-    bodies (by canonical URL), takes their links (L7), and admits unvisited in-scope URLs (F1). Stops when a round
-    admits nothing, or after ``max_rounds`` if that is given. Each round's state is checkpointed to the shared folder.
+    bodies (by canonical URL), takes their links (L7) in the order of page and position, and the robots.txt of its root
+    URLs (F2), and admits unvisited in-scope URLs (F1). Stops when a round admits nothing, or after ``max_rounds`` if
+    that is given. Each round's state is checkpointed to the shared folder.
 
     Returns ``(url, depth, page_id)`` — page_id is NULL for a URL with no stored body.
     """
@@ -106,15 +124,20 @@ def expand_frontier(seeds: DataFrame, pages: DataFrame, rules: DataFrame, max_ro
     store = U.with_canonical(pages.select("page_id", "url", "html", U.clean_url(F.col("url")).alias("queue_url")), "queue_url", "key").drop("queue_url")
     # Links of all stored pages, once: html is read here and never again; the rounds join narrow edges.
     keyed = cut_lineage(store.select("page_id", "key"))
-    edges = build_link_edges(store.select("page_id", "url", "html")).select("src_page_id", U.clean_url(F.col("dst_url")).alias("dst"))
-    edges = cut_lineage(edges.join(keyed, F.col("src_page_id") == F.col("page_id")).select("key", F.col("src_page_id").alias("seq"), "dst"))
+    edges = build_link_edges(store.select("page_id", "url", "html")).select(
+        "src_page_id", F.struct(F.col("src_page_id").cast("bigint").alias("page"), "pos").alias("seq"),
+        U.clean_url(F.col("dst_url")).alias("dst"),
+    )
+    edges = cut_lineage(edges.join(keyed, F.col("src_page_id") == F.col("page_id")).select("key", "seq", "dst"))
+    first = F.struct(F.lit(-1).cast("bigint").alias("page"), F.lit(0).cast("bigint").alias("pos")).alias("seq")
     frontier = prep.select(U.clean_url(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0))
     frontier = filter_scope(frontier.withColumn("host", F.lower(U.url_hostname(F.col("url")))), all_rules, "host")
     frontier = cut_lineage(frontier.select("url", "depth"))
     visited = frontier
     for depth in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
         fetched = U.with_canonical(frontier.select(F.col("url").alias("from")), "from", "key").select("key")
-        cand = cut_lineage(fetched.join(edges, "key").select("seq", F.col("dst").alias("url")))
+        cand = fetched.join(edges, "key").select("seq", F.col("dst").alias("url"))
+        cand = cand.unionByName(robots_of(frontier).select(first, "url"))
         admitted = admit_frontier(cand, visited.select("url"), all_rules)
         nxt = cut_lineage(admitted.select("url", F.lit(depth).alias("depth")))
         if nxt.limit(1).count() == 0:

@@ -24,18 +24,17 @@ def _unquote_all(matches: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(matches, one)))
 
 
+def _links_of(html: Column) -> Column:
+    return _unquote_all(F.regexp_extract_all(html, F.lit(LINK_PATTERN_JAVA), 0))
+
+
 def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """L1: ``(page_id, url, pos, raw)``; distinct per page, first occurrence order."""
-    found = _unquote_all(F.regexp_extract_all(F.col(html), F.lit(LINK_PATTERN_JAVA), 0))
-    return pages.select("page_id", "url", F.posexplode(found).alias("pos", "raw"))
-
+    return pages.select("page_id", "url", F.posexplode(_links_of(F.col(html))).alias("pos", "raw"))
 
-def extract_robots(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """L2: every Allow/Disallow value, trimmed, without * and $, one trailing ? dropped, trailing /.ext -> /.
 
-    Keeps values longer than one byte; distinct per body, first occurrence order. ``(page_id, pos, path)``.
-    """
-    vals = F.regexp_extract_all(F.col(body), F.lit("(?d)" + ROBOTS_PATTERN), 1)
+def _rules_of(body: Column) -> Column:
+    vals = F.regexp_extract_all(body, F.lit("(?d)" + ROBOTS_PATTERN), 1)
 
     def clean(v):
         v = F.regexp_replace(v, r"^\s+|\s+$", "")
@@ -43,9 +42,16 @@ def extract_robots(bodies: DataFrame, body: str = "body") -> DataFrame:
         v = F.regexp_replace(v, r"\?$", "")
         return F.regexp_replace(v, ROBOTS_EXTENSION, "/")
 
-    paths = F.array_distinct(F.filter(F.transform(vals, clean), lambda p: F.octet_length(p) > 1))
+    return F.array_distinct(F.filter(F.transform(vals, clean), lambda p: F.octet_length(p) > 1))
+
+
+def extract_robots(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """L2: every Allow/Disallow value, trimmed, without * and $, one trailing ? dropped, trailing /.ext -> /.
+
+    Keeps values longer than one byte; distinct per body, first occurrence order. ``(page_id, pos, path)``.
+    """
     others = [c for c in bodies.columns if c != body]
-    return bodies.select(*others, F.posexplode(paths).alias("pos", "path"))
+    return bodies.select(*others, F.posexplode(_rules_of(F.col(body))).alias("pos", "path"))
 
 
 def route_bodies(pages: DataFrame) -> DataFrame:
@@ -54,11 +60,9 @@ def route_bodies(pages: DataFrame) -> DataFrame:
     ``(page_id, url, kind, pos, raw)`` with kind 'robots' or 'html'.
     """
     is_robots = F.col("url").endswith("robots.txt")
-    robots = extract_robots(pages.where(is_robots).select("page_id", "url", F.col("html").alias("body"))).select(
-        "page_id", "url", F.lit("robots").alias("kind"), "pos", F.col("path").alias("raw")
-    )
-    html = extract_links(pages.where(~is_robots)).select("page_id", "url", F.lit("html").alias("kind"), "pos", "raw")
-    return html.unionByName(robots.select("page_id", "url", "kind", "pos", "raw"))
+    found = F.when(is_robots, _rules_of(F.col("html"))).otherwise(_links_of(F.col("html")))
+    kind = F.when(is_robots, F.lit("robots")).otherwise(F.lit("html"))
+    return pages.select("page_id", "url", kind.alias("kind"), F.posexplode(found).alias("pos", "raw"))
 
 
 def keep_link(page_url: Column, raw: Column) -> Column:
@@ -107,7 +111,7 @@ def resolve_links(links: DataFrame, url: str = "url", raw: str = "raw") -> DataF
 
 
 def expand_domain_links(links: DataFrame, url: str = "url", raw: str = "raw") -> DataFrame:
-    """A domain-looking link also yields ``page_url/link`` as is. Adds ``kind`` and ``dst``."""
+    """A domain-looking link also yields ``page_url/link`` as is, before itself. Adds ``kind`` and ``dst``."""
     d = resolve_links(links, url, raw)
     resolved = F.struct(F.lit("resolved").alias("kind"), F.col("resolved").alias("dst"))
     domain = F.struct(F.lit("domain").alias("kind"), F.concat(F.col(url), F.lit("/"), F.col(raw)).alias("dst"))
@@ -115,17 +119,22 @@ def expand_domain_links(links: DataFrame, url: str = "url", raw: str = "raw") ->
     return d.select("*", F.explode(outs).alias("_o")).select("*", "_o.kind", "_o.dst").drop("_o", "resolved")
 
 
-def build_link_edges(pages: DataFrame) -> DataFrame:
-    """``(src_page_id, src_url, dst_url)``, distinct, unparsable targets dropped."""
-    links = filter_links(extract_links(pages))
-    out = expand_domain_links(links)
-    return (
-        out.where(F.col("dst").isNotNull())
-        .select(F.col("page_id").alias("src_page_id"), F.col("url").alias("src_url"), F.col("dst").alias("dst_url"))
-        .distinct()
+def link_targets(pages: DataFrame) -> DataFrame:
+    """L7 before duplicates go: ``(src_page_id, src_url, dst_url, pos)`` for every link of a body or rule of a robots.txt
+    body (L3) that passes L4, unparsable targets dropped. ``pos`` is the order in which the page gives its targets."""
+    out = expand_domain_links(filter_links(route_bodies(pages).drop("kind")))
+    second = U.is_domain_name(F.col("raw")) & (F.col("kind") == "resolved")
+    pos = F.col("pos").cast("bigint") * 2 + F.when(second, 1).otherwise(0)
+    return out.where(F.col("dst").isNotNull()).select(
+        F.col("page_id").alias("src_page_id"), F.col("url").alias("src_url"), F.col("dst").alias("dst_url"), pos.alias("pos")
     )
 
 
+def build_link_edges(pages: DataFrame) -> DataFrame:
+    """``(src_page_id, src_url, dst_url, pos)``, one row per page and target with the target's first position."""
+    return link_targets(pages).groupBy("src_page_id", "src_url", "dst_url").agg(F.min("pos").alias("pos"))
+
+
 def host_outdegree(edges: DataFrame, approx: bool = False) -> DataFrame:
     """Per source host, edges and distinct targets (``approx=True``: HyperLogLog++ sketch, constant memory)."""
     distinct = F.approx_count_distinct("dst_url") if approx else F.count_distinct("dst_url")

@@ -70,14 +70,16 @@ def _global_rank(df: DataFrame, order: str, out: str) -> DataFrame:
 def collapse_query_aliases(df: DataFrame, scope: str = "path", url: str = "url", seq: str = "seq") -> DataFrame:
     """U5 (scope='path') and U6 (scope='global').
 
-    path: a URL with a parsable query is redundant when an earlier URL has the same query-less form.
+    path: a URL with a parsable query is redundant when an earlier URL, itself without a query or with a parsable one,
+    has the same query-less form.
     global: also redundant when an earlier URL with a query carries every (name, first value) of it; a name with an
     empty value only asks that the other URL has no non-empty value for it. A URL without a query is never redundant.
     """
     t = _with_query_info(df, url)
-    first_by_base = t.groupBy("_base").agg(F.min(seq).alias("_base_min"))
+    parsable = (F.col("_q") == "") | F.col("_pairs").isNotNull()
+    first_by_base = t.groupBy("_base").agg(F.min(F.when(parsable, F.col(seq))).alias("_base_min"))
     t = t.join(first_by_base, "_base")
-    redundant = (F.col("_q") != "") & F.col("_pairs").isNotNull() & (F.col("_base_min") < F.col(seq))
+    redundant = (F.col("_q") != "") & F.col("_pairs").isNotNull() & F.coalesce(F.col("_base_min") < F.col(seq), F.lit(False))
     if scope == "path":
         return t.where(~redundant).select(*df.columns)
     if scope != "global":

@@ -59,8 +59,8 @@ def _crawl_with_host(spark, sf):
     return X.crawl_urls(spark, sf).select("seq", "url", F.lower(U.url_hostname(F.col("url"))).alias("host"))
 
 
-def _params(spark, sf):
-    return P.mine_params(X.pages_plus(spark, sf))
+def _params(spark, sf, last_rank=P.LAST_RANK):
+    return P.mine_params(X.pages_plus(spark, sf), last_rank=last_rank)
 
 
 def _bag(df):
@@ -216,7 +216,7 @@ def links_domain(spark, sf):
 
 @q("link_edges")
 def link_edges(spark, sf):
-    return L.build_link_edges(X.pages_plus(spark, sf))
+    return L.build_link_edges(_crawl_store(spark, sf))
 
 
 @q("host_outdegree")
@@ -283,7 +283,7 @@ def frontier_rounds(spark, sf):
 
 @q("frontier_next")
 def frontier_next(spark, sf):
-    return FR.next_frontier(X.pages(spark, sf)).select(
+    return FR.next_frontier(_crawl_store(spark, sf)).select(
         "url", "host", _big("first_src_page_id").alias("first_src_page_id"), _big("n_links").alias("n_links")
     )
 
@@ -335,7 +335,7 @@ def exact_bodies(spark, sf):
 # ---------------------------------------------------------------- parameters
 def _extractor_query(rank):
     def fn(spark, sf):
-        return _bag(P.params_of_extractor(_params(spark, sf), rank))
+        return _bag(P.params_of_extractor(_params(spark, sf, rank), rank))
 
     return fn
 
@@ -346,7 +346,7 @@ for _key, _rank in P.EXTRACTOR_BY_KEY.items():
 
 @q("params_object_keys")
 def params_object_keys(spark, sf):
-    return _bag(_params(spark, sf).where(F.col("rank").isin(7, 8, 9)))
+    return _bag(_params(spark, sf, 9).where(F.col("rank").isin(7, 8, 9)))
 
 
 @q("params_by_page")
@@ -361,12 +361,12 @@ def params_unique(spark, sf):
 
 @q("params_form")
 def params_form(spark, sf):
-    return _bag(P.params_of_type(_params(spark, sf), "form"))
+    return _bag(P.params_of_type(_params(spark, sf, P.last_rank_of("form", 1)), "form"))
 
 
 @q("params_high")
 def params_high(spark, sf):
-    return _bag(P.params_of_certainty(_params(spark, sf), "high"))
+    return _bag(P.params_of_certainty(_params(spark, sf, P.last_rank_of("high", 3)), "high"))
 
 
 @q("param_summary")
@@ -449,7 +449,7 @@ def stream_dedupe(spark, sf):
 
 @q("stream_links")
 def stream_links(spark, sf):
-    return S.run_available(S.stream_links(_pages_plus_stream(spark, sf)), "links").select("src_page_id", "src_url", "dst_url")
+    return S.run_available(S.stream_links(_pages_plus_stream(spark, sf)), "links").select("src_page_id", "src_url", "dst_url").distinct()
 
 
 @q("stream_params")

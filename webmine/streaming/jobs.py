@@ -69,11 +69,9 @@ def stream_dedupe_urls(urls: DataFrame, url: str = "url", event_time: str | None
 
 
 def stream_links(pages: DataFrame) -> DataFrame:
-    """Link edges of each response as it arrives (distinct edges via state)."""
-    links = L.filter_links(L.extract_links(pages))
-    out = L.expand_domain_links(links).where(F.col("dst").isNotNull())
-    return out.select(F.col("page_id").alias("src_page_id"), F.col("url").alias("src_url"), F.col("dst").alias("dst_url")) \
-        .dropDuplicates(["src_page_id", "dst_url"])
+    """``(src_page_id, src_url, dst_url, pos)`` of each response as it arrives. Stateless: a target that a page gives
+    twice (two spellings of one URL) is appended twice; a batch reader of the sink takes the distinct edges."""
+    return L.link_targets(pages)
 
 
 def stream_params(pages: DataFrame) -> DataFrame:
