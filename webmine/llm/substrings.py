@@ -32,6 +32,9 @@ from .words import chunks, mix64, window_hashes, word_hashes
 
 WINDOW = 13
 ANCHOR = 4
+#: Bits of an anchor. Two shingles with one anchor only make more fragments, so it is as short as a corpus of 10 ** 13
+#: distinct shingles allows.
+ANCHOR_BITS = 48
 #: The pieces of an anchor with more occurrences than this are dealt out window by window.
 HOT_TEXTS = 200_000
 #: Anchors in a shard, about.
@@ -46,7 +49,7 @@ def window_anchors(words: np.ndarray, first: np.ndarray, window: int = WINDOW) -
     """The anchor of the window at each word of some texts, and whether that window lies in one text."""
     count = max(len(words) - window + 1, 0)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    grams = mix64(window_hashes(words, ANCHOR) ^ _SALT)
+    grams = mix64(window_hashes(words, ANCHOR) ^ _SALT) >> np.uint64(64 - ANCHOR_BITS)
     anchors = grams[:count].copy()
     for i in range(1, window - ANCHOR + 1):
         np.minimum(anchors, grams[i : i + count], out=anchors)
@@ -205,7 +208,7 @@ def _pack(text: Column) -> Column:
     def pack(texts: pd.Series) -> pd.Series:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         return texts.map(lambda t: press.compress(t.encode("utf-8", "surrogatepass")) if isinstance(t, str) else None)
 
     return pack(text)
@@ -226,7 +229,7 @@ def anchors_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def marked_texts(docs: DataFrame, shared: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(t, c, first, anchors, packed)``: a row per text that has some of the anchors ``shared``, with these, its
+    """``(t, first, anchors, packed)``: a row per text that has some of the anchors ``shared``, with these, its
     smallest id and its compressed UTF-8; checkpointed."""
     marks = anchors_of(docs, window).join(shared.select("anchor"), "anchor")
     marks = marks.groupBy("t").agg(F.collect_set("anchor").alias("anchors"))
@@ -235,13 +238,13 @@ def marked_texts(docs: DataFrame, shared: DataFrame, window: int = WINDOW) -> Da
     one = rows.groupBy("t").agg(
         F.min("c").alias("c"), F.max("c").alias("c2"), F.min("id").alias("first"), F.any_value("packed").alias("packed"))
     one = one.where(F.assert_true(F.col("c") == F.col("c2"), F.lit("two texts have the same hash")).isNull())
-    return cut_lineage(one.join(marks, "t").select("t", "c", "first", "anchors", "packed"))
+    return cut_lineage(one.join(marks, "t").select("t", "first", "anchors", "packed"))
 
 
 def _cut(marked: DataFrame, window: int, with_words: bool) -> DataFrame:
     """The fragments of ``marked`` texts: ``(anchor, piece, first, last, words)``, where equal fragments of a task are
-    merged into one row with the smallest and largest id, or ``(anchor, piece, first, t, c, start)`` for each."""
-    names = ["anchor", "piece", "first", *(["last", "words"] if with_words else ["t", "c", "start"])]
+    merged into one row with the smallest and largest id, or ``(anchor, piece, first, t, start)`` for each."""
+    names = ["anchor", "piece", "first", *(["last", "words"] if with_words else ["t", "start"])]
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         import zstandard
@@ -258,7 +261,7 @@ def _cut(marked: DataFrame, window: int, with_words: bool) -> DataFrame:
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, _, at, text, anchor, piece, start, _ in parts(batches):
-            of = {n: part[n].to_numpy(np.int64)[text] for n in ("first", "t", "c")}
+            of = {n: part[n].to_numpy(np.int64)[text] for n in ("first", "t")}
             yield pd.DataFrame({"anchor": anchor, "piece": piece, **of, "start": start - at[text]})[names]
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,8 +280,8 @@ def _cut(marked: DataFrame, window: int, with_words: bool) -> DataFrame:
                 known = {}
         yield pd.DataFrame([(*k, *v) for k, v in known.items()], columns=names)
 
-    schema = "anchor long, piece long, first long, " + ("last long, words binary" if with_words else "t long, c long, start long")
-    return marked.select("first", "anchors", "packed", "t", "c").mapInPandas(distinct if with_words else occurrences, schema)
+    schema = "anchor long, piece long, first long, " + ("last long, words binary" if with_words else "t long, start long")
+    return marked.select("first", "anchors", "packed", "t").mapInPandas(distinct if with_words else occurrences, schema)
 
 
 def _hashed(pieces) -> list[np.ndarray]:
@@ -338,8 +341,8 @@ def piece_owners(pieces: DataFrame, hot: DataFrame, window: int, shards: int) ->
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_texts: int = HOT_TEXTS) -> DataFrame:
-    """``(t, c, starts)``: the windows (by first word) of each text that also start in a document with a smaller id
-    than the smallest one that has the text."""
+    """``(t, starts)``: the windows (by first word) of each text that also start in a document with a smaller id than the
+    smallest one that has the text (``marked_texts`` has seen that no other text shares its ``t``)."""
     # 40 bits of the hash tell two texts apart here (they don't once in 10 ** 12 anchors) and move in less space.
     some = F.col("t").bitwiseAND(F.lit((1 << 40) - 1))
     shared = anchors_of(docs, window).groupBy("anchor").agg(
@@ -350,8 +353,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_texts: int = HOT
     hot = shared.where(F.col("n") > hot_texts).select("anchor")
     owners = piece_owners(_cut(marked, window, True), hot, window, shards)
     taken = F.expr("filter(transform(owners, (o, i) -> if(o < first, start + at + i, null)), x -> x is not null)")
-    hits = _cut(marked, window, False).join(owners, ["anchor", "piece"]).select("t", "c", taken.alias("starts"))
-    return hits.where(F.size("starts") > 0).groupBy("t", "c").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    hits = _cut(marked, window, False).join(owners, ["anchor", "piece"]).select("t", taken.alias("starts"))
+    return hits.where(F.size("starts") > 0).groupBy("t").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def kept_words(packed: bytes | None, starts, copy: bool, window: int) -> tuple[list[bytes], int]:
@@ -377,11 +380,11 @@ def with_windows(docs: DataFrame, window: int = WINDOW, hot_texts: int = HOT_TEX
     keyed = _keyed(docs)
     first = keyed.groupBy("t", "c").agg(F.min("id").alias("__first"), F.max("id").alias("hi")).where("__first < hi")
     starts = repeated_windows(docs, window, hot_texts)
-    known = first.select("t", "c", "__first").join(starts, ["t", "c"], "full").toDF("__t", "__c", "__first", "__starts")
+    known = first.select("t", "c", "__first").join(starts, "t", "full").toDF("__t", "__c", "__first", "__starts")
     text = F.col("text")
     rows = docs.withColumn("__th", F.xxhash64(text)).withColumn("__ch", F.crc32(text.cast("binary")))
     rows = rows.withColumn("__null", text.isNull()).withColumn("__packed", _pack(text)).drop("text")
-    out = rows.join(known, (F.col("__th") == F.col("__t")) & (F.col("__ch") == F.col("__c")) & ~F.col("__null"), "left")
+    out = rows.join(known, (F.col("__th") == F.col("__t")) & (F.col("__c").isNull() | (F.col("__ch") == F.col("__c"))) & ~F.col("__null"), "left")
     copy = F.coalesce(id_or_last("doc_id") > F.col("__first"), F.lit(False))
     return out.withColumn("__copy", copy).select(*[c for c in docs.columns if c != "text"], "__packed", "__starts", "__copy")
 
