@@ -125,6 +125,27 @@ def test_passages(spark, odd, hot):
     assert kept[0] is None and kept[2] == " \t\n" and kept[9] == ""
 
 
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_passages_of_periodic_texts_with_other_middles(spark, hot):
+    def lines(down, n=24):
+        return " ".join(f"status of node is {'down' if i in down else 'ok'}" for i in range(n))
+
+    texts = [lines(x) for x in ((), (12,), (15,), (12, 15), (11, 13), (9, 16, 17))]
+    texts += [lines((5, 7), 40), lines((5, 9), 40), "begin " + lines((14,)) + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((tuple(r) for r in substrings.passage_digest(docs, hot_texts=hot).collect()), key=str)
+    assert got == brute_passages(rows_of(docs), 13)
+    # One fragment from the first recurring anchor to the last, whatever stands between: all of them differ.
+    encoded = [t.encode() for t in texts]
+    words, first = substrings.word_hashes(encoded)
+    anchors = np.unique(substrings.window_anchors(words, first)[0])
+    tokens = b" ".join(encoded).split()
+    _, anchor, piece, lo, hi = substrings.fragments(words, first, anchors, 13)
+    known = {}
+    for key, a, b in zip(zip(anchor.tolist(), piece.tolist()), lo.tolist(), hi.tolist()):
+        assert known.setdefault(key, tokens[a:b]) == tokens[a:b]
+
+
 def test_passages_of_the_table(spark):
     docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text")
     assert sorted((tuple(r) for r in substrings.passage_digest(docs).collect()), key=str) == brute_passages(rows_of(docs), 13)

@@ -67,8 +67,9 @@ def anchor_rows(keys: np.ndarray, words: np.ndarray, first: np.ndarray, window:
 
 def fragments(words: np.ndarray, first: np.ndarray, shared: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """(text, anchor, piece, first word, end) of the fragments of some texts: the runs of windows that have one
-    ``shared`` anchor. ``piece`` is a hash of the fragment's first and last window and its length. Positions count from
-    the first text on."""
+    ``shared`` anchor. ``piece`` is a hash of all windows of the fragment, each at its place, so of all its words: an
+    anchor that recurs makes a run of any length, whose ends say nothing of its middle. Positions count from the first
+    text on."""
     anchors, whole = window_anchors(words, first, window)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(anchors)]
     keep = whole & np.isin(anchors, shared)
@@ -77,9 +78,15 @@ def fragments(words: np.ndarray, first: np.ndarray, shared: np.ndarray, window:
     starts = np.flatnonzero(change)
     ends = np.append(starts[1:], len(anchors))
     starts, ends = starts[keep[starts]], ends[keep[starts]]
-    full = window_hashes(words, window)
+    lengths = ends - starts
+    if not len(starts):
+        return owner[starts], anchors[starts], np.zeros(0, dtype=np.int64), starts, ends
+    begins = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(begins, lengths)
+    full = window_hashes(words, window)[np.repeat(starts, lengths) + place]
     with np.errstate(over="ignore"):
-        piece = mix64(full[starts] ^ mix64(full[ends - 1] + (ends - starts).astype(np.uint64))).view(np.int64)
+        placed = mix64(full + mix64(place.astype(np.uint64)))
+        piece = mix64(np.add.reduceat(placed, begins) ^ mix64(lengths.astype(np.uint64))).view(np.int64)
     return owner[starts], anchors[starts], piece, starts, ends + window - 1
 
 
