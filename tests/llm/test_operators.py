@@ -302,6 +302,20 @@ def test_fingerprints(odd):
     assert fingerprints.compare_with_edits(odd).count() == odd.count() and fingerprints.compare_with_edits(odd.limit(0)).count() == 0
 
 
+def test_fingerprints_of_long_texts():
+    rng = np.random.default_rng(4)
+    long = [" ".join(map(str, rng.integers(0, 2**60, 100_000).tolist())) for _ in range(2)]
+    half = long[0][: len(long[0]) // 2]
+    often = " ".join(["one two three"] * 300 + ["four five"] * 100)
+    less = " ".join(["one two three"] * 100 + ["four five"] * 300)
+    sig = fingerprints.signatures([*long, half, often, less, ""], 1024)
+    assert fingerprints.likeness(sig[0], sig[1], False, False) < 0.01
+    assert fingerprints.likeness(sig[0], sig[2], False, False) == pytest.approx(0.5, abs=0.06)
+    a, b = (Counter(w := t.split()) + Counter(zip(w, w[1:])) for t in (often, less))
+    assert fingerprints.likeness(sig[3], sig[4], False, False) == pytest.approx(sum((a & b).values()) / sum((a | b).values()), abs=0.06)
+    assert not sig[5].any()
+
+
 @pytest.mark.parametrize("key", ["op2_nearest_neighbours", "op3_sharding", "op7_mixing", "op9_warc"])
 def test_sql(spark, key):
     from webmine.llm.oracles import ORACLES

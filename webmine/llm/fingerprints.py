@@ -1,10 +1,11 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text is a bag of weighted terms: its words and its pairs of adjacent words, each weighing as often as it occurs,
-hashed to ``2 ** TERM_BITS`` dimensions. For each of ``SAMPLES`` samples every dimension has fixed random numbers
-r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1). With t = floor(ln(w) / r + b), a term of weight w draws
-ln a = ln c - r * (t - b) - r, and the sample is the pair (dimension, t) of the smallest a. Two texts agree in a
-sample with the probability of their generalised Jaccard similarity, sum of minima over sum of maxima.
+A text is a bag of weighted terms: its words and its pairs of adjacent words, each a 64-bit hash, weighing as often as
+it occurs. As weights are whole numbers, a weight w is the occurrences (term, 1) to (term, w); each has one random rank
+per sample, which its hash alone decides, and the sample is the occurrence of the smallest rank. It is uniform over the
+weights and consistent between texts, so two texts agree in a sample with the probability of their generalised Jaccard
+similarity, sum of minima over sum of maxima, however long they are. A sample is kept as 16 bits, so unequal ones agree
+once in 65,536.
 """
 
 from __future__ import annotations
@@ -17,89 +18,44 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache
+from .minhash import prob_minhash
 from .words import chunks, mix64, window_hashes, word_hashes
 
 SAMPLES = 128
-TERM_BITS = 16
-#: Terms whose draws are held at a time (times SAMPLES numbers).
-_ROWS = 1 << 13
-_PAIR = np.uint64(0xA0761D6478BD642F)
+_PAIR, _TIMES = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
-def _uniform(stream: int, samples: int, bits: int) -> np.ndarray:
-    x = np.arange(samples << bits, dtype=np.uint64) + (np.uint64(stream) << np.uint64(56))
-    return (((mix64(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53).reshape(1 << bits, samples)
-
-
-def sample_tables(samples: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """r, b, ln c and, for the common weight 1 (t = 0), ln a of every (dimension, sample)."""
-    r = -np.log(_uniform(1, samples, bits) * _uniform(2, samples, bits))
-    ln_c = np.log(-np.log(_uniform(3, samples, bits) * _uniform(4, samples, bits)))
-    b = _uniform(5, samples, bits)
-    return tuple(x.astype(np.float32) for x in (r, b, ln_c, ln_c + r * b - r))
-
-
-def weighted_terms(encoded: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(dimension, weight) of each text's terms, sorted, and where each text's terms begin."""
+def term_occurrences(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the (term, 1), (term, 2) ... of each text, and where each text's begin."""
     words, first = word_hashes(encoded)
     text_of = np.repeat(np.arange(len(encoded)), np.diff(first))
     pairs = window_hashes(words ^ _PAIR, 2)
     inside = text_of[:-1] == text_of[1:]
-    dims = np.concatenate((words, pairs[inside])) >> np.uint64(64 - bits)
-    texts = np.concatenate((text_of, text_of[:-1][inside])).astype(np.uint64)
-    keys, weights = np.unique((texts << np.uint64(bits)) | dims, return_counts=True)
-    starts = np.searchsorted(keys, np.arange(len(encoded) + 1, dtype=np.uint64) << np.uint64(bits))
-    return (keys & np.uint64((1 << bits) - 1)).astype(np.int64), weights, starts
-
-
-def signatures(texts: list[str], samples: int = SAMPLES, bits: int = TERM_BITS) -> np.ndarray:
+    terms = np.concatenate((words, pairs[inside]))
+    texts = np.concatenate((text_of, text_of[:-1][inside]))
+    order = np.lexsort((terms, texts))
+    terms, texts = terms[order], texts[order]
+    new = np.ones(len(terms), dtype=bool)
+    new[1:] = (terms[1:] != terms[:-1]) | (texts[1:] != texts[:-1])
+    at = np.flatnonzero(new)
+    times = np.arange(len(terms)) - np.repeat(at, np.diff(at, append=len(terms)))
+    with np.errstate(over="ignore"):
+        keys = mix64(terms + times.astype(np.uint64) * _TIMES)
+    return keys, np.searchsorted(texts, np.arange(len(encoded) + 1))
+
+
+def signatures(texts: list[str], samples: int = SAMPLES) -> np.ndarray:
     """A row of ``samples`` 16-bit numbers per text; zeros for a text without words."""
-    tables = process_cache(f"cws:{samples}:{bits}", lambda: sample_tables(samples, bits))
     out = np.zeros((len(texts), samples), dtype=np.uint16)
     for base, encoded in chunks(texts, limit=1 << 19):
-        dims, weights, starts = weighted_terms(encoded, bits)
-        best = np.full((len(encoded), samples), np.inf, dtype=np.float32)
-        pick = np.zeros((len(encoded), samples), dtype=np.int64)
-        owner = np.repeat(np.arange(len(encoded)), np.diff(starts))
-        for lo in range(0, len(dims), _ROWS):
-            _draw(tables, dims[lo : lo + _ROWS], weights[lo : lo + _ROWS], owner[lo : lo + _ROWS], lo, best, pick)
+        keys, starts = term_occurrences(encoded)
+        # Points of equal rate, dealt to the samples at random: in each, the first point of an occurrence is its rank.
+        kept = prob_minhash(keys, np.ones(len(keys)), starts, samples)
         full = np.flatnonzero(np.diff(starts))
-        if len(full):
-            k = pick[full]
-            t = _levels(tables, dims[k], weights[k])
-            sampled = mix64((dims[k].astype(np.uint64) << np.uint64(32)) ^ (t + 2.0**20).astype(np.uint64))
-            out[base + full] = (sampled >> np.uint64(48)).astype(np.uint16)
+        out[base + full] = (mix64(kept[full]) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
-def _levels(tables: tuple, dims: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """t of the picked (dimension, weight) in each sample."""
-    sample = np.arange(dims.shape[1])[None, :]
-    r, b = tables[0][dims, sample], tables[1][dims, sample]
-    return np.floor(np.log(weights).astype(np.float32) / r + b)
-
-
-def _draw(tables: tuple, dims, weights, owner, base: int, best: np.ndarray, pick: np.ndarray) -> None:
-    """Lower ``best`` (smallest ln a per text and sample) and its ``pick`` by some terms."""
-    r, b, ln_c, once = tables
-    a = once[dims]
-    more = np.flatnonzero(weights != 1)
-    if len(more):
-        d = dims[more]
-        t = np.floor(np.log(weights[more]).astype(np.float32)[:, None] / r[d] + b[d])
-        a[more] = ln_c[d] - r[d] * (t - b[d]) - r[d]
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    ends = np.append(first[1:], len(owner))
-    for lo, hi in zip(first.tolist(), ends.tolist(), strict=True):
-        part, text = a[lo:hi], owner[lo]
-        at = part.argmin(axis=0)
-        low = part[at, np.arange(part.shape[1])]
-        better = low < best[text]
-        best[text][better] = low[better]
-        pick[text][better] = base + lo + at[better]
-
-
 def likeness(a: np.ndarray, b: np.ndarray, a_empty: bool, b_empty: bool) -> float:
     """The share of equal samples; texts without words are like each other only."""
     return float(a_empty and b_empty) if a_empty or b_empty else float((a == b).mean())
@@ -109,12 +65,12 @@ def _has_words(text: str) -> bool:
     return bool(text.encode("utf-8", "surrogatepass").split())
 
 
-def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, bits: int = TERM_BITS) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """``(doc_id, fingerprint)``: the signature of every whole text as hex (4 digits a sample). NULL text: as empty."""
 
     @F.pandas_udf("string")
     def sign(texts: pd.Series) -> pd.Series:
-        sig = signatures([t if isinstance(t, str) else "" for t in texts], samples, bits)
+        sig = signatures([t if isinstance(t, str) else "" for t in texts], samples)
         return pd.Series([row.astype(">u2").tobytes().hex() for row in sig])
 
     return docs.select("doc_id", sign("text").alias("fingerprint"))
@@ -156,7 +112,7 @@ def with_successors(docs: DataFrame, parts_per_task: int = 2) -> DataFrame:
     return dealt.sortWithinPartitions("__part", "__tail", F.col("__key").desc(), "__hash")
 
 
-def compare_with_edits(docs: DataFrame, samples: int = SAMPLES, bits: int = TERM_BITS) -> DataFrame:
+def compare_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Per document: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
     The edited text has the last floor(n_chars / 3) code points replaced by as many of the next document's first ones
@@ -172,7 +128,7 @@ def compare_with_edits(docs: DataFrame, samples: int = SAMPLES, bits: int = TERM
         for batch in batches:
             texts = batch["text"].tolist()
             ids = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
-            rows = kept + list(zip(batch["__part"], batch["__tail"], ids, texts, signatures(texts, samples, bits), strict=True))
+            rows = kept + list(zip(batch["__part"], batch["__tail"], ids, texts, signatures(texts, samples), strict=True))
             pairs = [(x, y) for x, y in zip(rows, rows[1:], strict=False) if not x[1]]
             kept = rows[-1:]
             edits = []
@@ -180,7 +136,7 @@ def compare_with_edits(docs: DataFrame, samples: int = SAMPLES, bits: int = TERM
                 n = len(x[3]) // 3
                 edits.append(x[3][: len(x[3]) - n] + y[3][:n])
             out = []
-            for (x, y), edit, sig in zip(pairs, edits, signatures(edits, samples, bits), strict=True):
+            for (x, y), edit, sig in zip(pairs, edits, signatures(edits, samples), strict=True):
                 empty = not _has_words(x[3])
                 out.append((
                     None if x[2] is None else str(x[2]), len(x[3]),
