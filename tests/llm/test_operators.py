@@ -263,6 +263,19 @@ def test_packing(odd):
     assert max(at.values()) <= 2048 and packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    bpe = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"  {end}  \n\n {end}x", "<|endoftext|", "<|endoftext |>", f"ü{end}' ll{end}'ll", f"1{end[:5]}{end}2 "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], dtype="<u4").tolist() for r in rows_of(packing.tokenized_pieces(docs, with_ids=True))}
+    assert got == {i: [*bpe.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert got[0] == [64, 220, 50256, 275, 0]
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a/", "<p>ä</p>"), (2, "http://b/", "<p>ä</p>"), (3, None, None), (4, "u\r\nv", ""), (None, "n", "only"), (5, "z", "x" * 200_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit(1))

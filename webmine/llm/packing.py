@@ -14,6 +14,7 @@ one of its lengths runs short.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,39 +32,45 @@ CAPACITY = 2048
 END_ID = 0
 
 
-def byte_bpe(path: str, pattern: str):
-    """The byte-level BPE of a rank file (base64 token, rank), as tiktoken runs it."""
+def byte_bpe(path: str, pattern: str, added: dict[str, int]):
+    """The byte-level BPE of a rank file (base64 token, rank) with some added tokens, as tiktoken runs it."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
-def default_vocabulary() -> tuple[str, str]:
-    """Path and split pattern of the byte-level BPE with 50,257 ids (the ids of ``byte_bpe_50k.json``)."""
+def default_vocabulary() -> tuple[str, str, dict[str, int]]:
+    """Path, split pattern and added tokens of the byte-level BPE with 50,257 ids (the ids of ``byte_bpe_50k.json``)."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added
 
 
 def tokenized_pieces(
-    docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str] | None = None, with_ids: bool = False
+    docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str, dict[str, int]] | None = None, with_ids: bool = False
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``: the documents' ids, each ended by id 0, in pieces.
 
     Documents of more than ``capacity`` ids are cut into pieces of that length, of which the first may be shorter.
-    ``ids``: little-endian unsigned 32-bit ids. Strings of special tokens in a text are ordinary text.
+    ``ids``: little-endian unsigned 32-bit ids. Added tokens of the vocabulary that a text holds literally
+    are cut out and have their own ids, as in ``tokenizers``.
     NULL text: as empty (the id 0 alone). NULL and repeated doc_ids are kept as they are.
     """
-    path, pattern = vocabulary or default_vocabulary()
+    path, pattern, added = vocabulary or default_vocabulary()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = process_cache(f"bpe:{path}", lambda: byte_bpe(path, pattern))
+        bpe = process_cache(f"bpe:{path}:{pattern}:{sorted(added.items())}", lambda: byte_bpe(path, pattern, added))
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.asarray([*bpe.encode_ordinary(text if isinstance(text, str) else ""), END_ID], dtype="<u4")
+                text = text if isinstance(text, str) else ""
+                holds = any(t in text for t in added)
+                ids = bpe.encode(text, allowed_special="all", disallowed_special=()) if holds else bpe.encode_ordinary(text)
+                ids = np.asarray([*ids, END_ID], dtype="<u4")
                 first = len(ids) % capacity or capacity
                 cuts = [0, *range(first, len(ids), capacity), len(ids)]
                 for k in range(len(cuts) - 1):
@@ -164,7 +171,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.select(*pieces.columns, "__place.sequence_id", "__place.offset")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str, dict[str, int]] | None = None) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``: where each piece of each document lies.
 
     Empty tables give an empty result; NULL texts are documents of one token. Extra columns are not read. Tokens are
