@@ -208,6 +208,23 @@ def test_deobfuscation():
     assert not toxicity.looks_disguised("plain words, all of them.")
 
 
+def test_every_disguise_is_restored():
+    text = "you are a stupid clown and an idiot with words of many kinds moron " * 30
+    x = toxicity.letter_codes(text)
+    costs = toxicity.trigram_costs(np.bincount((x[:-2] * 64 + x[1:-1]) * 64 + x[2:], minlength=64**3))
+    hidden = {"id.iot": "idiot", "st_upid": "stupid", "mo/ron": "moron", "i d 1 0 t": "idiot", "i.d.1.0.t": "idiot", "i  d  i  o  t": "idiot",
+              "i - d - i - o - t": "idiot", "1 d 1 0 t": "idiot", "m\to\nr o n": "moron", "i'd'i'o't": "idiot"}
+    for text, plain in hidden.items():
+        assert toxicity.looks_disguised(text), text
+        assert toxicity._restored_batch([f"so {text} then"], costs) == [f"so {plain} then".encode()], text
+    rng = np.random.default_rng(8)
+    signs = list("aidotж½01$*!.,-_/'|~ \u0301  ")
+    for _ in range(3000):  # what restored() changes by its decoder passes
+        t = "".join(rng.choice(signs, 12))
+        if toxicity.restored(t, lambda token: f"<{token}>") != toxicity.restored(t, lambda token: token):
+            assert toxicity.looks_disguised(t), t
+
+
 def test_mixing(odd, spark):
     got = rows_of(mixing.mix_sources(odd))
     assert len(got) == odd.count() and all(r["taken"] <= 3 * r["size"] for r in got)

@@ -134,8 +134,27 @@ _MIXED = re.compile(r"[^\W\d_]")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 
 
-def restored(text: str, decode) -> str:
-    """The lower-cased text with its disguised tokens restored by ``decode``."""
+def token_parts(token: str) -> tuple[str, str, tuple[tuple[str, bool], ...]]:
+    """What a lower-case token is: ``("single", sign, ())`` for one letter or sign of ``LEET``, ``("spacer", "", ())`` for
+    spacers alone, or ``("word", "", parts)`` with each part and whether it has to be decoded."""
+    core = _TAIL.sub("", _EDGE.sub("", token))
+    if len(core) == 1 and (core.isalpha() or core in LEET):
+        return "single", core, ()
+    if not core and all(c in SPACERS for c in token):
+        return "spacer", "", ()
+    if core.isalpha() and not _TRIPLE.search(core):
+        return "word", "", ((core, False),)
+    if len(core) > 1 and _MIXED.search(core):
+        parts = core.split("-") if "-" in core else [core]
+        if all(len(p) > 1 for p in parts):  # words that a hyphen joins are words of their own
+            return "word", "", tuple((p, not p.isalpha() or bool(_TRIPLE.search(p))) for p in parts)
+        return "word", "", ((core, True),)
+    return "word", "", ((core, False),)
+
+
+def restored(text: str, decode, parts_of=token_parts) -> str:
+    """The lower-cased text with its disguised tokens restored by ``decode``. Letters and signs that stand alone, three
+    or more in a row with white space or spacers between them, are one token."""
     out: list[str] = []
     single: list[str] = []
 
@@ -147,41 +166,23 @@ def restored(text: str, decode) -> str:
         single.clear()
 
     for token in text.lower().split():
-        core = _TAIL.sub("", _EDGE.sub("", token))
-        if len(core) == 1 and (core.isalpha() or core in LEET):
-            single.append(core)
-            continue
-        flush()
-        if core.isalpha() and not _TRIPLE.search(core):
-            out.append(core)
-        elif len(core) > 1 and _MIXED.search(core):
-            parts = core.split("-") if "-" in core else [core]
-            if all(len(p) > 1 for p in parts):  # words that a hyphen joins are words of their own
-                out.extend(decode(p) if not p.isalpha() or _TRIPLE.search(p) else p for p in parts)
-            else:
-                out.append(decode(core))
-        else:
-            out.append(core)
+        kind, sign, parts = parts_of(token)
+        if kind == "single":
+            single.append(sign)
+        elif kind == "word":
+            if single:
+                flush()
+            for part, disguised in parts:
+                out.append(decode(part) if disguised else part)
     flush()
     return " ".join(out)
 
 
 def looks_disguised(text: str) -> bool:
-    """Whether a text has a sign of ``LEET`` or a spacer between or before letters, three equal letters in a row, or
-    letters that stand alone three times in a row (all tests on arrays, before any token is looked at)."""
-    points = np.frombuffer(f"\n\n{text.lower()}\n\n".encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    kinds = np.zeros(0x3000, dtype=np.uint8)
-    kinds[[ord(c) for c in LETTERS]] = 1
-    kinds[[ord(c) for c in LEET]] = 2
-    kinds[[ord(c) for c in SPACERS if c != " "]] = 3
-    k = kinds[np.where(points < len(kinds), points, 0)]
-    letter, leet = k == 1, k == 2
-    if (leet[1:-1] & letter[2:]).any() or (leet[1:-1] & letter[:-2]).any():
-        return True
-    if (letter[2:] & (points[2:] == points[1:-1]) & (points[1:-1] == points[:-2])).any():
-        return True
-    alone = letter[1:-1] & ~letter[:-2] & ~letter[2:]
-    return bool((alone[:-4] & alone[2:-2] & alone[4:]).any())
+    """Whether ``restored`` has anything of a text decoded."""
+    seen: list[str] = []
+    restored(text, lambda token: seen.append(token) or token)
+    return bool(seen)
 
 
 # --- features --------------------------------------------------------------------------------------------------------
@@ -280,12 +281,10 @@ class ToxicityModel:
 
 
 def _restored_batch(texts: list[str | None], costs: np.ndarray) -> list[bytes]:
+    """The restored text of each, as UTF-8. Every text is restored: no test on its characters comes before."""
     decode = lru_cache(maxsize=50_000)(lambda token: restore_token(token, costs))
-    out = []
-    for t in texts:
-        t = t if isinstance(t, str) else ""
-        out.append((restored(t, decode) if looks_disguised(t) else t.lower()).encode("utf-8", "surrogatepass"))
-    return out
+    parts_of = lru_cache(maxsize=200_000)(token_parts)
+    return [restored(t if isinstance(t, str) else "", decode, parts_of).encode("utf-8", "surrogatepass") for t in texts]
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, float]:
