@@ -198,6 +198,18 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_training_sample_has_one_text_per_id(spark):
+    hot = next(i for i in range(3, 99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(i % 3, f"text {i}") for i in range(60)] + [(hot, f"other {i}") for i in range(500)] + [(100, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ids = [0, 1, 2, hot, 100]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    learned = [i for i in ids if zlib.crc32(str(i).encode()) % 4 != 2 and i != 100]
+    got = sorted((r["text"], r["toxic"]) for r in rows_of(toxicity.training_sample(docs, labels, 20)))
+    assert len(got) == len(learned) and sum(t.startswith("other") for t, _ in got) == 1
+    assert got == sorted((r["text"], r["toxic"]) for r in rows_of(toxicity.training_sample(docs.repartition(7), labels, 20)))
+
+
 def test_deobfuscation():
     text = "you are a stupid clown and an idiot with words of many kinds " * 30
     x = toxicity.letter_codes(text)

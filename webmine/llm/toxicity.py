@@ -306,14 +306,17 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """``(text, toxic)`` of at most ``rows`` labelled documents that aren't held out, checkpointed.
 
-    Labels without an id or value are not used; a document with several labels is toxic if one says so.
+    Labels without an id or value are not used; a document with several labels is toxic if one says so. Of the rows that
+    share an id one text is taken, the one with the smallest hash.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(rows)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     # The limit bounds the broadcast side: an id and a bit for each of `rows` labels.
-    return cut_lineage(texts.join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic")))
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id")
+    one = found.agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    return cut_lineage(one.select("text", (F.col("toxic") > 0).alias("toxic")))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> ToxicityModel:
