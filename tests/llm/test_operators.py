@@ -181,6 +181,20 @@ def test_extraction(spark):
     assert got[2]["text"] == got[None]["text"] == got[4]["text"] == "" and len(got) == 5
 
 
+def test_extraction_keeps_short_blocks_beside_long_paragraphs():
+    long = "<p>" + "A sentence of the article, with words and marks; it goes on. " * 20 + "</p>"
+    inside = """<h1>Head</h1><div class="lead"><p>Short lead of the text.</p></div>%s<table><tr><th>Year</th><td>1,204</td></tr>
+    <tr><th>Town</th><td>Ulm</td></tr></table>%s<ul><li>first item</li><li>second</li></ul>
+    <div class="figure"><img src=x><div class="caption">A caption</div></div>%s<div class="share"><p>Share this.</p></div>
+    <ul class="more"><li><a href=/a>Another page</a></li><li><a href=/b>One more page</a></li></ul>""" % (long, long, long)
+    want = ["Head", "Short lead of the text.", "Year", "1,204", "Town", "Ulm", "first item", "second", "A caption"]
+    for page in (f"<body><nav>menu</nav><article>{inside}</article><div><p>Outside</p></div></body>",
+                 f"<body><div class=top><a href=/>Home</a></div><main><div>{inside}</div></main><footer>x</footer></body>",
+                 f"<body><div class=top><a href=/>Home</a></div><div class=text>{inside}</div><div class=low><p>Outside</p></div></body>"):
+        got = extraction.content_blocks(page)
+        assert [b for b in got if len(b) < 100] == want and len(got) == len(want) + 3
+
+
 def test_toxicity(spark):
     plain = [" ".join(words(30, 1000 + i)) for i in range(300)]
     insults = ["moronic idiot", "stupid clown"]

@@ -4,8 +4,9 @@ A page is cut into blocks of text. Each block has a path: the open elements from
 their class and id. Elements that never hold main text (scripts, forms, navigation, asides, footers, blocks whose
 class or id says advert, sidebar, comments and so on) are left out. Over the rest, text length and punctuation are
 aggregated per path (a menu has many short blocks without punctuation, an article long ones with much), smoothed over
-neighbouring blocks of the same section, and fused to one ratio; paths whose ratio passes a share of the best are
-content, and all their blocks are kept.
+neighbouring blocks of the same section, and fused to one ratio. The best path names the content root: article and
+main if it lies in one, else its section. Inside the root all paths are content but those of links alone; elsewhere
+those are whose ratio passes a share of the best. All blocks of content paths are kept.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ WHOLE = frozenset("html body article main".split())
 PUNCTUATION = frozenset(".,;:!?…。、，！？；：¿¡")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
-#: A path is content if its ratio is at least this share of the page's best path.
+#: A path outside the content root is content if its ratio is at least this share of the page's best path.
 SHARE = 0.08
 #: Blocks inside article or main count this much more than others.
 MAIN_PRIOR = 4.0
@@ -183,7 +184,18 @@ def content_blocks(html: str) -> list[str]:
         fused = length * (1 + mark) * (MAIN_PRIOR if b[2] else 1.0)
         best[b[0]] = max(best.get(b[0], 0.0), fused)
     top = max(best.values(), default=0.0)
-    return [b[3] for b in blocks if best[b[0]] > 0 and best[b[0]] >= SHARE * top]
+    if not top:
+        return []
+    lead = next(b for b in blocks if best[b[0]] == top)
+    # A section that the page as a whole is says nothing of what lies below it.
+    below = lead[1] + "/" if lead[1].rsplit("/", 1)[-1].split(".")[0] not in ("", "body") else None
+
+    def in_root(b: tuple[str, str, bool, str, int]) -> bool:
+        if lead[2]:
+            return b[2]
+        return b[1] == lead[1] or below is not None and b[1].startswith(below)
+
+    return [b[3] for b in blocks if best[b[0]] >= SHARE * top or in_root(b) and chars[b[0]] > 0]
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
