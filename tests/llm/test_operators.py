@@ -65,6 +65,25 @@ def test_components(spark):
     assert {(r.node, r.root) for r in components(links).collect()} == {(i, 1) for i in (1, 2, 3, 4, 9)} | {(10, 10), (11, 10), (20, 20)}
 
 
+def test_large_buckets_are_compared_whole(spark, monkeypatch):
+    import zstandard
+
+    monkeypatch.setattr(minhash, "SPLIT_OVER", 0)
+    monkeypatch.setattr(minhash, "TILE", 8, raising=False)
+    n = 60
+    texts = [" ".join(words(100, 500 + i // 3 if i % 2 else 900 + i) + words(3, i)) for i in range(n)]
+    keys, weights, starts = minhash.weighted_shingles([t.encode() for t in texts])
+    sets = [(keys[a:b], weights[a:b]) for a, b in zip(starts, starts[1:])]
+    near = [(i, j) for i in range(n) for j in range(i) if minhash.probability_jaccard(*sets[i], *sets[j]) >= 0.8]
+    assert len(near) == 10
+    # Band 5 is common to all texts and band 9 to many: no text shares a third band that would split them further.
+    rows = [(i, [7 if b == 5 else 8 if b == 9 and i % 4 else 10**6 + 100 * i + b for b in range(32)], [0] * 10,
+             zstandard.ZstdCompressor().compress(t.encode())) for i, t in enumerate(texts)]
+    signed = spark.createDataFrame(rows, "node long, bands array<long>, registers array<long>, packed binary")
+    got = {(r.node, r.root) for r in components(minhash.similar_links(signed, signed.select("node"))).collect() if r.node != r.root}
+    assert got == set(near)
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(120, 9))
