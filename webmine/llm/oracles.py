@@ -81,6 +81,43 @@ SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, {base32} AS payl
 FROM p JOIN f USING (payload)
 """
 
+
+def _op12(rounds: int = 6) -> str:
+    """The rounds of assigning and averaging, one pair of common table expressions each."""
+    distance = "list_sum(list_transform(range(1, len(d.v) + 1), lambda i: (d.v[i] - b.v[i]) * (d.v[i] - b.v[i])))::BIGINT"
+    sql = """
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda c: floor(4096 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), p AS MATERIALIZED (
+  SELECT rid, part, list_slice(x, part * (len(x) // 8) + 1, (part + 1) * (len(x) // 8)) AS v FROM k, range(0, 8) t(part)
+), d AS MATERIALIZED (SELECT part, v, count(*) AS n FROM p GROUP BY part, v
+), f AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM k QUALIFY e < 16
+), b0 AS MATERIALIZED (SELECT part, e, v FROM p JOIN f USING (rid))"""
+    for r in range(rounds + 1):
+        sql += f"""
+, a{r} AS MATERIALIZED (
+  SELECT part, v, n, arg_min(e, s * 16 + e) AS e, min(s) AS s FROM (SELECT d.part, d.v, d.n, b.e, {distance} AS s FROM d JOIN b{r} b USING (part))
+  GROUP BY part, v, n
+)"""
+        if r < rounds:
+            sql += f"""
+, c{r} AS (
+  SELECT part, e, i, sum(v[i] * n)::BIGINT AS s, sum(n)::BIGINT AS n FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM a{r}) GROUP BY part, e, i
+), m{r} AS (SELECT part, e, list((s - (s % n + n) % n) // n ORDER BY i) AS moved FROM c{r} GROUP BY part, e
+), b{r + 1} AS MATERIALIZED (SELECT part, e, coalesce(moved, v) AS v FROM b{r} LEFT JOIN m{r} USING (part, e))"""
+    return sql + f"""
+, h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds}
+), o AS (
+  SELECT rid, string_agg(printf('%02x', e::INTEGER), '' ORDER BY part) AS code, sum(s)::BIGINT AS error
+  FROM p JOIN a{rounds} USING (part, v) GROUP BY rid
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM k JOIN o USING (rid), h
+"""
+
+
 def _crc_table() -> list[int]:
     """The byte table of CRC-32 (polynomial EDB88320, as in gzip): eight shifts of each byte."""
     table = []
@@ -112,5 +149,6 @@ ORACLES = {
     "op2_nearest_neighbours": _OP2,
     "op3_sharding": _with_crc(_OP3),
     "op7_mixing": _OP7,
+    "op12_vector_codes": _op12(),
     "op9_warc": _OP9.replace("{base32}", _base32_sha1()),
 }
