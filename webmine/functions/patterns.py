@@ -18,18 +18,21 @@ LINK_PATTERN = (
 )
 
 # Java form of the link pattern: the same match set (and group spans), written so that Java's backtracking engine stays
-# linear where Go's RE2 is linear by construction. Each change relies on the character that must follow a run not being
-# in the run's class, so giving characters back can never help:
-#  - alternative 1: the tail run before the closing quote is possessive;
+# linear and keeps no stack where Go's RE2 is linear by construction:
+#  - no alternative's text holds a quote, so the closing quote is the next quote: a lookahead asks for it first, and an
+#    unclosed quote costs one scan to the end of the text;
+#  - runs whose next character isn't in the run's class are possessive;
 #  - alternative 2: two adjacent identical stars become one possessive star;
 #  - alternatives 3 and 4 ("dir/file.ext", "dir/name"): a lookahead checks the "/" at position >= 1 (and, for 4,
-#    three more characters after it), then the path run is taken possessively; the "?"/"#" tail is possessive.
+#    three more characters after it), then the path run is taken possessively; the "?"/"#" tail is possessive;
+#  - alternative 5 (dotted names): the group and the runs in it are possessive. Java walks a possessive group in a loop,
+#    but any other repeated group by recursion, which overflows the stack after some thousand repetitions.
 # The DuckDB oracle runs the original pattern above; tests/test_link_pattern.py checks both agree on random input.
 LINK_PATTERN_JAVA = (
-    r"""(?:"|')(?:(((?:[a-zA-Z]{1,10}:(?:\\)?/(?:\\)?/|//)[^"'/]{1,}\.[a-zA-Z]{2,}[^"']*+)|((?:/|\.\./|\./|\\/)"""
+    r"""["'](?=[^"']*+["'])(?:(((?:[a-zA-Z]{1,10}:(?:\\)?/(?:\\)?/|//)[^"'/]{1,}\.[a-zA-Z]{2,}[^"']*+)|((?:/|\.\./|\./|\\/)"""
     r"""[^"'><,;|*()(%%$^/\\\[\]][^"'><,;|()]*+))|((?=[a-zA-Z0-9_\-/]+/)[a-zA-Z0-9_\-/]*+\.[a-zA-Z0-9_]++"""
-    r"""(?:[\?|#][^"|']*+)?)|((?=[a-zA-Z0-9_\-/]+/[a-zA-Z0-9_\-/]{3})[a-zA-Z0-9_\-/]*+(?:[\?|#][^"|']*+)?)|([a-zA-Z0-9_\-]+"""
-    r"""(?:\.[a-zA-Z0-9_]{1,})+)|([a-zA-Z0-9_\-/]+/))(?:"|')"""
+    r"""(?:[\?|#][^"|']*+)?)|((?=[a-zA-Z0-9_\-/]+/[a-zA-Z0-9_\-/]{3})[a-zA-Z0-9_\-/]*+(?:[\?|#][^"|']*+)?)|([a-zA-Z0-9_\-]++"""
+    r"""(?:\.[a-zA-Z0-9_]++)++)|([a-zA-Z0-9_\-/]+/))["']"""
 )
 
 # robots.txt rule pattern. Java's "." also stops at \r and Unicode line ends; Spark gets a (?d) prefix (UNIX_LINES).
@@ -128,7 +131,8 @@ BODY_SIMILARITY_CUT = 97
 # RFC 3986 appendix B split: 2 scheme, 3 "//"+authority, 4 authority, 5 path, 6 "?"+query, 7 query, 8 "#"+frag, 9 frag.
 URL_SPLIT = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?$"
 HAS_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
-DOMAIN_NAME = r"(?i)^([a-z0-9-]+\.)+[a-z]{2,}\z"
+# Possessive throughout: a label's run ends before its dot, and Java walks only possessive groups without recursion.
+DOMAIN_NAME = r"(?i)^(?:[a-z0-9-]++\.)++[a-z]{2,}+\z"
 # Unprintable or binary text: a control character or the replacement character.
 UNPRINTABLE = r"[\p{Cc}\x{FFFD}]"
 # A percent sign not followed by two hex digits makes a URL unparsable.
