@@ -6,10 +6,13 @@ rather than "earlier kept", which is order-free (differs only when A~B, B~C and
 
 Plan: one map-side pass computes each body's content hash and, with an Arrow-batched pandas UDF (numpy inside), its
 shingle hashes and MinHash signature, so the body text is never shuffled. Exact copies are grouped on the hash (narrow
-columns) and only one representative per group enters the band search. The signature is cut into bands, and each (host, band, band hash) bucket is
-searched leader-first: a body is verified against the bucket's smallest id, and only when that leader is not similar
-against the other earlier members below the best match so far. A cluster of near-copies therefore costs one
-comparison per member, not all pairs. Verification is the exact Jaccard on the shingle-hash sets (JVM side).
+columns), and only representatives go on, of those only the ones that share a signature band with another body.
+(Below a cut of BAND_CUT all go on.) They meet in a prefix-filter join: a body's shingles are ordered by rarity in its
+group, and two similar bodies must share one of their rarest. How many of them count follows from both sizes, so bodies
+are met by shingle *and* size classes: pages of one template with a few own words have only own shingles there and
+don't meet at all, unless they are similar. Each (group, shingle, size classes) bucket is searched leader-first: a body is verified against the
+bucket's smallest id, and only when that leader is not similar against the other earlier members below the best match
+so far. Verification is the exact Jaccard on the shingle-hash sets (JVM side).
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,12 +31,16 @@ from ..functions.patterns import BODY_SIMILARITY_CUT
 from ..session import cut_lineage
 
 N_BANDS, ROWS_PER_BAND = 24, 8  # P(miss | J=0.97) = (1 - 0.97^8)^24 < 1e-15; P(candidate | J=0.5) < 0.1
+#: From this similarity on, bodies without a common band are left out first (a pair is missed less than once in 10^11).
+BAND_CUT = 95
 _NUM_HASHES = N_BANDS * ROWS_PER_BAND
 _rng = np.random.default_rng(20240611)
 _A = (_rng.integers(1, 2**63 - 1, size=_NUM_HASHES, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _rng.integers(0, 2**63 - 1, size=_NUM_HASHES, dtype=np.int64).astype(np.uint64)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPLIT = None
+#: Size classes of the prefix-filter join: exact sizes up to CLASS_FROM shingles, then steps of CLASS_WIDTH (a ratio's log).
+CLASS_FROM, CLASS_WIDTH = 500, 0.002
 
 SIG_TYPE = T.StructType([
     T.StructField("sh", T.ArrayType(T.LongType())),
@@ -86,14 +93,66 @@ def _prepare(bodies: DataFrame, group: str) -> DataFrame:
 
 def exact_body_groups(bodies: DataFrame, group: str = "host") -> DataFrame:
     """``(page_id, grp, body_hash, dup_of)``; dup_of is the smallest id with the same body in the group (NULL for
-    that first one)."""
-    d = _prepare(bodies, group).select("page_id", "grp", F.sha2("text", 256).alias("body_hash"))
-    first = d.groupBy("grp", "body_hash").agg(F.min("page_id").alias("_first"))
-    return d.join(first, ["grp", "body_hash"]).select(
+    that first one). Bodies are read and hashed once."""
+    return _first_copies(cut_lineage(_prepare(bodies, group).select("page_id", "grp", F.sha2("text", 256).alias("body_hash"))))
+
+
+def _first_copies(hashed: DataFrame) -> DataFrame:
+    first = hashed.groupBy("grp", "body_hash").agg(F.min("page_id").alias("_first"))
+    return hashed.join(first, ["grp", "body_hash"]).select(
         "page_id", "grp", "body_hash", F.when(F.col("_first") < F.col("page_id"), F.col("_first")).alias("dup_of")
     )
 
 
+def _least_overlap(a: Column, b: Column, cut: int) -> Column:
+    """Shingles that two sets of these sizes share at least if they are ``cut``% similar."""
+    return F.floor((F.lit(cut) * (a + b) + (99 + cut)) / F.lit(100 + cut)).cast("int")
+
+
+def _size_class(size: Column) -> Column:
+    """Sizes below CLASS_FROM are classes of their own, above a class spans CLASS_WIDTH."""
+    wide = F.lit(CLASS_FROM) + F.floor(F.log(size / F.lit(float(CLASS_FROM))) / F.lit(CLASS_WIDTH))
+    return F.when(size < CLASS_FROM, size).otherwise(wide).cast("int")
+
+
+def prefix_rows(sets: DataFrame, cut: int) -> DataFrame:
+    """``(grp, tok, small, large, side, want, page_id)``: what a set is met by. ``sets``: (page_id, grp, sh).
+
+    Similar sets of sizes a <= b share at least k = ceil(cut (a + b) / (100 + cut)) shingles, so in any common order the
+    first that they share is among the first a - k + 1 of the one and b - k + 1 of the other. The order is by rarity in
+    the group, then hash. A set gives these shingles for each size class that a similar set can have. Rows meet where
+    group, shingle and both classes agree and the ``want`` of the one is the ``side`` of the other.
+    """
+    tokens = sets.select("page_id", "grp", F.explode("sh").alias("tok"))
+    often = tokens.groupBy("grp", "tok").agg(F.count(F.lit(1)).alias("n"))
+    by_rarity = F.array_sort(F.collect_list(F.struct("n", "tok")))
+    ordered = tokens.join(often, ["grp", "tok"]).groupBy("page_id", "grp").agg(by_rarity.alias("o"))
+    m = F.size("o")
+    least, most = F.floor((F.lit(cut) * m + 99) / 100).cast("int"), F.floor(F.lit(100) * m / F.lit(cut)).cast("int")
+    sizes = F.transform(F.sequence(least, most), lambda b: F.struct(_size_class(b).alias("c"), b.alias("b")))
+    d = ordered.select("page_id", "grp", "o", m.alias("m"), _size_class(m).alias("own"), sizes.alias("sizes"))
+    # the smallest size of each class of possible partners bounds the shared shingles from below
+    starts = F.filter("sizes", lambda s, i: (i == 0) | (F.get("sizes", i - 1)["c"] != s["c"]))
+    d = d.select("page_id", "grp", "o", "m", "own", F.explode(starts).alias("p"))
+    count = F.greatest(F.col("m") - _least_overlap(F.col("m"), F.col("p.b"), cut) + 1, F.lit(0))
+    d = d.select("page_id", "grp", "own", F.col("p.c").alias("other"), F.explode(F.slice("o", F.lit(1), count)).alias("t"))
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
+    want = F.when(F.col("own") < F.col("other"), 1).otherwise(0)
+    return d.select(
+        "grp", F.col("t.tok").alias("tok"), F.least("own", "other").alias("small"), F.greatest("own", "other").alias("large"),
+        side.alias("side"), want.alias("want"), "page_id",
+    )
+
+
+_BUCKET = ["grp", "tok", "small", "large"]
+
+
+def _leader_pairs(rows: DataFrame) -> DataFrame:
+    """Each row with the smallest id that it can meet in its bucket, where that is an earlier one: ``(..., x, y)``."""
+    leaders = rows.groupBy(*_BUCKET, F.col("side").alias("want")).agg(F.min("page_id").alias("x"))
+    return rows.withColumnRenamed("page_id", "y").drop("side").join(leaders, [*_BUCKET, "want"]).where("x < y")
+
+
 def similar_bodies(bodies: DataFrame, group: str = "host", cut: int = BODY_SIMILARITY_CUT) -> DataFrame:
     """``(page_id, grp, similar_to)`` for every body with an earlier body of its group at least ``cut``% similar
     (exact copies included); ``similar_to`` is the smallest such id."""
@@ -103,15 +162,15 @@ def similar_bodies(bodies: DataFrame, group: str = "host", cut: int = BODY_SIMIL
         .select("page_id", "grp", F.sha2("text", 256).alias("body_hash"), shingle_signature(F.lower("text")).alias("s"))
         .select("page_id", "grp", "body_hash", "s.sh", "s.bands")
     )
-    narrow = sig.select("page_id", "grp", "body_hash")
-    first_of = narrow.groupBy("grp", "body_hash").agg(F.min("page_id").alias("_first"))
-    exact = narrow.join(first_of, ["grp", "body_hash"]).select(
-        "page_id", "grp", F.when(F.col("_first") < F.col("page_id"), F.col("_first")).alias("dup_of")
-    )
+    exact = _first_copies(sig.select("page_id", "grp", "body_hash"))
     reps = exact.where(F.col("dup_of").isNull()).select("page_id")
-    banded = sig.select("page_id", "grp", F.posexplode("bands").alias("band", "bh")).join(reps, "page_id", "left_semi")
-    bucket = ["grp", "band", "bh"]
-    sh = sig.select("page_id", "sh")
+    met = reps
+    if cut >= BAND_CUT:  # below, bands could miss pairs, and the prefix-filter join alone is exact
+        banded = sig.select("page_id", "grp", F.posexplode("bands").alias("band", "bh")).join(reps, "page_id", "left_semi")
+        shared = banded.groupBy("grp", "band", "bh").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).where("lo < hi")
+        met = banded.join(shared, ["grp", "band", "bh"], "left_semi").select("page_id").distinct()
+    sh = cut_lineage(sig.select("page_id", "grp", "sh").join(met, "page_id", "left_semi").where(F.size("sh") > 0))
+    rows = cut_lineage(prefix_rows(sh, cut))
 
     def verify(cand: DataFrame) -> DataFrame:
         """Keep candidate pairs (x < y) whose exact shingle Jaccard is >= cut (integer arithmetic)."""
@@ -120,22 +179,17 @@ def similar_bodies(bodies: DataFrame, group: str = "host", cut: int = BODY_SIMIL
         )
         inter = F.size(F.array_intersect("shx", "shy"))
         union = F.size("shx") + F.size("shy") - inter
-        return v.where((F.size("shx") > 0) & (F.lit(100) * inter >= F.lit(cut) * union)).select("x", "y")
+        return v.where(F.lit(100) * inter >= F.lit(cut) * union).select("x", "y")
 
-    # Phase A: every body meets only the leader (smallest id) of each of its buckets — no all-pairs per bucket.
-    leaders = banded.groupBy(*bucket).agg(F.min("page_id").alias("leader"))
-    member = banded.join(leaders, bucket).where(F.col("page_id") > F.col("leader"))
-    pa = cut_lineage(verify(member.select(F.col("leader").alias("x"), F.col("page_id").alias("y")).distinct()))
+    # Phase A: every body meets only the smallest id that it can meet in each of its buckets.
+    led = _leader_pairs(rows)
+    pa = cut_lineage(verify(led.select("x", "y").distinct()))
     best_a = pa.groupBy("y").agg(F.min("x").alias("best"))
-    # Phase B: only where a bucket's leader is not similar, look at the other earlier members of that bucket below the
-    # best match found so far. Together A and B give the smallest similar earlier body among all LSH candidates.
-    open_ = (
-        member.join(pa.withColumnRenamed("x", "leader").withColumnRenamed("y", "page_id"), ["leader", "page_id"], "left_anti")
-        .join(best_a.withColumnRenamed("y", "page_id"), "page_id", "left")
-        .select(*bucket, F.col("page_id").alias("y"), "leader", "best")
-    )
-    others = banded.select(*bucket, F.col("page_id").alias("x"))
-    cb = open_.join(others, bucket).where(
+    # Phase B: only where that leader is not similar, look at the other earlier members of the bucket below the best
+    # match found so far. Together A and B give the smallest similar earlier body among all candidates.
+    open_ = led.join(pa, ["x", "y"], "left_anti").join(best_a, "y", "left").withColumnRenamed("x", "leader")
+    others = rows.select(*_BUCKET, F.col("side").alias("want"), F.col("page_id").alias("x"))
+    cb = open_.join(others, [*_BUCKET, "want"]).where(
         (F.col("x") > F.col("leader")) & (F.col("x") < F.col("y")) & (F.col("best").isNull() | (F.col("x") < F.col("best")))
     )
     pb = verify(cb.select("x", "y").distinct())
