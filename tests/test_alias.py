@@ -1,3 +1,9 @@
+import itertools
+import random
+from urllib.parse import parse_qsl
+
+from pyspark.sql import functions as F
+
 from webmine.operators import frontier as FR
 from webmine.operators import urls as UO
 
@@ -35,3 +41,58 @@ def test_alias_path(spark):
     df = spark.createDataFrame(rows, "seq bigint, url string")
     kept = sorted(r["seq"] for r in UO.collapse_query_aliases(df, "path").collect())
     assert kept == [1, 2, 4]
+
+
+def brute_global(rows):
+    """Sequence numbers that stay: no earlier URL with the same base, and none whose query carries every pair."""
+    parsed = []
+    for seq, url in rows:
+        base, _, query = url.partition("?")
+        first = {}
+        for k, v in parse_qsl(query, keep_blank_values=True):
+            first.setdefault(k, v)
+        parsed.append((seq, base, query, first))
+    kept = []
+    for seq, base, query, own in parsed:
+        earlier = [p for p in parsed if p[0] < seq]
+        covered = any(p[2] and all(p[3].get(k, "") == v for k, v in own.items()) for p in earlier)
+        if not (query and (covered or any(p[1] == base for p in earlier))):
+            kept.append(seq)
+    return kept
+
+
+def test_alias_global_equals_brute_force(spark):
+    rnd = random.Random(11)
+    rows = []
+    for seq in range(700):
+        names = rnd.sample("abcdef", rnd.randint(0, 4))
+        query = "&".join(f"{k}={rnd.choice(['', '1', '2', '3'])}" for k in names)
+        rows.append((seq, f"http://h{rnd.randint(0, 400)}.test/p{rnd.randint(0, 3)}" + (f"?{query}" if query else "")))
+    rows += [(700 + i, f"http://x.test/{i}?utm=feed&id={i % 60}&e={'' if i % 2 else 'x'}") for i in range(120)]
+    df = spark.createDataFrame(rows, "seq bigint, url string")
+    got = sorted(r["seq"] for r in UO.collapse_query_aliases(df, "global").collect())
+    assert got == brute_global(rows)
+
+
+def maps_and_keys(df):
+    keys = df.select(F.col("m").alias("_s"), F.array().cast("array<string>").alias("_e"), F.col("seq").alias("_kmin"))
+    return keys, df.select(F.col("m").alias("_m"), F.col("seq").alias("_tmin"), F.transform("m", lambda p: F.substring_index(p, UO.SEP, 1)).alias("_nv"))
+
+
+def test_facets_meet_few_supersets(spark):
+    facets = [[f"{n}{UO.SEP}{v}" for n, v in zip("abc", c, strict=True)] for c in itertools.product(range(13), repeat=3)]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(facets)], "seq bigint, m array<string>")
+    keys, maps = maps_and_keys(df)
+    wanted = keys.select(F.col("_s")[0].alias("lo"), F.col("_s")[1].alias("hi"))
+    met = keys.select(F.col("_s")[0].alias("lo"), F.col("_s")[1].alias("hi"), "_kmin").join(UO._maps_by_two_pairs(maps, wanted), ["lo", "hi"])
+    assert met.where("_tmin < _kmin").count() == 2197 * 6  # 371,293 on one pair
+    assert UO.superset_candidates(keys, maps).count() == 0
+
+
+def test_a_popular_pair_multiplies_no_rows(spark):
+    # 3,000 maps hold the popular pair, 500 keys ask for it alone with some empty name.
+    rows = [(i, [f"id{UO.SEP}{i}", f"utm{UO.SEP}feed"]) for i in range(3000)]
+    maps = maps_and_keys(spark.createDataFrame(rows, "seq bigint, m array<string>"))[1]
+    keys = spark.createDataFrame([([f"utm{UO.SEP}feed"], [f"e{i}"], 10_000) for i in range(500)], "_s array<string>, _e array<string>, _kmin bigint")
+    assert UO.superset_candidates(keys, maps).count() == 500
+    assert {r["_best"] for r in UO.earlier_supersets(keys, maps).collect()} == {0}

@@ -67,6 +67,48 @@ def _global_rank(df: DataFrame, order: str, out: str) -> DataFrame:
     )
 
 
+def _maps_by_two_pairs(maps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``maps`` once for each two of their pairs that ``wanted`` (lo, hi) asks for."""
+    low = maps.select("*", F.explode("_m").alias("lo")).join(wanted.select("lo").distinct(), "lo", "left_semi")
+    both = low.select("*", F.explode(F.filter("_m", lambda p: p > F.col("lo"))).alias("hi"))
+    return both.join(wanted.select("lo", "hi").distinct(), ["lo", "hi"], "left_semi")
+
+
+def superset_candidates(keys: DataFrame, maps: DataFrame) -> DataFrame:
+    """``(_s, _e, _tmin)``: for each key, the maps first seen before the key's own (``_kmin``) that hold all its pairs S
+    and no value for a name of E. ``keys``: (_s, _e, _kmin), S not empty. ``maps``: (_m, _tmin, _nv).
+
+    A key of three and more pairs meets only the maps that hold its two rarest. For keys of one or two pairs, what all
+    maps with them know is summed up before the join: the earliest one for each set of names that matters to any E.
+    So no pair, however popular, is a join key whose rows multiply.
+    """
+    asked = keys.select(F.explode("_e").alias("_n")).distinct()
+    names = maps.select("_m", F.explode("_nv").alias("_n")).join(asked, "_n").groupBy("_m").agg(F.array_sort(F.collect_set("_n")).alias("_nr"))
+    maps = maps.select("_m", "_tmin").join(names, "_m", "left").withColumn("_nr", F.coalesce("_nr", F.array().cast("array<string>")))
+    maps = cut_lineage(maps)
+    free = (F.col("_tmin") < F.col("_kmin")) & (F.size(F.array_intersect("_e", "_nr")) == 0)
+    out = ["_s", "_e", "_tmin"]
+
+    one = maps.select("_tmin", "_nr", F.explode("_m").alias("_p")).groupBy("_p", "_nr").agg(F.min("_tmin").alias("_tmin"))
+    single = keys.where(F.size("_s") == 1).withColumn("_p", F.col("_s")[0]).join(one, "_p").where(free).select(*out)
+
+    freq = maps.select(F.explode("_m").alias("_p")).groupBy("_p").agg(F.count(F.lit(1)).alias("_f"))
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("_f", "_p"))), 1, 2)["_p"]
+    more = keys.where(F.size("_s") > 1).select("*", F.explode("_s").alias("_p")).join(freq, "_p").groupBy("_s", "_e", "_kmin").agg(rarest.alias("_r"))
+    more = cut_lineage(more.select("_s", "_e", "_kmin", F.array_min("_r").alias("lo"), F.array_max("_r").alias("hi")))
+    two, three = more.where(F.size("_s") == 2), more.where(F.size("_s") > 2)
+    sums = _maps_by_two_pairs(maps, two).groupBy("lo", "hi", "_nr").agg(F.min("_tmin").alias("_tmin"))
+    double = two.join(sums, ["lo", "hi"]).where(free).select(*out)
+    holds = F.size(F.array_except("_s", "_m")) == 0
+    many = three.join(_maps_by_two_pairs(maps, three), ["lo", "hi"]).where(free & holds).select(*out)
+    return single.unionByName(double).unionByName(many)
+
+
+def earlier_supersets(keys: DataFrame, maps: DataFrame) -> DataFrame:
+    """``(_s, _e, _best)``: when the earliest of :func:`superset_candidates` was seen, for keys that have one."""
+    return superset_candidates(keys, maps).groupBy("_s", "_e").agg(F.min("_tmin").alias("_best"))
+
+
 def collapse_query_aliases(df: DataFrame, scope: str = "path", url: str = "url", seq: str = "seq") -> DataFrame:
     """U5 (scope='path') and U6 (scope='global').
 
@@ -96,25 +138,16 @@ def collapse_query_aliases(df: DataFrame, scope: str = "path", url: str = "url",
     tv = withq.groupBy("_m").agg(F.min(seq).alias("_tmin")).withColumn(
         "_nv", F.transform(F.filter("_m", lambda p: ~p.endswith(SEP)), lambda p: F.substring_index(p, SEP, 1))
     )
-    tv_pairs = tv.select("_m", "_tmin", "_nv", F.explode("_m").alias("_p"))
-    freq = tv_pairs.groupBy("_p").agg(F.count(F.lit(1)).alias("_f"))
-    # distinct (S, E) keys asking for their earliest superset
-    keys = withq.select("_s", "_e").distinct()
-    ks = keys.where(F.size("_s") > 0)
-    rare = (
-        ks.select("_s", "_e", F.explode("_s").alias("_p"))
-        .join(freq, "_p")
-        .groupBy("_s", "_e")
-        .agg(F.min_by("_p", F.struct("_f", "_p")).alias("_p"))
-    )
-    cand = rare.join(tv_pairs, "_p").where(
-        (F.size(F.array_except("_s", "_m")) == 0) & (F.size(F.array_intersect("_e", "_nv")) == 0)
+    # distinct (S, E) keys asking for their earliest superset; a key's own map is one, first seen at _kmin
+    keys = withq.groupBy("_s", "_e").agg(F.min(seq).alias("_kmin"))
+    best_s = earlier_supersets(keys.where(F.size("_s") > 0), tv)
+    best_s = keys.where(F.size("_s") > 0).join(best_s, ["_s", "_e"], "left").select(
+        "_s", "_e", F.coalesce("_best", "_kmin").alias("_sup_min")
     )
-    best_s = cand.groupBy("_s", "_e").agg(F.min("_tmin").alias("_sup_min"))
     # Keys with only empty-valued names E: the earliest map with no non-empty value for any name of E. Maps get
     # distributed global ranks by first seq; the blocked (E, map) pairs come from an equi-join on the name, and the
     # answer is the smallest rank that is 1 or follows a blocked rank without being blocked itself.
-    ke = keys.where(F.size("_s") == 0)
+    ke = keys.where(F.size("_s") == 0).select("_s", "_e")
     if ke.limit(1).count() == 0:
         return _drop_redundant(t.join(best_s, ["_s", "_e"], "left"), redundant, seq, df.columns)
     ranked = _global_rank(tv.select("_tmin", "_nv"), "_tmin", "_rank")
