@@ -131,8 +131,10 @@ BODY_SIMILARITY_CUT = 97
 # RFC 3986 appendix B split: 2 scheme, 3 "//"+authority, 4 authority, 5 path, 6 "?"+query, 7 query, 8 "#"+frag, 9 frag.
 URL_SPLIT = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?$"
 HAS_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
-# Possessive throughout: a label's run ends before its dot, and Java walks only possessive groups without recursion.
-DOMAIN_NAME = r"(?i)^(?:[a-z0-9-]++\.)++[a-z]{2,}+\z"
+DOMAIN_NAME = r"(?i)^([a-z0-9-]+\.)+[a-z]{2,}\z"
+# Java form, possessive throughout: a label's run ends before its dot, and Java walks only possessive groups without
+# recursion.
+DOMAIN_NAME_JAVA = r"(?i)^(?:[a-z0-9-]++\.)++[a-z]{2,}+\z"
 # Unprintable or binary text: a control character or the replacement character.
 UNPRINTABLE = r"[\p{Cc}\x{FFFD}]"
 # A percent sign not followed by two hex digits makes a URL unparsable.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .patterns import (
     BAD_ESCAPE,
-    DOMAIN_NAME,
+    DOMAIN_NAME_JAVA,
     HAS_SCHEME,
     MEDIA_EXTENSIONS,
     MIME_PREFIXES,
@@ -96,7 +96,7 @@ def has_param(c) -> Column:
 
 
 def is_domain_name(c) -> Column:
-    return _col(c).rlike(DOMAIN_NAME)
+    return _col(c).rlike(DOMAIN_NAME_JAVA)
 
 
 def is_unprintable(c) -> Column:

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from ..sources.io import prepare_seeds
 from .links import build_link_edges
 from .scope import ScopeRules, filter_scope, prepare_rules
-from .urls import collapse_query_aliases
+from .urls import collapse_query_aliases, query_pairs
 
 
 def admit_frontier(candidates: DataFrame, visited: DataFrame | None, rules: DataFrame | ScopeRules, alias_scope: str = "path",
@@ -110,40 +110,85 @@ def next_frontier(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame
     return admitted.select("url", "host", F.col("seq.page").alias("first_src_page_id"), "n_links")
 
 
+def _targets(urls: DataFrame, rules: ScopeRules) -> DataFrame:
+    """What the crawl loop asks of a URL, once per distinct ``url`` that has a host, is in scope and no trap: ``key``
+    (the canonical form that stored pages go by), ``base`` (the query-less form), ``aliasable`` (it has a parsable
+    query), ``parsable`` (it can make others redundant), ``robots`` and ``robots_key`` (of a root URL, else NULL)."""
+    u = urls.select("url").distinct().withColumn("host", F.lower(U.url_hostname(F.col("url"))))
+    u = u.where((F.col("host") != "") & ~U.is_trapped(U.url_path(F.col("url"))))
+    u = filter_scope(cut_lineage(u), rules, "host").select("url")
+    queries = U.url_query(F.col("url"))
+    u = u.select("url", U.strip_query(F.col("url")).alias("base"), queries.alias("q")).withColumn("p", F.when(F.col("q") != "", query_pairs(F.col("q"))).isNotNull())
+    u = u.select("url", "base", ((F.col("q") != "") & F.col("p")).alias("aliasable"), ((F.col("q") == "") | F.col("p")).alias("parsable"))
+    u = U.with_canonical(u, "url", "key")
+    robots = robots_of(u.select("url", F.col("url").alias("robots")), "robots")
+    robots = U.with_canonical(robots, "robots", "robots_key")
+    return u.join(robots, "url", "left")
+
+
+_STATE = "url string, base string, aliasable boolean, parsable boolean, key string, robots string, robots_key string"
+_FIELDS = ["base", "aliasable", "parsable", "key", "robots", "robots_key"]
+
+
+def _round(frontier: DataFrame, edges: DataFrame, visited: DataFrame) -> DataFrame:
+    """The URLs that a round admits: targets of the frontier's stored pages and robots.txt of its root URLs, unvisited,
+    and without an earlier URL of the same base (visited ones come first, then page and position)."""
+    found = edges.join(frontier.select(F.col("key").alias("src_key")).distinct(), "src_key").drop("src_key")
+    nothing = F.lit(None).cast("string")
+    robots = frontier.where(F.col("robots").isNotNull()).select(
+        F.struct(F.lit(-1).cast("bigint").alias("page"), F.lit(0).cast("bigint").alias("pos")).alias("seq"), F.col("robots").alias("url"),
+        F.col("robots").alias("base"), F.lit(False).alias("aliasable"), F.lit(True).alias("parsable"), F.col("robots_key").alias("key"),
+        nothing.alias("robots"), nothing.alias("robots_key"),
+    )
+    # the other columns follow from the URL
+    cand = found.unionByName(robots).groupBy("url").agg(F.min("seq").alias("seq"), *[F.min(c).alias(c) for c in _FIELDS])
+    # What of the visited set touches this round: the candidates are the small side of both joins.
+    new = cut_lineage(cand.join(visited.select("url"), "url", "left_anti"))
+    known = visited.where("parsable").select("base").join(new.where("aliasable").select("base"), "base", "left_semi").distinct()
+    first = new.where("parsable").groupBy("base").agg(F.min("seq").alias("first"))
+    judged = new.join(first, "base", "left").join(known.withColumn("known", F.lit(True)), "base", "left")
+    redundant = F.col("aliasable") & (F.coalesce("known", F.lit(False)) | F.coalesce(F.col("first") < F.col("seq"), F.lit(False)))
+    return judged.where(~redundant).select("url", *_FIELDS)
+
+
 def expand_frontier(seeds: DataFrame, pages: DataFrame, rules: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """the crawl loop over stored pages. Round 0 is the prepared seeds; each round joins the frontier to stored
     bodies (by canonical URL), takes their links (L7) in the order of page and position, and the robots.txt of its root
     URLs (F2), and admits unvisited in-scope URLs (F1). Stops when a round admits nothing, or after ``max_rounds`` if
-    that is given. Each round's state is checkpointed to the shared folder.
+    that is given.
+
+    Evaluation is semi-naive. Links are extracted once, and what F1 asks of a target (scope, trap, canonical form,
+    query-less form) is worked out once per distinct target. A round joins only the last round's URLs with the links,
+    and writes what it admits as a part of its own under its depth, in the shared folder; the visited set is the union
+    of these parts, so bytes written follow the frontier and nothing is written twice.
 
     Returns ``(url, depth, page_id)`` — page_id is NULL for a URL with no stored body.
     """
+    spark = pages.sparkSession
     prep = prepare_seeds(seeds)
     seed_rules = prep.select(F.lit("include").alias("action"), F.col("host").alias("pattern"))
     all_rules = prepare_rules(cut_lineage(rules.unionByName(seed_rules)))  # once for every round
     store = U.with_canonical(pages.select("page_id", "url", "html", U.clean_url(F.col("url")).alias("queue_url")), "queue_url", "key").drop("queue_url")
     # Links of all stored pages, once: html is read here and never again; the rounds join narrow edges.
     keyed = cut_lineage(store.select("page_id", "key"))
-    edges = build_link_edges(store.select("page_id", "url", "html")).select(
-        "src_page_id", F.struct(F.col("src_page_id").cast("bigint").alias("page"), "pos").alias("seq"),
-        U.clean_url(F.col("dst_url")).alias("dst"),
+    links = build_link_edges(store.select("page_id", "url", "html")).select(
+        "src_page_id", F.struct(F.col("src_page_id").cast("bigint").alias("page"), "pos").alias("seq"), U.clean_url(F.col("dst_url")).alias("url")
     )
-    edges = cut_lineage(edges.join(keyed, F.col("src_page_id") == F.col("page_id")).select("key", "seq", "dst"))
-    first = F.struct(F.lit(-1).cast("bigint").alias("page"), F.lit(0).cast("bigint").alias("pos")).alias("seq")
-    frontier = prep.select(U.clean_url(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0))
-    frontier = filter_scope(frontier.withColumn("host", F.lower(U.url_hostname(F.col("url")))), all_rules, "host")
-    frontier = cut_lineage(frontier.select("url", "depth"))
-    visited = frontier
-    for depth in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
-        fetched = U.with_canonical(frontier.select(F.col("url").alias("from")), "from", "key").select("key")
-        cand = fetched.join(edges, "key").select("seq", F.col("dst").alias("url"))
-        cand = cand.unionByName(robots_of(frontier).select(first, "url"))
-        admitted = admit_frontier(cand, visited.select("url"), all_rules)
-        nxt = cut_lineage(admitted.select("url", F.lit(depth).alias("depth")))
-        if nxt.limit(1).count() == 0:
+    links = cut_lineage(links)
+    sources = keyed.select(F.col("page_id").alias("src_page_id"), F.col("key").alias("src_key"))
+    edges = cut_lineage(links.join(_targets(links, all_rules), "url").join(sources, "src_page_id").drop("src_page_id"))
+    start = _targets(prep.select(U.clean_url(F.col("url")).alias("url")), all_rules)
+
+    root, parts = scratch_path(spark, "frontier"), []
+
+    def visited() -> DataFrame:
+        return spark.read.schema(_STATE).option("basePath", root).parquet(*parts)
+
+    for depth in itertools.count() if max_rounds is None else range(max_rounds + 1):
+        admitted = start.select("url", *_FIELDS) if depth == 0 else _round(spark.read.schema(_STATE).parquet(parts[-1]), edges, visited())
+        admitted.write.parquet(f"{root}/depth={depth}")
+        parts.append(f"{root}/depth={depth}")
+        if spark.read.schema(_STATE).parquet(parts[-1]).isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(nxt))
-        frontier = nxt
-    return U.with_canonical(visited.select("url", "depth"), "url", "key").join(keyed, "key", "left").select(
-        "url", "depth", "page_id"
-    )
+    reached = spark.read.schema(_STATE + ", depth int").option("basePath", root).parquet(*parts).select("url", "depth", "key")
+    return reached.join(keyed, "key", "left").select("url", "depth", "page_id")
