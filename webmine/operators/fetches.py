@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import CATCH_ALL_WORDS, MAX_REQUESTS_PER_CHAIN
+from ..functions.patterns import BODY_SIMILARITY_CUT, CATCH_ALL_WORDS, MAX_REQUESTS_PER_CHAIN
 from ..session import cut_lineage
+from .similar import similar_bodies
 
 HOP = "struct<url:string,status_code:int,type:string>"
 
@@ -27,14 +28,31 @@ def _is_redirect(status: Column) -> Column:
     return (status >= 300) & (status <= 399)
 
 
-def _result(df: DataFrame, final: Column, status: Column, error: Column, catch: Column) -> DataFrame:
-    return df.select(
-        "page_id", "request_url", final.alias("final_url"), F.col("chain").alias("redirect_chain"),
-        status.cast("int").alias("status_code"), error.alias("error"), catch.alias("is_catch_all"),
-    )
+def redirect_paths(nodes: DataFrame, max_requests: int) -> DataFrame:
+    """``(url, path ARRAY<STRUCT<url,status_code,type>>, end)`` for every URL that redirects: the redirecting URLs from
+    it on, and where the last of them leads. Paths of ``max_requests`` and more hops may stop anywhere beyond that.
+
+    Pointer doubling: paths of up to 2^k hops are joined with the paths of their ends, so ten requests take four rounds
+    (fewer if none grows). ``nodes``: (url, st, loc), one row per URL. On a cycle a path runs round.
+    """
+    hop = F.struct(F.col("url").alias("url"), F.col("st").alias("status_code"), F.lit("http").alias("type"))
+    paths = cut_lineage(nodes.where(_is_redirect(F.col("st")) & F.col("loc").isNotNull()).select("url", F.array(hop).alias("path"), F.col("loc").alias("end")))
+    hops = 1
+    while hops < max_requests:
+        onward = paths.select(F.col("url").alias("end"), F.col("path").alias("more"), F.col("end").alias("then"))
+        grown = paths.join(onward, "end", "left").select(
+            "url", F.when(F.col("then").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"),
+            F.coalesce("then", "end").alias("end"), F.col("then").isNotNull().alias("grew"),
+        )
+        grown = cut_lineage(grown)
+        paths = grown.drop("grew")
+        if grown.where("grew").isEmpty():
+            break
+        hops *= 2
+    return paths
 
 
-def resolve_redirects(fetches: DataFrame, max_requests: int = MAX_REQUESTS_PER_CHAIN) -> DataFrame:
+def resolve_redirects(fetches: DataFrame, max_requests: int = MAX_REQUESTS_PER_CHAIN, targets: DataFrame | None = None) -> DataFrame:
     """H1: follow 3xx Location hops.
 
     - at most ``max_requests`` requests per chain: a chain whose last allowed request is still a redirect gives no
@@ -45,56 +63,45 @@ def resolve_redirects(fetches: DataFrame, max_requests: int = MAX_REQUESTS_PER_C
     - otherwise the status is the first hop's when redirected, and the catch-all flag is tested on the final URL.
 
     Returns ``(page_id, request_url, final_url, redirect_chain ARRAY<STRUCT<url,status_code,type>>, status_code, error,
-    is_catch_all)``. Each step is one join of the still-redirecting requests with the narrow fetch table.
+    is_catch_all)``. ``targets``: the fetch log that hops are looked up in, ``fetches`` itself if not given. Paths of
+    URLs come from :func:`redirect_paths`; each request then takes one join for its path and one for the page at its end.
     """
+    log = fetches if targets is None else targets
     # A URL that was fetched more than once counts as its first fetch.
-    seen = fetches.groupBy("url").agg(F.min(F.struct("page_id", F.col("status_code").cast("int").alias("st"), F.col("location").alias("loc"))).alias("f"))
-    nodes = seen.select("url", "f.st", "f.loc")
-    first = fetches.select(
-        "page_id", F.col("url").alias("request_url"), F.col("url").alias("cur"),
-        F.col("status_code").cast("int").alias("st"), F.col("location").alias("loc"),
-        F.array().cast(f"array<{HOP}>").alias("chain"), F.lit(1).alias("n"), F.lit(True).alias("found"),
+    seen = log.groupBy("url").agg(F.min(F.struct("page_id", F.col("status_code").cast("int").alias("st"), F.col("location").alias("loc"))).alias("f"))
+    nodes = cut_lineage(seen.select("url", "f.st", "f.loc"))
+    paths = redirect_paths(nodes, max_requests).toDF("loc", "path", "then")
+    st, loc = F.col("st"), F.col("loc")
+    own = fetches.select("page_id", F.col("url").alias("request_url"), F.col("status_code").cast("int").alias("st"), F.col("location").alias("loc"))
+    redirected = _is_redirect(st)
+    # what the request itself answers, with its hops so far and the URL they lead to
+    direct = own.where(~redirected).select(
+        "page_id", "request_url", F.array().cast(f"array<{HOP}>").alias("hops"), F.col("request_url").alias("end"), "st", F.lit(True).alias("found")
+    )
+    hop = F.struct(F.col("request_url").alias("url"), st.alias("status_code"), F.lit("http").alias("type"))
+    none = F.array().cast(f"array<{HOP}>")
+    led = own.where(redirected & loc.isNotNull()).join(paths, "loc", "left").select(
+        "page_id", "request_url", F.concat(F.array(hop), F.coalesce("path", none)).alias("hops"), F.coalesce("then", "loc").alias("end")
+    )
+    ends = nodes.select(F.col("url").alias("end"), "st", F.lit(True).alias("found"))
+    led = led.join(ends, "end", "left").select("page_id", "request_url", "hops", "end", "st", F.coalesce("found", F.lit(False)).alias("found"))
+    r = direct.unionByName(led).withColumn("urls", F.concat(F.transform("hops", lambda h: h["url"]), F.array("end")))
+    again = F.filter(F.transform("urls", lambda u, i: F.when(F.array_position(F.col("urls"), u) <= i, i)), lambda i: i.isNotNull())
+    r = r.withColumn("at", F.get(again, F.lit(0)))  # the place of the first URL that was requested before
+    r = r.withColumn("revisit", F.coalesce(F.col("at") < max_requests, F.lit(False)))
+    failed = ~F.col("found") | F.coalesce(st == 0, F.lit(False))
+    ended = (F.size("hops") < max_requests) & (failed | ~_is_redirect(st))
+    chain = F.when(F.col("revisit"), F.slice("hops", F.lit(1), F.coalesce("at", F.lit(0)))).otherwise(F.col("hops"))
+    r = r.where(F.col("revisit") | ended).select(
+        "page_id", "request_url", F.when(F.col("revisit"), F.get("urls", F.col("at"))).otherwise(F.col("end")).alias("final_url"),
+        chain.alias("redirect_chain"), "st",
+        F.when(F.col("revisit"), "URL already visited").when(~F.col("found"), "not fetched").when(st == 0, "request failed").alias("error"),
+    )
+    first, error = F.get("redirect_chain", F.lit(0))["status_code"], F.col("error").isNotNull()
+    return r.select(
+        "page_id", "request_url", "final_url", "redirect_chain", F.when(error, 0).otherwise(F.coalesce(first, st)).cast("int").alias("status_code"),
+        "error", (~error & (F.size("redirect_chain") > 0) & is_catch_all(F.col("final_url"))).alias("is_catch_all"),
     )
-    results: list[DataFrame] = []
-    state = first
-    for step in range(1, max_requests + 1):
-        found, st, loc = F.col("found"), F.col("st"), F.col("loc")
-        revisit = F.exists("chain", lambda h: h["url"] == F.col("cur"))
-        err = ~found | (st == 0) | revisit
-        error_msg = F.when(revisit, F.lit("URL already visited")).when(~found, F.lit("not fetched")).otherwise(
-            F.lit("request failed")
-        )
-        results.append(
-            _result(state.where(err), F.col("cur"), F.lit(0), error_msg, F.lit(False))
-        )
-        ok = state.where(~err)
-        done = ok.where(~_is_redirect(st))
-        has_chain = F.size("chain") > 0
-        results.append(
-            _result(
-                done,
-                F.col("cur"),
-                F.when(has_chain, F.col("chain")[0]["status_code"]).otherwise(st),
-                F.lit(None).cast("string"),
-                has_chain & is_catch_all(F.col("cur")),
-            )
-        )
-        go = ok.where(_is_redirect(st) & loc.isNotNull())
-        if step == max_requests:
-            break  # the last allowed request was a redirect: no result
-        hop = F.struct(F.col("cur").alias("url"), st.alias("status_code"), F.lit("http").alias("type"))
-        go = go.select("page_id", "request_url", F.col("loc").alias("cur"), F.concat("chain", F.array(hop)).alias("chain"),
-                       (F.col("n") + 1).alias("n"))
-        nxt = go.join(nodes.withColumnRenamed("url", "cur"), "cur", "left").select(
-            "page_id", "request_url", "cur", "st", "loc", "chain", "n", F.col("st").isNotNull().alias("found")
-        )
-        state = cut_lineage(nxt)
-        if state.limit(1).count() == 0:
-            break
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
 
 
 def first_hop(fetches: DataFrame) -> DataFrame:
@@ -118,6 +125,15 @@ def flag_catch_all(results: DataFrame, final: str = "final_url") -> DataFrame:
     return results.withColumn("is_catch_all", (F.size("redirect_chain") > 0) & is_catch_all(F.col(final)))
 
 
+def crawl_results(fetches: DataFrame, bodies: DataFrame, cut: int = BODY_SIMILARITY_CUT, max_requests: int = MAX_REQUESTS_PER_CHAIN) -> DataFrame:
+    """N1, H1 (with H3 on the final URL) and H4 in the crawler's order: a fetch whose body is similar to an earlier body of its host gives no
+    result; of the others redirects are followed and results assembled. Targets of redirects are looked up among all
+    fetches. ``bodies``: (page_id, url, html); fetches without a body there are kept."""
+    dropped = similar_bodies(bodies, cut=cut).select("page_id")
+    kept = cut_lineage(fetches.join(dropped, "page_id", "left_anti"))
+    return assemble_results(resolve_redirects(kept, max_requests, targets=fetches))
+
+
 def assemble_results(results: DataFrame) -> DataFrame:
     """H4: flat result rows as reported: request, final URL, hop count, '|'-joined chain, status, error, flag."""
     return results.select(
