@@ -17,6 +17,7 @@ HEADLINE = [
     "frontier_next", "link_edges", "links_resolved", "canonical_urls", "queue_urls", "alias_global", "scope_default",
     "frontier_admitted", "params_by_page", "params_unique", "param_summary", "redirect_chains", "similar_bodies",
     "exact_bodies", "report_lines", "status_by_host", "url_indegree", "discovery_candidates",
+    "frontier_rounds", "crawl_report", "stream_param_counts",
 ]
 
 

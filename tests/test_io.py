@@ -22,6 +22,20 @@ def test_result_lines_sink_appends(spark):
     assert lines == ["200 http://x.test/a", "200 http://x.test/a", "404 http://x.test/b", "404 http://x.test/b"]
 
 
+def test_result_file_holds_first_results_of_kept_urls(spark):
+    rows = [(2, "http://x.test/a.js", 404, False), (1, "http://x.test/a.js", 200, False), (3, "http://x.test/b.png", 200, False),
+            (4, "http://x.test/c.js?v=1", 200, False), (5, "http://x.test/d.html", 500, True)]
+    res = spark.createDataFrame(rows, "page_id bigint, request_url string, status_code int, is_catch_all boolean")
+    out = _tmp()
+    IO.write_results(res, os.path.join(out, "f"), hide_media_urls=True, exts=["js", "html", "png"])
+    assert sorted(r["value"] for r in spark.read.text(os.path.join(out, "f")).collect()) == ["200 http://x.test/a.js", "500 http://x.test/d.html"]
+    IO.write_results(res, os.path.join(out, "p"), fmt="parquet", hide_media_urls=True)
+    assert sorted(r["page_id"] for r in spark.read.parquet(os.path.join(out, "p")).collect()) == [1, 4, 5]
+    with open(os.path.join(out, "targets.txt"), "w") as f:
+        f.write("a.test\nb.test, c.test\n")
+    assert sorted(r["seed"] for r in IO.load_seeds(spark, path=os.path.join(out, "targets.txt")).collect()) == ["a.test", "b.test", "c.test"]
+
+
 def test_params_json_sink(spark):
     pages = spark.createDataFrame([(1, "https://p.test/s?q=1", '<input name="who">')], "page_id bigint, url string, html string")
     out = os.path.join(_tmp(), "params")

@@ -115,6 +115,13 @@ def result_lines(spark, sf):
     return IO.result_lines(res).select(_big("page_id").alias("page_id"), "line")
 
 
+@q("result_file")
+def result_file(spark, sf):
+    path = scratch_path(spark, "result-file")
+    IO.write_results(_crawl_results(spark, sf), path, hide_media_urls=True, exts=["js", "html", "com/"])
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @q("params_json")
 def params_json(spark, sf):
     return P.params_json(_params(spark, sf)).select(
@@ -294,6 +301,25 @@ def redirect_chains(spark, sf):
     return H.assemble_results(H.resolve_redirects(X.fetch_log(spark, sf)))
 
 
+def _crawled(spark, sf):
+    """A fetch log with bodies: the stored pages' log, and further copies of bodies fetched under URLs of their own."""
+    b, pid = X.bodies(spark, sf), F.col("page_id")
+    more = pid >= 1000000
+    b = b.withColumn("url", F.when(more, F.concat("url", F.lit("?copy="), pid.cast("string"))).otherwise(F.col("url")))
+    copies = b.where(more).select("page_id", "url", F.lit(200).alias("status_code"), F.lit(None).cast("string").alias("location"))
+    return X.fetch_log(spark, sf).unionByName(copies), b
+
+
+@q("crawl_results")
+def crawl_results(spark, sf):
+    return H.crawl_results(*_crawled(spark, sf))
+
+
+@q("crawl_report")
+def crawl_report(spark, sf):
+    return R.report(H.crawl_results(*_crawled(spark, sf)), hide_media_urls=True)
+
+
 @q("redirect_first_hop")
 def redirect_first_hop(spark, sf):
     return H.assemble_results(H.first_hop(X.fetch_log(spark, sf)))
@@ -475,5 +501,4 @@ def stream_report(spark, sf):
 
 @q("stream_param_counts")
 def stream_param_counts(spark, sf):
-    bag = S.run_available(S.stream_params(_pages_plus_stream(spark, sf)), "param-bag")
-    return S.param_counts(bag)
+    return S.run_counts(S.stream_param_counts(_pages_plus_stream(spark, sf)), "param-counts")

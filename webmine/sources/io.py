@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..operators.report import distinct_requests, filter_extension, hide_media
 
 PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
@@ -75,12 +76,19 @@ def result_lines(results: DataFrame) -> DataFrame:
     )
 
 
-def write_results(results: DataFrame, path: str, fmt: str = "text") -> None:
-    """IO5: append result lines (text) or the result rows (parquet)."""
+def file_results(results: DataFrame, hide_media_urls: bool = False, exts: list[str] | None = None) -> DataFrame:
+    """What the result file holds: R1, R2 and R3 (the first result per request URL), before any status filter."""
+    r = hide_media(results) if hide_media_urls else results
+    return distinct_requests(filter_extension(r, exts) if exts else r)
+
+
+def write_results(results: DataFrame, path: str, fmt: str = "text", hide_media_urls: bool = False, exts: list[str] | None = None) -> None:
+    """IO5: append the lines (text) or rows (parquet) of :func:`file_results`."""
+    r = file_results(results, hide_media_urls, exts)
     if fmt == "text":
-        result_lines(results).select("line").write.mode("append").text(path)
+        result_lines(r).select("line").write.mode("append").text(path)
     else:
-        results.write.mode("append").format(fmt).save(path)
+        r.write.mode("append").format(fmt).save(path)
 
 
 def write_params_json(params: DataFrame, path: str) -> None:

@@ -3,11 +3,17 @@
 Sources are file streams over stored tables (``readStream.parquet``); sinks are append-mode Parquet folders under the
 shared checkpoint folder (``spark.checkpoint.dir``), with their checkpoint next to them, so a restarted job resumes
 where it stopped. A bounded run (the crawler's idle stop) is ``trigger(availableNow=True)``. Only native operators are
-used: stateless projections and ``dropDuplicates`` (state store); no foreachBatch, no Python state.
+used: stateless projections, ``dropDuplicates`` and aggregates; no foreachBatch, no Python state.
+
+State that grows with the crawl (visited URLs, parameter counts) lives in RocksDB on the executors' disks, with
+changelog checkpoints: the heap doesn't grow with it, and a micro-batch writes what it changed, not the whole state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,33 +34,67 @@ def stream_table(spark: SparkSession, folder: str, pattern: str = "*.parquet", m
     return reader.parquet(folder)
 
 
-def stream_seeds(spark: SparkSession, folder: str) -> DataFrame:
+def stream_seeds(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """IO2: one seed per line of each text file dropped into ``folder``; a target already seen on an earlier line is
     not admitted again (the visited state is global, kept in the state store across micro-batches)."""
-    return spark.readStream.text(folder).select(F.col("value").alias("seed")).dropDuplicates(["seed"])
+    reader = spark.readStream
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.text(folder).select(F.col("value").alias("seed")).dropDuplicates(["seed"])
 
 
-def run_available(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Run a stream over everything available now into a Parquet sink and return the sink as a batch table."""
-    spark = stream.sparkSession
-    out = scratch_path(spark, f"stream-{name}")
-    q = (
-        stream.writeStream.format("parquet")
-        .option("path", out + "/data")
-        .option("checkpointLocation", out + "/checkpoint")
-        .outputMode(output_mode)
-        .trigger(availableNow=True)
-        .start()
-    )
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """The session's settings for queries that start inside: state in RocksDB."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _run(stream: DataFrame, sink: str, checkpoint: str, output_mode: str, **options: str) -> None:
+    with _state_on_disk(stream.sparkSession):
+        writer = stream.writeStream.format(sink).options(**options).option("checkpointLocation", checkpoint)
+        q = writer.outputMode(output_mode).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def run_available(stream: DataFrame, name: str, output_mode: str = "append", out: str | None = None) -> DataFrame:
+    """Run a stream over everything available now into a Parquet sink and return the sink as a batch table. ``out``: the
+    folder of an earlier run, which goes on where it stopped (a new one in the shared folder if not given)."""
+    spark = stream.sparkSession
+    out = out or scratch_path(spark, f"stream-{name}")
+    _run(stream, "parquet", out + "/checkpoint", output_mode, path=out + "/data")
     return spark.read.parquet(out + "/data")
 
 
+def run_counts(counts: DataFrame, name: str, out: str | None = None) -> DataFrame:
+    """Run a streaming count per group (its last column) in update mode over everything available now and return the
+    groups as a batch table, read from the state in its checkpoint (state data source): a micro-batch writes changed
+    groups only, and no sink holds outdated rows. ``out`` as in :func:`run_available`."""
+    spark = counts.sparkSession
+    out = out or scratch_path(spark, f"stream-{name}")
+    _run(counts, "noop", out + "/checkpoint", "update")
+    with _state_on_disk(spark):
+        state = spark.read.format("statestore").load(out + "/checkpoint")
+    return state.select("key.*", F.col("value.count").alias(counts.columns[-1]))
+
+
 def stream_dedupe_urls(urls: DataFrame, url: str = "url", event_time: str | None = None,
                        delay: str = "1 hour") -> DataFrame:
     """Admit each canonical URL once.
 
-    Without an event time the state store keeps every seen key (the crawler's unbounded visited set). With
+    Without an event time the state keeps every seen key (the crawler's visited set), in RocksDB on disk. With
     ``event_time`` the state is bounded: duplicates are dropped within the watermark ``delay`` and older keys are
     evicted (``dropDuplicatesWithinWatermark``).
     """
@@ -90,6 +130,12 @@ def stream_report(fetches: DataFrame, exts: list[str] | None = None, hide_media_
     return R.label_results(r, verbosity=2).select("request_url", "status_code", "line")
 
 
+def stream_param_counts(pages: DataFrame) -> DataFrame:
+    """The running summary of the bag: count per (certainty, name) over all responses so far (a streaming aggregate;
+    :func:`run_counts` runs it and reads its result)."""
+    return param_counts(stream_params(pages))
+
+
 def param_counts(bag: DataFrame) -> DataFrame:
-    """End-of-stream summary over the appended bag: count per (certainty, name)."""
+    """S5 over a bag of parameters, stored or streamed: count per (certainty, name)."""
     return bag.groupBy("certainty", "name").agg(F.count(F.lit(1)).alias("n"))
