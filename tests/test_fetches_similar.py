@@ -88,6 +88,18 @@ def test_discovery(spark):
     assert len(got) >= 6 and "https://d.test/admin" in got and "http://d.test/backup.zip" in got
 
 
+def test_discovery_with_a_long_wordlist(spark, monkeypatch):
+    hosts = spark.createDataFrame([(f"h{i}.test",) for i in range(7)] + [("h1.test",)], "host string")
+    words = spark.createDataFrame([(f"/w{i}",) for i in range(150)] + [("w3",)], "path string")
+    visited = spark.createDataFrame([("https://h0.test/w0",), ("http://h6.test/w149",)], "url string")
+    want = {f"{s}://h{i}.test/w{j}" for s in ("http", "https") for i in range(7) for j in range(150)} - {"https://h0.test/w0", "http://h6.test/w149"}
+    for size in (FR.WORDLIST_BYTES, 100):
+        monkeypatch.setattr(FR, "WORDLIST_BYTES", size)
+        got = [r["url"] for r in FR.discover_paths(hosts, words, visited).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert FR.discover_paths(hosts, words.limit(0)).count() == 0
+
+
 def test_similar_bodies(spark):
     base = " ".join(f"w{i}" for i in range(400))
     rows = [(1, "http://s.test/a", base), (2, "http://s.test/b", base + " one more"), (3, "http://s.test/c", base),

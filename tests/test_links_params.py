@@ -96,10 +96,9 @@ def test_scope(spark):
     assert got == {"shop.test", "myblog.net"}
 
 
-def test_param_summary_parts(spark):
-    u = spark.createDataFrame([(f"n{i:03d}", "medium") for i in range(25)] + [("b", "high"), ("a", "high")],
-                              "name string, certainty string")
-    rows = sorted((r["certainty"], r["part"], r["names"]) for r in P.param_summary(u, chunk=10).collect())
-    assert rows[0] == ("high", 0, "a, b")
-    assert [r[1] for r in rows[1:]] == [0, 1, 2]
-    assert ", ".join(r[2] for r in rows[1:]) == ", ".join(f"n{i:03d}" for i in range(25))
+def test_param_summary_ranks(spark):
+    names = [(f"n{i:03}", c) for i in range(95) for c in ("high", "medium")] + [("n000", "high"), ("only", "low")]
+    u = spark.createDataFrame(names, "name string, certainty string")
+    rows = sorted((r["certainty"], r["rank"], r["name"]) for r in P.param_summary(u).collect())
+    want = [(c, i + 1, f"n{i:03}") for c in ("high", "medium") for i in range(95)] + [("low", 1, "only")]
+    assert rows == sorted(want) and P.param_summary(u.limit(0)).count() == 0

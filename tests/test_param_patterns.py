@@ -14,6 +14,7 @@ from webmine.plans import fixtures as X
 PIECES = {
     "names": ["<input", "<textarea", "<select", "<meta", "data-", "data-1", " name", "name", " type=", "=", " = ", '"', "'", " ", ">",
               "content=", "api", "x", "-", "hidden", "a1", "\n", "$v", ":", "Int!", "<input name=", '<meta name="n', '" content="api', "data-x="],
+    "meta": ["<meta", "<meta ", " name", "name=", " name='n", '" ', "' ", '"', "'", "=", " ", ">", ">", "content=", "content", " content='api", "api", "x", "a1", "\n", '<meta name="n', '" content="api', 'name="k" ', 'content="/api" '],
     "hidden": ["<input", "type", "=", " = ", '"', "'", " ", "hidden", "type=hidden", " name=", "name", "x", ">", "q"],
     "object_keys": ["$.post", "$.ajax", "(", "{", "}", ",", " ", "data", "body", ":", " : ", "JSON.stringify(", "k", '"k"', "\n", "$.post(", '$.post("/u", {', "$.ajax({url", "data: {", "body:{"],
     "url_keys": ["fetch", "(", " ", '"', "'", "/u?a=1", "xhr.open", "xmlhttp.open", ",", '"GET"', "new WebSocket", "x", 'xhr.open("GET", "', 'fetch("', 'new WebSocket("'],
@@ -45,6 +46,21 @@ def test_same_captures(spark, e):
         assert both.where(F.size("a") > 0).count() >= need
 
 
+META = ["name='a' ", "name='a", "content='x' ", "content='", "name='a' content='x' ", "<meta name='a' ", "name='a>b' ", "content='api' name='a' ", "name=''", "name = ", "<meta "]
+
+
+@pytest.mark.parametrize("piece", META)
+@pytest.mark.parametrize("tail", ["", ">", " content='api'>", "' content='api'>"])
+def test_meta_tags_of_any_length_are_quick(spark, piece, tail):
+    html = "<meta " + piece * (100_000 // len(piece)) + tail
+    df = spark.createDataFrame([(html,)], "html string")
+    names = PM.extracted("meta", P.PARAM_META_CONTENT, None, F.col("html"))
+    df.select(F.size(names)).collect()
+    t = time.time()
+    df.select(F.size(names)).collect()
+    assert time.time() - t < 1.5
+
+
 def test_same_object_keys(spark):
     parts = ["a", "b_1", '"', "'", ":", " ", "1", "-", "{", ","]
     rnd = random.Random(3)

@@ -69,9 +69,15 @@ _REGION = r"(?:%s|[^>]*+)"
 PARAM_FORM_INPUT_JAVA = "<input" + _REGION % r"""[^>]*\bname\s*+=\s*+["']?([^"'\s>]++)"""
 PARAM_FORM_TEXTAREA_JAVA = "<textarea" + _REGION % r"""[^>]*\bname\s*+=\s*+["']?([^"'\s>]++)"""
 PARAM_FORM_SELECT_JAVA = "<select" + _REGION % r"""[^>]*\bname\s*+=\s*+["']?([^"'\s>]++)"""
-PARAM_META_CONTENT_JAVA = "<meta" + _REGION % (
-    r"""[^>]*name\s*+=\s*+["']([^"']++)["'][^>]*content\s*+=\s*+["'](?=[^"']*?api)[^"']*+["']"""
-)
+# Meta tags, one tag at a time. A name whose value runs beyond the tag's ">" is the last one with an open quote, so it is
+# tried first. Else content that counts must follow the first whole name, which is asked for once (an atomic group); the
+# name is the last whole one before the last content that counts. A tag without either is matched as a whole.
+_META_CONTENT = r"""content\s*+=\s*+["'](?=[^"']*?api)[^"']*+["']"""
+_META_OPEN = r"""[^>]*name\s*+=\s*+["']([^"'>]*+>[^"']*+)["'][^>]*""" + _META_CONTENT
+META_TAG = rf"""<meta(?:{_META_OPEN}|(?>[^>]*?name\s*+=\s*+["'][^"'>]++["'])[^>]*{_META_CONTENT}|[^>]*+)"""
+META_OPEN_NAME = rf"^<meta{_META_OPEN}$"
+META_BEFORE_CONTENT = rf"(?s)^(.*){_META_CONTENT}$"
+META_LAST_NAME = r"""(?s)^<meta.*name\s*+=\s*+["']([^"'>]++)["']"""
 PARAM_DATA_ATTR_JAVA = r"""data-(?:([a-zA-Z][a-zA-Z0-9-]*+)\s*+=|[a-zA-Z][a-zA-Z0-9-]*+)"""
 PARAM_OBJECT_KEY_JAVA = r"""["']?(?:([a-zA-Z_][a-zA-Z0-9_]*+)["']?\s*+:|[a-zA-Z_][a-zA-Z0-9_]*+)"""
 # Object bodies: group 1 is the body with its braces, or has no closing brace where there is none in the text.

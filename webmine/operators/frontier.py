@@ -67,23 +67,28 @@ def visited_hosts(prepared_seeds: DataFrame) -> DataFrame:
     return prepared_seeds.select(F.col("hostname").alias("host")).where(F.col("host") != "").distinct()
 
 
-def discover_paths(hosts: DataFrame, wordlist: DataFrame, visited: DataFrame | None = None,
-                   words_per_bucket: int = 1000) -> DataFrame:
+#: A wordlist of up to so many bytes goes to every task whole; a longer one is joined by WORD_KEYS keys.
+WORDLIST_BYTES, WORD_KEYS = 8 << 20, 64
+
+
+def discover_paths(hosts: DataFrame, wordlist: DataFrame, visited: DataFrame | None = None) -> DataFrame:
     """every host x word x {https, http}, one leading '/' trimmed; unvisited. Returns ``(url, queue_url)``.
 
-    The output is hosts x words by definition. It is built as an equi-join, not a cross join: each distinct word gets
-    one salt in [0, k) and each (host, scheme) row is repeated for every salt, so every pair meets exactly once and the
-    product is spread over k join keys (k grows with the wordlist, ~``words_per_bucket`` words per key). A small
-    wordlist side is broadcast by Spark's own size check; nothing is collected.
+    The output is hosts x words by definition. A wordlist is configuration: its distinct words are counted in bytes, and
+    up to WORDLIST_BYTES they are one broadcast row that each host's task unfolds, so that the product is streamed and
+    only it is shuffled, for the visited check. A longer list isn't broadcast: each word has one of WORD_KEYS keys, every
+    (host, scheme) row is repeated for each key, and the two meet in an equi-join. Nothing is collected.
     """
-    words = wordlist.select(F.regexp_replace("path", r"^/", "").alias("word")).distinct()
-    n_words = words.count()
-    k = max(1, -(-n_words // words_per_bucket))
-    w = words.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(k)).cast("int"))
-    h = hosts.select(
-        "host", F.explode(F.array(F.lit("https"), F.lit("http"))).alias("scheme"),
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    out = h.join(w, "salt").select(F.concat("scheme", F.lit("://"), "host", F.lit("/"), "word").alias("url"))
+    words = cut_lineage(wordlist.select(F.regexp_replace("path", r"^/", "").alias("word")).distinct())
+    h = hosts.select("host").distinct().select("host", F.explode(F.array(F.lit("https"), F.lit("http"))).alias("scheme"))
+    size = words.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+    if size <= WORDLIST_BYTES:
+        one = words.agg(F.collect_list("word").alias("words")).withColumn("k", F.lit(0))
+        pairs = h.withColumn("k", F.lit(0)).join(F.broadcast(one), "k").select("host", "scheme", F.explode("words").alias("word"))
+    else:
+        keyed = words.withColumn("k", F.pmod(F.xxhash64("word"), F.lit(WORD_KEYS)).cast("int"))
+        pairs = h.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(WORD_KEYS - 1)))).join(keyed, "k")
+    out = pairs.select(F.concat("scheme", F.lit("://"), "host", F.lit("/"), "word").alias("url"))
     if visited is not None:
         out = out.join(visited.select("url").distinct(), "url", "left_anti")
     return out.distinct().select("url", U.clean_url(F.col("url")).alias("queue_url"))

@@ -30,7 +30,7 @@ EXTRACTORS = [
     (11, "websocket", "url", MEDIUM, "url_keys", P.PARAM_WEBSOCKET_URL, P.PARAM_WEBSOCKET_URL),
     (12, "data", "attribute", MEDIUM, "names", P.PARAM_DATA_ATTR, P.PARAM_DATA_ATTR_JAVA),
     (13, "hidden", "input", MEDIUM, "hidden", P.PARAM_HIDDEN_INPUT, None),
-    (14, "meta", "tag", MEDIUM, "names", P.PARAM_META_CONTENT, P.PARAM_META_CONTENT_JAVA),
+    (14, "meta", "tag", MEDIUM, "meta", P.PARAM_META_CONTENT, None),
 ]
 EXTRACTOR_BY_KEY = {
     "params_query": 1, "params_input": 2, "params_textarea": 3, "params_select": 4, "params_fetch": 5,
@@ -105,18 +105,28 @@ def _hidden_name(tag: Column) -> Column:
     )
 
 
+def _meta_name(tag: Column) -> Column:
+    """The name that the meta pattern gives for one tag, '' for none."""
+    open_name = F.regexp_extract(tag, P.META_OPEN_NAME, 1)
+    before = F.regexp_extract(tag, P.META_BEFORE_CONTENT, 1)
+    return F.when(open_name != "", open_name).otherwise(F.regexp_extract(before, P.META_LAST_NAME, 1))
+
+
 def extracted(kind: str, pattern: str, java: str | None, html: Column) -> Column:
     """What an extractor's pattern captures in ``html``, in order (names, URLs or object bodies)."""
     if kind == "hidden":
         tags = F.regexp_extract_all(html, F.lit(P.HIDDEN_TAG), 0)
         return F.filter(F.transform(tags, _hidden_name), lambda m: m != "")
+    if kind == "meta":
+        tags = F.regexp_extract_all(html, F.lit(P.META_TAG), 0)
+        return F.filter(F.transform(tags, _meta_name), lambda m: m != "")
     return _bodies(html, java) if kind == "object_keys" else _matches(html, java)
 
 
 def _extractor_claims(rank, typ, source, cert, kind, pattern, java, url: Column, html: Column) -> Column:
     if kind == "page_query":
         arr = F.transform(query_keys(url), lambda k, i: _claim(rank, typ, source, cert, i, k))
-    elif kind in ("names", "hidden"):
+    elif kind in ("names", "hidden", "meta"):
         arr = F.transform(extracted(kind, pattern, java, html), lambda n, i: _claim(rank, typ, source, cert, i, n))
     elif kind == "url_keys":
         arr = F.flatten(
@@ -184,28 +194,18 @@ def unique_params(params: DataFrame) -> DataFrame:
     )
 
 
-SUMMARY_CHUNK = 10_000  # names per summary part
-
+def param_summary(unique: DataFrame) -> DataFrame:
+    """``(certainty, rank, name)``, the distinct names of each certainty in order, ranked from 1 (empty groups have
+    no rows). The crawler's line of a certainty is its names in the order of ranks, joined with ', '.
 
-def param_summary(unique: DataFrame, chunk: int = SUMMARY_CHUNK) -> DataFrame:
-    """Per certainty, the sorted distinct names joined with ', ' (empty groups not shown).
-
-    The line is emitted as ordered parts ``(certainty, part, names)`` of at most ``chunk`` names each, so no task ever
-    holds a whole certainty's names; joining the parts of a certainty in ``part`` order with ', ' gives the line.
-    Ranks come from a range-partitioned sort (no single-partition window).
+    Ranks come from a range-partitioned sort, so no task holds a certainty's names and no single-partition window runs.
     """
     from .urls import _global_rank
 
     names = unique.select("certainty", "name").distinct()
-    keyed = names.withColumn("_k", F.concat("certainty", F.lit("\u0000"), "name"))
-    ranked = _global_rank(keyed, "_k", "_r")
-    first = ranked.groupBy("certainty").agg(F.min("_r").alias("_r0"))
-    parts = ranked.join(F.broadcast(first), "certainty").withColumn(
-        "part", F.floor((F.col("_r") - F.col("_r0")) / F.lit(chunk)).cast("bigint")
-    )
-    return parts.groupBy("certainty", "part").agg(
-        F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names")
-    )
+    ranked = _global_rank(names.withColumn("_k", F.concat("certainty", F.lit("\u0000"), "name")), "_k", "_r")
+    first = ranked.groupBy("certainty").agg(F.min("_r").alias("_r0"))  # one row per certainty: at most three
+    return ranked.join(F.broadcast(first), "certainty").select("certainty", (F.col("_r") - F.col("_r0") + 1).alias("rank"), "name")
 
 
 def params_json(params: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 Rule contract: a pattern with a dot matches the host itself or any subdomain (a leading ``*.`` is dropped); a pattern
 without a dot matches hosts containing it; excludes win; with no include rule everything is in scope.
 
-Plan: the verdict is computed once per *distinct host* (never per URL) with two equi-joins — host suffixes against
-dotted patterns, host substrings of the rule lengths against bare words — so no rule table is broadcast blindly and
-no non-equi join is needed. The verdict is joined back on host (AQE splits a hot host).
+Plan: the verdict is computed once per *distinct host* (never per URL). Dotted patterns are equi-joined with host
+suffixes. Bare words go by a gram index: a word's grams are its runs of GRAM characters (the word itself if shorter),
+the one that the fewest hosts hold is its join key, and what meets is checked with ``contains``. A host gives a row per
+gram, so at most GRAM times its length. No rule table is broadcast blindly and no non-equi join is needed. The verdict
+is joined back on host (AQE splits a hot host).
 """
 
 from __future__ import annotations
@@ -27,16 +29,42 @@ def _suffixes(host):
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))
 
 
+#: Characters of a gram of bare words.
+GRAM = 3
+
+
+def _grams(text, lengths):
+    """The different runs of each of these lengths in ``text``."""
+
+    def of(n: int):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.filter(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))), lambda g: F.length(g) == n)
+
+    return F.array_distinct(F.concat(*[of(n) for n in lengths]))
+
+
+def bare_matches(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """``(host, action)`` for every host that contains a word. ``hosts``: distinct ``host``; ``words``: (action, pattern)."""
+    by_gram = hosts.select("host", F.explode(_grams(F.col("host"), range(1, GRAM + 1))).alias("gram"))
+    size = F.length("pattern")
+    own = F.when(size < GRAM, F.array("pattern")).otherwise(_grams(F.col("pattern"), [GRAM]))
+    asked = words.select("action", "pattern", F.explode(own).alias("gram"))
+    often = by_gram.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a gram that no host holds leaves its word without a match
+    rarest = asked.join(often, "gram", "left").groupBy("action", "pattern").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    met = by_gram.join(rarest, "gram")
+    return met.where(F.col("host").contains(F.col("pattern"))).select("host", "action")
+
+
 @dataclass(frozen=True)
 class ScopeRules:
-    """Normalised rules plus the two facts the plan needs (distinct bare-word lengths, whether includes exist).
+    """Normalised rules plus the fact the plan needs (whether includes exist).
 
-    Build once with ``prepare_rules`` and reuse across rounds of a loop: each build runs two small actions on the
-    rules table (a configuration table, not data).
+    Build once with ``prepare_rules`` and reuse across rounds of a loop: each build runs one small action on the rules
+    table (a configuration table, not data).
     """
 
     rules: DataFrame
-    bare_lengths: tuple[int, ...]
     has_includes: bool
 
 
@@ -44,11 +72,7 @@ def prepare_rules(rules: DataFrame | ScopeRules) -> ScopeRules:
     if isinstance(rules, ScopeRules):
         return rules
     r = normalize_rules(rules)
-    bare = r.where(~F.col("pattern").contains("."))
-    # distinct lengths of bare words: at most the longest host name (253), whatever the number of rules
-    lengths = tuple(sorted(row[0] for row in bare.select(F.length("pattern")).distinct().collect()))
-    has_includes = r.where(F.col("action") == "include").limit(1).count() > 0
-    return ScopeRules(r, lengths, has_includes)
+    return ScopeRules(r, not r.where(F.col("action") == "include").isEmpty())
 
 
 def host_verdicts(hosts: DataFrame, rules: DataFrame | ScopeRules, host: str = "host") -> DataFrame:
@@ -62,20 +86,7 @@ def host_verdicts(hosts: DataFrame, rules: DataFrame | ScopeRules, host: str = "
     suf = h.select("host", F.explode(_suffixes(F.col("host"))).alias("pattern"))
     m1 = suf.join(dotted, "pattern").select("host", "action")
 
-    # bare words: substrings of each host with the (few, <= host length) distinct rule lengths
-    lengths = list(sr.bare_lengths)
-    if lengths:
-        def subs_of_len(n):
-            # every substring of length n (an empty sequence when the host is shorter)
-            starts = F.sequence(F.lit(1), F.greatest(F.length("host") - n + 1, F.lit(0)))
-            return F.filter(F.transform(starts, lambda i: F.substring(F.col("host"), i, F.lit(n))), lambda x: F.length(x) == n)
-
-        subs = F.flatten(F.array(*[subs_of_len(n) for n in lengths]))
-        sub = h.select("host", F.explode(F.array_distinct(subs)).alias("pattern"))
-        m2 = sub.join(bare, "pattern").select("host", "action")
-        matches = m1.unionByName(m2)
-    else:
-        matches = m1
+    matches = m1.unionByName(bare_matches(h, bare))
     flags = matches.groupBy("host").agg(
         F.max((F.col("action") == "include").cast("int")).alias("inc"),
         F.max((F.col("action") == "exclude").cast("int")).alias("exc"),
