@@ -98,6 +98,9 @@ def brute_whitening(rows, k=16):
 @pytest.mark.parametrize("least", [4, whitening.LEAST_STEPS])
 def test_whitening(spark, odd_vectors, monkeypatch, least):
     monkeypatch.setattr(whitening, "LEAST_STEPS", least)
+    if least == 4:  # several tasks, added up in two levels
+        monkeypatch.setattr(whitening, "TASK_BYTES", 64)
+        monkeypatch.setattr(whitening, "DIRECT_ROWS", 1)
     rows = usable(odd_vectors)
     n, deviations, whitened, explained = brute_whitening(rows)
     got = whitening.whiten_vectors(table_of(spark, odd_vectors)).collect()

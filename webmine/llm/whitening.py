@@ -7,12 +7,13 @@ small bidiagonal B; the singular values of B, over the root of n, are the deviat
 The left vectors are as long as the table and are never stored: each is X c for a vector c of as many numbers as the
 table has dimensions, which the driver keeps. So one distributed pass per step gives all that a step needs: X v, its
 products with all earlier u (for the full reorthogonalisation), its norm and X' of it. A pass reads the checkpointed
-distinct vectors, sums per task and sums those by position, so what reaches the driver is a few hundred numbers, and a
-lost executor costs a step's tasks only. Rows are centred before anything is multiplied.
+distinct vectors, sums per task and adds the tasks' sums up in two levels, so what reaches the driver is a few hundred
+numbers from each of a bounded number of tasks, and a lost executor costs a step's tasks only. Rows are centred before anything is multiplied.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,10 @@ from .vectors import is_finite, matrix, per_length, whole
 COMPONENTS, SCALE, SHIFT = 16, 64, 1_000_000
 #: Steps before convergence can end the iteration; up to so many dimensions it runs through all of them.
 LEAST_STEPS = 128
+#: A task of a pass reads at least so many bytes of vectors, where there are as many: the passes are short and many.
+TASK_BYTES = 1 << 22
+#: From more tasks than this on, their sums are added up by tasks before the driver adds the rest.
+DIRECT_ROWS = 64
 #: A direction whose variance is below this share of the largest is constant up to rounding.
 RANK_SHARE = 1e-12
 #: A step whose norm is below this share of the largest has left the range of X.
@@ -75,21 +80,29 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarra
             yield np.frombuffer(row["x"], row["kind"]).reshape(row["n"], width).astype(np.int64) + SHIFT
 
 
-def _summed(packed: DataFrame, width: int, of_block: Callable[[np.ndarray], np.ndarray], size: int, kind: str = "double") -> np.ndarray:
-    """The sum of ``of_block`` (an array of ``size`` numbers) over all blocks: per task, then by position."""
-    dtype, arrow = (np.float64, pa.float64()) if kind == "double" else (np.int64, pa.int64())
+def _summed(
+    packed: DataFrame, tasks: int, width: int, of_block: Callable[[np.ndarray], np.ndarray], size: int, dtype: type = np.float64
+) -> np.ndarray:
+    """The sum of ``of_block`` (an array of ``size`` numbers) over all blocks. Each of at most ``tasks`` tasks gives one
+    row; where these are many, a second level of tasks, the root of their number, adds them up."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=dtype)
+        for batch in batches:
+            for part in batch.column("s").to_pylist():
+                total += np.frombuffer(part, dtype)
+        yield pa.RecordBatch.from_pydict({"s": pa.array([total.tobytes()], pa.binary())})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=dtype)
         for x in _blocks(batches, width):
             total += of_block(x)
-        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total, arrow)], names=["i", "s"])
+        yield pa.RecordBatch.from_pydict({"s": pa.array([total.tobytes()], pa.binary())})
 
-    got = packed.mapInArrow(work, f"i int, s {kind}").groupBy("i").agg(F.sum("s").alias("s")).collect()
-    out = np.zeros(size, dtype=dtype)
-    for r in got:
-        out[r.i] = r.s
-    return out
+    sums = packed.mapInArrow(work, "s binary")
+    if tasks > DIRECT_ROWS:
+        sums = sums.repartition(math.ceil(math.sqrt(tasks))).mapInArrow(add, "s binary")
+    return sum((np.frombuffer(r.s, dtype) for r in sums.collect()), np.zeros(size, dtype=dtype))
 
 
 def _orthogonal(r: np.ndarray, basis: list[np.ndarray]) -> np.ndarray:
@@ -174,7 +187,10 @@ def whiten_vectors(
 
     def one_length(rows: DataFrame, width: int) -> DataFrame:
         packed = cut_lineage(_packed(rows, width))
-        moments = _summed(packed, width, lambda x: np.append(x.sum(axis=0), len(x)), width + 1, "long").tolist()
+        size = packed.agg(F.sum(F.octet_length("x"))).first()[0] or 0
+        tasks = max(1, -(-size // TASK_BYTES))
+        packed = packed.coalesce(tasks)
+        moments = _summed(packed, tasks, width, lambda x: np.append(x.sum(axis=0), len(x)), width + 1, np.int64).tolist()
         n, centre = moments[-1], Centre(moments[-1], moments[:-1])
 
         def product(u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
@@ -185,10 +201,10 @@ def whiten_vectors(
                 w = y @ stacked
                 return np.concatenate((w.T @ w[:, -1], y.T @ w[:, -1]))
 
-            got = _summed(packed, width, of_block, k + 1 + width)
+            got = _summed(packed, tasks, width, of_block, k + 1 + width)
             return got[:k], float(got[k]), got[k + 1 :]
 
-        trace = float(_summed(packed, width, lambda x: np.array([(centre.rows(x) ** 2).sum()]), 1)[0]) / n if width else 0.0
+        trace = float(_summed(packed, tasks, width, lambda x: np.array([(centre.rows(x) ** 2).sum()]), 1)[0]) / n if width else 0.0
         if trace == 0:
             return empty
         sigma, basis = bidiagonal_components(product, width, min(components, width))
@@ -201,7 +217,7 @@ def whiten_vectors(
             w = centre.rows(x) @ to
             return (w.T @ w).ravel()
 
-        identity_error = float(np.abs(_summed(packed, width, gram, m * m).reshape(m, m) / n - np.eye(m)).max())
+        identity_error = float(np.abs(_summed(packed, tasks, width, gram, m * m).reshape(m, m) / n - np.eye(m)).max())
         explained = e / trace
 
         def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
