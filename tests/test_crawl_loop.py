@@ -1,4 +1,4 @@
-"""F5 against a brute-force breadth-first crawl on sf0.001 (no SQL oracle: the loop needs the whole visited set).
+"""F5 against a brute-force breadth-first crawl on sf0.001, and what its rounds write.
 
 Edges, canonical keys and per-URL properties come from the DuckDB SQL of ``oracles.py`` (independent of the Spark
 code); the loop itself is plain Python over those small tables.
@@ -84,3 +84,23 @@ def test_crawl_loop_matches_brute_force(spark):
     )
     assert len(want) > 1
     assert got == want
+
+
+def test_each_round_writes_what_it_admits(spark, monkeypatch):
+    from webmine.operators import frontier as FR
+
+    roots = []
+    made = FR.scratch_path
+    monkeypatch.setattr(FR, "scratch_path", lambda s, name: roots.append(made(s, name)) or roots[-1])
+    # A chain of pages; every page also links back to all earlier ones, with a query that makes it redundant, and out of scope.
+    n = 6
+    rows = [(i, f"http://c.test/p{i}.html", "".join(f'<a href="/p{j}.html?again={i}"></a>' for j in range(i)) +
+             f'<a href="/p{i + 1}.html"></a><a href="http://other.example/x.html"></a>') for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    seeds = spark.createDataFrame([("http://c.test/p0.html",)], "seed string")
+    rules = spark.createDataFrame([("exclude", "nothing.test")], "action string, pattern string")
+    got = sorted((r.depth, r.url, r.page_id) for r in FR.expand_frontier(seeds, pages, rules).collect())
+    assert got == [(i, f"http://c.test/p{i}.html", i if i < n else None) for i in range(n + 1)]
+    parts = {d: spark.read.schema(FR._STATE).parquet(f"{roots[0]}/{d}").count() for d in os.listdir(roots[0])}
+    assert parts == {f"depth={i}": 1 for i in range(n + 1)} | {f"depth={n + 1}": 0}
+    assert sorted(r.depth for r in FR.expand_frontier(seeds, pages, rules, max_rounds=2).collect()) == [0, 1, 2]
