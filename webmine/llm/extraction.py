@@ -2,7 +2,9 @@
 
 A page is cut into blocks of text. Each block has a path: the open elements from the root down, with the words of
 their class and id. Elements that never hold main text (scripts, forms, navigation, asides, footers, blocks whose
-class or id says advert, sidebar, comments and so on) are left out. Over the rest, text length and punctuation are
+class or id says advert, sidebar, comments and so on) are left out; but a container that only its class words or being
+a form rule out stays if an article or main lies in it, or if no prose is left of the page without it. Over the
+rest, text length and punctuation are
 aggregated per path (a menu has many short blocks without punctuation, an article long ones with much), smoothed over
 neighbouring blocks of the same section, and fused to one ratio. The best path names the content root: article and
 main if it lies in one, else its section. Inside the root all paths are content but those of links alone; elsewhere
@@ -33,7 +35,7 @@ CLOSES = {
 }
 SCOPES = frozenset("table ul ol dl article section main aside nav div body html form".split())
 NO_TEXT = frozenset(
-    "head script style noscript template nav footer aside form button select textarea iframe object svg canvas menu "
+    "head script style noscript template nav footer aside button select textarea iframe object svg canvas menu "
     "dialog audio video title math".split()
 )
 SECTIONS = frozenset("article main section div body td".split())
@@ -52,40 +54,58 @@ HEADS = frozenset("header masthead banner".split())
 #: Elements that their class or id doesn't rule out.
 WHOLE = frozenset("html body article main".split())
 PUNCTUATION = frozenset(".,;:!?…。、，！？；：¿¡")
+#: A class token that says how something is shown or what lies beside it, not what it is.
+MODIFIER = re.compile(r"(?i)^(?:has|have|with|without|no|not|is|overflow|text|js)[-_]|:|__|--")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 #: A path outside the content root is content if its ratio is at least this share of the page's best path.
 SHARE = 0.08
 #: Blocks inside article or main count this much more than others.
 MAIN_PRIOR = 4.0
+#: A page keeps what a class word rules out if less than this share of its text would be left, and no block of prose
+#: (punctuated, of so many characters at least) among it.
+LEFT_SHARE, PROSE_CHARS = 0.1, 40
 #: A block with this share of its characters in links is navigation.
 LINK_SHARE = 0.6
 
 
 class _Blocks(HTMLParser):
-    """Collects ``(path, section, in_main, text, characters in links)`` per block, in page order."""
+    """Collects ``(path, section, in_main, text, characters in links)`` per block, in page order, and for each block the
+    numbers of the containers around it that class words rule out."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool]] = []  # name, part of the path, without main text
+        self.open: list[tuple[str, str, bool, int]] = []  # name, part of the path, without main text, number if doubtful
         self.skipped = 0
         self.parts: list[str] = []
         self.linked = 0
         self.blocks: list[tuple[str, str, bool, str, int]] = []
+        self.doubts: list[tuple[int, ...]] = []
+        self.doubtful = 0
+        self.around_main: set[int] = set()
+
+    def parse_html_declaration(self, i: int) -> int:
+        """A declaration that the parser can't read ends at the next ``>``."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else len(self.rawdata)
 
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = [part for name, part, _ in self.open if name not in INLINE]
-            at = max((i for i, (name, _, _) in enumerate(self.open) if name in SECTIONS), default=-1)
-            section = "/".join(part for _, part, _ in self.open[: at + 1])
-            self.blocks.append(("/".join(path), section, any(n in MAIN for n, _, _ in self.open), text, self.linked))
+            path = [x[1] for x in self.open if x[0] not in INLINE]
+            at = max((i for i, x in enumerate(self.open) if x[0] in SECTIONS), default=-1)
+            section = "/".join(x[1] for x in self.open[: at + 1])
+            self.blocks.append(("/".join(path), section, any(x[0] in MAIN for x in self.open), text, self.linked))
+            self.doubts.append(tuple(x[3] for x in self.open if x[3]))
         self.parts, self.linked = [], 0
 
     def pop_to(self, at: int) -> None:
-        if any(name not in INLINE for name, _, _ in self.open[at:]):
+        if any(x[0] not in INLINE for x in self.open[at:]):
             self.end_block()
-        self.skipped -= sum(skip for _, _, skip in self.open[at:])
+        self.skipped -= sum(x[2] for x in self.open[at:])
         del self.open[at:]
 
     def close_implied(self, tag: str) -> None:
@@ -101,7 +121,7 @@ class _Blocks(HTMLParser):
         return None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ("html", "body") and any(name == tag for name, _, _ in self.open):
+        if tag in ("html", "body") and any(x[0] == tag for x in self.open):
             return
         if tag == "body":  # an unclosed head ends here
             at = next((i for i, x in enumerate(self.open) if x[0] == "head"), None)
@@ -116,16 +136,22 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             return
         names = {k: v or "" for k, v in attrs}
+        inside_main = any(x[0] in MAIN for x in self.open)
         tokens = [t for k in ("class", "id") for t in names.get(k, "").split()]
         words = {w.lower() for t in tokens for w in _PARTS.findall(t)} | {re.sub("[-_]", "", t.lower()) for t in tokens}
-        inside_main = any(n in MAIN for n, _, _ in self.open)
+        # An id inside an article is an anchor, named after what its section is about.
+        telling = [t for k in (("class",) if inside_main else ("class", "id")) for t in names.get(k, "").split() if not MODIFIER.search(t)]
+        told = {w.lower() for t in telling for w in _PARTS.findall(t)} | {re.sub("[-_]", "", t.lower()) for t in telling}
         skip = (
-            tag in NO_TEXT or bool(words & (NOT_MAIN - HEADS if inside_main else NOT_MAIN)) and tag not in WHOLE
-            or names.get("role", "").lower() in ROLES or "hidden" in names or names.get("aria-hidden") == "true"
+            tag in NO_TEXT or names.get("role", "").lower() in ROLES or "hidden" in names or names.get("aria-hidden") == "true"
             or (tag == "header" and not inside_main)
         )
+        doubt = tag == "form" or bool(told & (NOT_MAIN - HEADS if inside_main else NOT_MAIN)) and tag not in WHOLE
+        if tag in MAIN and not self.skipped and not skip:
+            self.around_main.update(x[3] for x in self.open if x[3])
+        self.doubtful += doubt
         part = tag + "".join(f".{w}" for w in sorted(words))
-        self.open.append((tag, part, skip))
+        self.open.append((tag, part, skip, self.doubtful if doubt else 0))
         self.skipped += skip
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -146,16 +172,32 @@ class _Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skipped:
             self.parts.append(data)
-            if any(name == "a" for name, _, _ in self.open):
+            if any(x[0] == "a" for x in self.open):
                 self.linked += len("".join(data.split()))
 
 
+def _is_prose(text: str, linked: int) -> bool:
+    """A sentence: long enough, punctuated, and no list of links."""
+    return len(text) >= PROSE_CHARS and not PUNCTUATION.isdisjoint(text) and linked <= LINK_SHARE * len(text)
+
+
 def page_blocks(html: str) -> list[tuple[str, str, bool, str, int]]:
     parser = _Blocks()
     parser.feed(html)
     parser.close()
     parser.end_block()
-    return parser.blocks
+    out = [all(d in parser.around_main for d in doubt) for doubt in parser.doubts]
+    size = [len(b[3]) for b in parser.blocks]
+    left = [b for b, keep in zip(parser.blocks, out, strict=True) if keep]
+    if sum(len(b[3]) for b in left) < LEFT_SHARE * sum(size) and not any(_is_prose(b[3], b[4]) for b in left):
+        # Nothing of the page's prose is left: the containers around most of the text stay, those beside it go.
+        held: dict[int, int] = defaultdict(int)
+        for doubt, n in zip(parser.doubts, size, strict=True):
+            for d in doubt:
+                held[d] += n
+        around = {d for d, n in held.items() if 2 * n > sum(size)} | parser.around_main
+        out = [all(d in around for d in doubt) for doubt in parser.doubts]
+    return [b for b, keep in zip(parser.blocks, out, strict=True) if keep]
 
 
 def content_blocks(html: str) -> list[str]:
