@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ from .common import hash_bucket, process_cache, rank_in_group
 CAPACITY = 2048
 #: Ends each document.
 END_ID = 0
+#: White space from this length on is cut out before the split pattern runs.
+LONG_RUN = 100_000
 
 
 def byte_bpe(path: str, pattern: str, added: dict[str, int]):
@@ -50,6 +53,34 @@ def default_vocabulary() -> tuple[str, str, dict[str, int]]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added
 
 
+#: White space as the split pattern understands it.
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def token_ids(bpe, text: str, added: dict[str, int]) -> list[int]:
+    """The ids of a text, with its literal added tokens as their own ids.
+
+    The split pattern can't take very long runs of white space (its engine's stack ends), so they are cut out. By the
+    pattern a run is one piece but for its last character, which goes with what follows, or a whole piece at the end.
+    """
+    if len(text) < LONG_RUN or not any(m.end() - m.start() >= LONG_RUN for m in re.finditer(_SPACE, text)):
+        holds = any(t in text for t in added)
+        return bpe.encode(text, allowed_special="all", disallowed_special=()) if holds else bpe.encode_ordinary(text)
+    ids: list[int] = []
+    for part in re.split("(" + "|".join(map(re.escape, added)) + ")", text) if added else [text]:
+        if part in added:
+            ids.append(added[part])
+            continue
+        at = 0
+        for m in re.finditer(_SPACE, part):
+            if m.end() - m.start() >= LONG_RUN:
+                end = m.end() if m.end() == len(part) else m.end() - 1
+                ids += bpe.encode_ordinary(part[at : m.start()]) + bpe._encode_single_piece(part[m.start() : end])
+                at = end
+        ids += bpe.encode_ordinary(part[at:])
+    return ids
+
+
 def tokenized_pieces(
     docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str, dict[str, int]] | None = None, with_ids: bool = False
 ) -> DataFrame:
@@ -68,9 +99,7 @@ def tokenized_pieces(
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 text = text if isinstance(text, str) else ""
-                holds = any(t in text for t in added)
-                ids = bpe.encode(text, allowed_special="all", disallowed_special=()) if holds else bpe.encode_ordinary(text)
-                ids = np.asarray([*ids, END_ID], dtype="<u4")
+                ids = np.asarray([*token_ids(bpe, text, added), END_ID], dtype="<u4")
                 first = len(ids) % capacity or capacity
                 cuts = [0, *range(first, len(ids), capacity), len(ids)]
                 for k in range(len(cuts) - 1):
