@@ -41,6 +41,8 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a",
     "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": LETTERS, "#": LETTERS,
 }
+#: Signs that stand for any letter.
+MASKS = frozenset(k for k, v in LEET.items() if v == LETTERS)
 SPACERS = " .-_~,/\\'\"`^"
 #: Costs of the channel, in nats: reading a sign as a letter, dropping one of a pair of equal signs or of a longer
 #: run, keeping a letter after two of its kind.
@@ -107,6 +109,8 @@ def restore_token(token: str, costs: np.ndarray) -> str:
     number = {c: i + 1 for i, c in enumerate(LETTERS)}
     signs = [c for c in token if c not in SPACERS]
     runs = [n for _, run in itertools.groupby(signs) for n in [len(list(run))] for _ in range(n)]
+    if any(c in MASKS for c in signs):
+        return _restore_masked(signs, runs, costs)
     before = ""
     for sign, length in zip(signs, runs, strict=True):
         choices = [(sign, 0.0)] if sign not in LEET else [(c, LEET_COST) for c in LEET[sign]]
@@ -123,6 +127,57 @@ def restore_token(token: str, costs: np.ndarray) -> str:
     return min(((cost + float(costs[a, b, 0]), text) for (a, b, _), (cost, text) in best.items()), default=(0.0, ""))[1]
 
 
+def _restore_masked(signs: list[str], runs: list[int], costs: np.ndarray) -> str:
+    """``restore_token`` where a sign may be any letter: the same search with a step as minima over tables of all states
+    (last two letters, run of the last), so that a mask of any length costs its length."""
+    number = {c: i + 1 for i, c in enumerate(LETTERS)}
+    by_before = np.ascontiguousarray(costs.transpose(1, 2, 0), dtype=np.float64)  # [last, next, last but one]
+    shape = (_BASE, _BASE, 4)
+    flat = np.arange(np.prod(shape), dtype=np.int32).reshape(shape)
+    best = np.full(shape, np.inf)
+    best[0, 0, 0] = 0.0
+    steps: list[tuple[str, np.ndarray, np.ndarray]] = []
+    before = ""
+    for sign, length in zip(signs, runs, strict=True):
+        choices, extra = (LEET[sign], LEET_COST) if sign in LEET else (sign, 0.0)
+        n = np.array([number.get(c, 0) for c in choices])
+        part = slice(1, len(LETTERS) + 1) if choices == LETTERS else n
+        again = sign == before
+        new, source, letter = np.full(shape, np.inf), np.zeros(shape, dtype=np.int32), np.full(shape, -1, dtype=np.int16)
+        run_of = best.argmin(axis=2)
+        total = by_before[:, part] + best.min(axis=2).T[:, None, :]
+        a = total.argmin(axis=2)
+        b = np.arange(_BASE)[:, None]
+        value = np.take_along_axis(total, a[:, :, None], axis=2)[:, :, 0] + extra
+        if again:
+            value[n, np.arange(len(n))] = np.inf  # the same letter once more goes on with its run, below
+        new[:, n, 1] = value
+        source[:, n, 1] = flat[a, b, run_of[a, b]]
+        letter[:, n, 1] = np.arange(len(n))
+        if again:
+            drop = DROP_OF_PAIR if length == 2 else DROP_OF_RUN
+            for run in range(4):
+                to = min(run + 1, 3)
+                more = best[:, n, run].T + by_before[n, n] + extra + (KEEP_TRIPLE if run >= 2 else 0.0)
+                a = more.argmin(axis=1)
+                value = more[np.arange(len(n)), a]
+                better = value < new[n, n, to]
+                at = n[better]
+                new[at, at, to], source[at, at, to], letter[at, at, to] = value[better], flat[a[better], at, run], np.flatnonzero(better)
+                value = best[:, :, run] + drop
+                better = value < new[:, :, to]
+                new[:, :, to][better], source[:, :, to][better], letter[:, :, to][better] = value[better], flat[:, :, run][better], -1
+        steps.append((choices, source, letter))
+        best, before = new, sign
+    state = int((best + costs[:, :, :1]).argmin())
+    out: list[str] = []
+    for choices, source, letter in reversed(steps):
+        if (at := int(letter.ravel()[state])) >= 0:
+            out.append(choices[at])
+        state = int(source.ravel()[state])
+    return "".join(reversed(out))
+
+
 def _keep(step: dict, state: tuple[int, int, int], cost: float, text: str) -> None:
     if state not in step or (cost, text) < step[state]:
         step[state] = (cost, text)
