@@ -65,10 +65,12 @@ def test_components(spark):
     assert {(r.node, r.root) for r in components(links).collect()} == {(i, 1) for i in (1, 2, 3, 4, 9)} | {(10, 10), (11, 10), (20, 20)}
 
 
-def test_large_buckets_are_compared_whole(spark, monkeypatch):
+@pytest.mark.parametrize("split", [0, 512])
+def test_large_buckets_are_compared_whole(spark, monkeypatch, split):
     import zstandard
 
-    monkeypatch.setattr(minhash, "SPLIT_OVER", 0)
+    monkeypatch.setattr(minhash, "SPLIT_OVER", split)
+    monkeypatch.setattr(minhash, "ROWS_OVER", 0)
     monkeypatch.setattr(minhash, "TILE", 8, raising=False)
     n = 60
     texts = [" ".join(words(100, 500 + i // 3 if i % 2 else 900 + i) + words(3, i)) for i in range(n)]
@@ -438,3 +440,33 @@ def test_empty(spark, odd):
     assert neighbours.nearest_neighbours(vectors, vectors).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert extraction.extract_text(pages).count() == 0 and warc.read_archives(warc.archive_pages(pages)).count() == 0
+
+
+def test_near_duplicates_against_all_pairs(spark, monkeypatch):
+    """Every class of a table of one large group of unlike strength, copies and repeated words equals that of all pairs."""
+    monkeypatch.setattr(minhash, "ROWS_OVER", 0)
+    monkeypatch.setattr(minhash, "TILE", 16)
+    rng = np.random.default_rng(11)
+    base = words(120, 1)
+    texts = []
+    for i in range(70):
+        text = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 7)), replace=False).tolist():
+            text[at] = f"edit{i}x{at}"
+        texts.append(" ".join(text))
+    texts += [" ".join(words(80, 50 + i // 2) + ["again and again"] * (i % 5) * 3) for i in range(20)] + ["", "one two", "one two"]
+    keys, weights, starts = minhash.weighted_shingles([t.lower().encode() for t in texts])
+    sets = [(keys[a:b], weights[a:b]) for a, b in zip(starts, starts[1:])]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or (len(sets[i][0]) and minhash.probability_jaccard(*sets[i], *sets[j]) >= 0.8):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    for x in range(0, 90, 7):
+        others = [y for y in range(90) if y != x]
+        some = minhash.similar_of_many(dict(enumerate(sets)), x, others, 0.8)
+        assert some == [y for y in others if minhash.probability_jaccard(*sets[x], *sets[y]) >= 0.8 - 1e-9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in rows_of(minhash.near_duplicates(docs))}
+    assert got == dict(enumerate(root)) and 1 < len(set(root[:70])) < 70
