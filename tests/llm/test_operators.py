@@ -379,6 +379,23 @@ def test_fingerprints(odd):
     assert fingerprints.compare_with_edits(odd).count() == odd.count() and fingerprints.compare_with_edits(odd.limit(0)).count() == 0
 
 
+def test_fingerprints_of_real_weights():
+    """Samples of bags with fractional weights agree as often as the generalised Jaccard similarity says."""
+    rng = np.random.default_rng(3)
+    terms = np.sort(rng.integers(0, 2**63, 60).astype(np.uint64))
+    a, b = rng.uniform(0.01, 3.0, 60), rng.uniform(0.01, 3.0, 60)
+    bags = [(terms, a), (terms, b), (terms, a * 0.25), (terms[:30], a[:30]), (terms, a), (terms[:0], a[:0])]
+    starts = np.cumsum([0] + [len(t) for t, _ in bags])
+    sig = fingerprints.weighted_signatures(np.concatenate([t for t, _ in bags]), np.concatenate([w for _, w in bags]), starts, 4096)
+    for i, real in ((1, np.minimum(a, b).sum() / np.maximum(a, b).sum()), (2, 0.25), (3, a[:30].sum() / a.sum())):
+        assert (sig[0] == sig[i]).mean() == pytest.approx(real, abs=0.03)
+    assert (sig[0] == sig[4]).all() and not sig[5].any()
+    r, log_c, u = fingerprints.gamma_draws(rng.integers(0, 2**63, 200_000).astype(np.uint64), 5)
+    for x, mean, var in ((r, 2, 2), (np.exp(log_c), 2, 2), (u, 0.5, 1 / 12)):
+        assert x.mean() == pytest.approx(mean, rel=0.01) and x.var() == pytest.approx(var, rel=0.03)
+    assert np.abs(np.corrcoef([r, log_c, u]) - np.eye(3)).max() < 0.01
+
+
 def test_fingerprints_of_long_texts():
     rng = np.random.default_rng(4)
     long = [" ".join(map(str, rng.integers(0, 2**60, 100_000).tolist())) for _ in range(2)]

@@ -1,11 +1,12 @@
 """Document fingerprints by consistent weighted sampling.
 
 A text is a bag of weighted terms: its words and its pairs of adjacent words, each a 64-bit hash, weighing as often as
-it occurs. As weights are whole numbers, a weight w is the occurrences (term, 1) to (term, w); each has one random rank
-per sample, which its hash alone decides, and the sample is the occurrence of the smallest rank. It is uniform over the
-weights and consistent between texts, so two texts agree in a sample with the probability of their generalised Jaccard
-similarity, sum of minima over sum of maxima, however long they are. A sample is kept as 16 bits, so unequal ones agree
-once in 65,536.
+it occurs. Per sample, the hash of a term decides three numbers: r and c, drawn from Gamma(2, 1), and b, drawn from
+[0, 1). A term of weight w has the step t = floor(ln w / r + b) and the rank ln c - r * (t - b + 1), and the sample is
+the (term, step) of the smallest rank. Two texts agree in a sample with the probability of their generalised Jaccard
+similarity, sum of minima over sum of maxima, whatever positive weights they have and however long they are. As the rank
+is the same for equal (term, step) and else another one, a sample is kept as 16 bits of a hash of its rank; unequal ones
+agree once in 65,536.
 """
 
 from __future__ import annotations
@@ -18,15 +19,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .minhash import prob_minhash
 from .words import chunks, mix64, window_hashes, word_hashes
 
 SAMPLES = 128
-_PAIR, _TIMES = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+#: Terms whose numbers are drawn at a time; their arrays stay in a core's cache.
+BLOCK = 1 << 14
+_PAIR, _SHORT, _NEXT = np.uint64(0xA0761D6478BD642F), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+_LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
-def term_occurrences(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the (term, 1), (term, 2) ... of each text, and where each text's begin."""
+def weighted_terms(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, weight) of each text, and where each text's begin."""
     words, first = word_hashes(encoded)
     text_of = np.repeat(np.arange(len(encoded)), np.diff(first))
     pairs = window_hashes(words ^ _PAIR, 2)
@@ -38,21 +41,75 @@ def term_occurrences(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(terms), dtype=bool)
     new[1:] = (terms[1:] != terms[:-1]) | (texts[1:] != texts[:-1])
     at = np.flatnonzero(new)
-    times = np.arange(len(terms)) - np.repeat(at, np.diff(at, append=len(terms)))
+    weights = np.diff(at, append=len(terms)).astype(np.float64)
+    return terms[at], weights, np.searchsorted(texts[at], np.arange(len(encoded) + 1))
+
+
+def gamma_draws(terms: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(r, ln c, b) of each term in one sample, from 32-bit uniforms: r and c are each the sum of two exponentials."""
+
+    def uniform(bits: np.ndarray) -> np.ndarray:
+        out = bits.astype(np.float64)
+        out += 0.5
+        out *= 2.0**-32
+        return out
+
+    def short(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> _HALF)) * _SHORT
+        x ^= x >> _HALF
+        return x
+
     with np.errstate(over="ignore"):
-        keys = mix64(terms + times.astype(np.uint64) * _TIMES)
-    return keys, np.searchsorted(texts, np.arange(len(encoded) + 1))
+        one = mix64(terms ^ mix64(np.array([sample], dtype=np.uint64) * _NEXT))
+        two = short(short(one + _NEXT))
+        three = short(two ^ one)
+    r = -np.log(uniform(one >> _HALF) * uniform(one & _LOW))
+    log_c = np.log(-np.log(uniform(two >> _HALF) * uniform(two & _LOW)))
+    return r, log_c, uniform(three >> _HALF)
+
+
+def sample_ranks(terms: np.ndarray, log_weights: np.ndarray, sample: int) -> np.ndarray:
+    """The rank of each term at its weight in one sample. ``log_weights`` ascend by their distance from 0, so that the
+    terms of weight 1, whose step is 0, come first."""
+    out = np.empty(len(terms))
+    single = int(np.searchsorted(np.abs(log_weights), 0.0, "right"))
+    for lo in range(0, len(terms), BLOCK):
+        hi = min(lo + BLOCK, len(terms))
+        r, log_c, b = gamma_draws(terms[lo:hi], sample)
+        step = 1.0 - b
+        if hi > single:
+            some = slice(max(single - lo, 0), None)
+            step[some] += np.floor(log_weights[lo:hi][some] / r[some] + b[some])
+        out[lo:hi] = log_c - r * step
+    return out
+
+
+def weighted_signatures(terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """A row of ``samples`` 16-bit numbers per bag (from each of ``starts`` on, one entry more than bags); zeros for an
+    empty bag. Weights are positive numbers, whole or not. What is equal in term and weight is drawn once for all bags."""
+    out = np.zeros((len(starts) - 1, samples), dtype=np.uint16)
+    full = np.flatnonzero(np.diff(starts))
+    if not len(full):
+        return out
+    with np.errstate(over="ignore"):
+        key = mix64(terms + mix64(weights.view(np.uint64)))
+    _, at, where = np.unique(key, return_index=True, return_inverse=True)
+    order = np.argsort(np.abs(np.log(weights[at])), kind="stable")
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    where, terms, log_weights = place[where], terms[at[order]], np.log(weights[at[order]])
+    first = np.asarray(starts)[full]
+    for sample in range(samples):
+        low = np.minimum.reduceat(sample_ranks(terms, log_weights, sample)[where], first)
+        out[full, sample] = mix64(low.view(np.uint64)) >> np.uint64(48)
+    return out
 
 
 def signatures(texts: list[str], samples: int = SAMPLES) -> np.ndarray:
     """A row of ``samples`` 16-bit numbers per text; zeros for a text without words."""
     out = np.zeros((len(texts), samples), dtype=np.uint16)
-    for base, encoded in chunks(texts, limit=1 << 19):
-        keys, starts = term_occurrences(encoded)
-        # Points of equal rate, dealt to the samples at random: in each, the first point of an occurrence is its rank.
-        kept = prob_minhash(keys, np.ones(len(keys)), starts, samples)
-        full = np.flatnonzero(np.diff(starts))
-        out[base + full] = (mix64(kept[full]) >> np.uint64(48)).astype(np.uint16)
+    for base, encoded in chunks(texts):
+        out[base : base + len(encoded)] = weighted_signatures(*weighted_terms(encoded), samples)
     return out
 
 
@@ -128,15 +185,23 @@ def compare_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         for batch in batches:
             texts = batch["text"].tolist()
             ids = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
-            rows = kept + list(zip(batch["__part"], batch["__tail"], ids, texts, signatures(texts, samples), strict=True))
-            pairs = [(x, y) for x, y in zip(rows, rows[1:], strict=False) if not x[1]]
+            rows = kept + [(*row, None) for row in zip(batch["__part"], batch["__tail"], ids, texts, strict=True)]
+            # A text stands beside its edited text, so that what they share is drawn once.
+            work, text_at, edit_at = [], {}, {}
+            for i, x in enumerate(rows):
+                if i >= len(kept):
+                    text_at[i] = len(work)
+                    work.append(x[3])
+                if i + 1 < len(rows) and not x[1]:
+                    edit_at[i] = len(work)
+                    n = len(x[3]) // 3
+                    work.append(x[3][: len(x[3]) - n] + rows[i + 1][3][:n])
+            sigs = signatures(work, samples)
+            rows = [(*x[:4], sigs[text_at[i]] if i in text_at else x[4]) for i, x in enumerate(rows)]
             kept = rows[-1:]
-            edits = []
-            for x, y in pairs:
-                n = len(x[3]) // 3
-                edits.append(x[3][: len(x[3]) - n] + y[3][:n])
             out = []
-            for (x, y), edit, sig in zip(pairs, edits, signatures(edits, samples), strict=True):
+            for i, at in edit_at.items():
+                x, y, edit, sig = rows[i], rows[i + 1], work[at], sigs[at]
                 empty = not _has_words(x[3])
                 out.append((
                     None if x[2] is None else str(x[2]), len(x[3]),
