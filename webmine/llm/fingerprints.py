@@ -23,9 +23,9 @@ from .words import chunks, mix64, window_hashes, word_hashes
 
 SAMPLES = 128
 #: Terms whose numbers are drawn at a time; their arrays stay in a core's cache.
-BLOCK = 1 << 14
+BLOCK = 1 << 13
 _PAIR, _SHORT, _NEXT = np.uint64(0xA0761D6478BD642F), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
-_LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
+_HALF, _TURN = np.uint64(32), np.uint64(17)
 
 
 def weighted_terms(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,51 +36,59 @@ def weighted_terms(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     inside = text_of[:-1] == text_of[1:]
     terms = np.concatenate((words, pairs[inside]))
     texts = np.concatenate((text_of, text_of[:-1][inside]))
-    order = np.lexsort((terms, texts))
-    terms, texts = terms[order], texts[order]
-    new = np.ones(len(terms), dtype=bool)
-    new[1:] = (terms[1:] != terms[:-1]) | (texts[1:] != texts[:-1])
-    at = np.flatnonzero(new)
-    weights = np.diff(at, append=len(terms)).astype(np.float64)
-    return terms[at], weights, np.searchsorted(texts[at], np.arange(len(encoded) + 1))
+    distinct, number = np.unique(terms, return_inverse=True)
+    bags = np.sort(texts << 32 | number)
+    at = np.flatnonzero(np.diff(bags, prepend=-1))
+    weights = np.diff(at, append=len(bags)).astype(np.float64)
+    bags = bags[at]
+    return distinct[bags & 0xFFFFFFFF], weights, np.searchsorted(bags >> 32, np.arange(len(encoded) + 1))
 
 
 def gamma_draws(terms: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(r, ln c, b) of each term in one sample, from 32-bit uniforms: r and c are each the sum of two exponentials."""
+    """(r, ln c, b) of each term in one sample, from 32-bit uniforms: r and c are each the sum
+    of two exponentials."""
 
-    def uniform(bits: np.ndarray) -> np.ndarray:
-        out = bits.astype(np.float64)
-        out += 0.5
+    def scramble(x: np.ndarray) -> None:
+        x ^= x >> _HALF
+        x *= _SHORT
+        x ^= x >> _HALF
+
+    def uniforms(x: np.ndarray) -> np.ndarray:
+        out = x.view(np.int32).astype(np.float64)
         out *= 2.0**-32
+        out += 0.5 + 2.0**-33
         return out
 
-    def short(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> _HALF)) * _SHORT
-        x ^= x >> _HALF
-        return x
+    def two_logs(x: np.ndarray) -> np.ndarray:
+        both = uniforms(x)
+        out = both[0::2] * both[1::2]
+        np.log(out, out=out)
+        return np.negative(out, out=out)
 
     with np.errstate(over="ignore"):
-        one = mix64(terms ^ mix64(np.array([sample], dtype=np.uint64) * _NEXT))
-        two = short(short(one + _NEXT))
-        three = short(two ^ one)
-    r = -np.log(uniform(one >> _HALF) * uniform(one & _LOW))
-    log_c = np.log(-np.log(uniform(two >> _HALF) * uniform(two & _LOW)))
-    return r, log_c, uniform(three >> _HALF)
-
-
-def sample_ranks(terms: np.ndarray, log_weights: np.ndarray, sample: int) -> np.ndarray:
-    """The rank of each term at its weight in one sample. ``log_weights`` ascend by their distance from 0, so that the
-    terms of weight 1, whose step is 0, come first."""
+        one = terms ^ mix64(np.array([sample], dtype=np.uint64) * _NEXT)
+        scramble(one)
+        scramble(one)
+        two = one + _NEXT
+        scramble(two)
+        three = two ^ (one >> _TURN)
+        scramble(three)
+    log_c = two_logs(two)
+    return two_logs(one), np.log(log_c, out=log_c), uniforms(three)[1::2]
+
+
+def sample_ranks(terms: np.ndarray, log_weights: np.ndarray, sample: int, single: int = 0) -> np.ndarray:
+    """The rank of each term at its weight in one sample. The first ``single`` terms weigh 1: their step is 0."""
     out = np.empty(len(terms))
-    single = int(np.searchsorted(np.abs(log_weights), 0.0, "right"))
     for lo in range(0, len(terms), BLOCK):
         hi = min(lo + BLOCK, len(terms))
         r, log_c, b = gamma_draws(terms[lo:hi], sample)
-        step = 1.0 - b
+        b -= 1.0
         if hi > single:
             some = slice(max(single - lo, 0), None)
-            step[some] += np.floor(log_weights[lo:hi][some] / r[some] + b[some])
-        out[lo:hi] = log_c - r * step
+            b[some] -= np.floor(log_weights[lo:hi][some] / r[some] + (b[some] + 1.0))
+        b *= r
+        np.add(log_c, b, out=out[lo:hi])
     return out
 
 
@@ -94,13 +102,14 @@ def weighted_signatures(terms: np.ndarray, weights: np.ndarray, starts: np.ndarr
     with np.errstate(over="ignore"):
         key = mix64(terms + mix64(weights.view(np.uint64)))
     _, at, where = np.unique(key, return_index=True, return_inverse=True)
-    order = np.argsort(np.abs(np.log(weights[at])), kind="stable")
-    place = np.empty(len(order), dtype=np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
+    # By weight, then by where a term comes first, so that a bag reads neighbouring ranks.
+    order = np.lexsort((at, np.abs(np.log(weights[at]))))
+    place = np.empty(len(order), dtype=np.intp)
+    place[order] = np.arange(len(order))
     where, terms, log_weights = place[where], terms[at[order]], np.log(weights[at[order]])
-    first = np.asarray(starts)[full]
+    first, single = np.asarray(starts)[full], int(np.count_nonzero(log_weights == 0.0))
     for sample in range(samples):
-        low = np.minimum.reduceat(sample_ranks(terms, log_weights, sample)[where], first)
+        low = np.minimum.reduceat(sample_ranks(terms, log_weights, sample, single).take(where), first)
         out[full, sample] = mix64(low.view(np.uint64)) >> np.uint64(48)
     return out
 
