@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webmine.operators import links as L
 from webmine.operators import params as P
+from webmine.plans.queries import REGISTRY
 from webmine.streaming import jobs as S
 
 PAGES = "page_id bigint, url string, html string"
@@ -116,3 +117,15 @@ def test_stream_dedupe_within_watermark(spark):
     src = spark.readStream.schema("url string, ts timestamp").parquet(os.path.join(d, "in"))
     out = S.run_available(S.stream_dedupe_urls(src, "url", event_time="ts", delay="1 hour"), "wm-test")
     assert sorted(r["canonical_url"] for r in out.collect()) == ["http://s.test/a", "http://s.test/b?x=2&y=1"]
+
+
+@pytest.mark.parametrize("name", ["stream_dedupe", "stream_links", "stream_params", "stream_report", "stream_param_counts"])
+def test_a_table_of_several_files_gives_what_one_file_gives(spark, name):
+    table = spark.createDataFrame([page(i) for i in range(24)], PAGES)
+    one, many = Files(spark), tempfile.mkdtemp(prefix="webmine-in-", dir="/tmp")
+    one.drop(table.collect(), PAGES)
+    os.link(os.path.join(one.folder, os.listdir(one.folder)[0]), os.path.join(one.out, "pages.parquet"))
+    table.repartition(3).write.parquet(os.path.join(many, "pages.parquet"))
+    assert os.path.isfile(os.path.join(one.out, "pages.parquet")) and len(os.listdir(os.path.join(many, "pages.parquet"))) > 3
+    rows = [sorted(map(str, REGISTRY[name](spark, sf).collect())) for sf in (one.out, many)]
+    assert rows[0] == rows[1] and rows[0]

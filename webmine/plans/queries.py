@@ -444,7 +444,7 @@ def status_by_host(spark, sf):
 
 # ---------------------------------------------------------------- streaming
 def _pages_stream(spark, sf):
-    return S.stream_table(spark, sf, "pages.parquet")
+    return S.stream_stored(spark, f"{sf.rstrip('/')}/pages.parquet")
 
 
 def _pages_plus_stream(spark, sf):
