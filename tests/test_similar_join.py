@@ -2,7 +2,9 @@
 
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,22 @@ def test_similar_template_pages_meet_their_leader_only(spark):
 def test_prefix_rows_are_fewer_than_shingles(spark):
     sets = template_sets(spark, 5, 100, shared=9000)
     assert N.prefix_rows(sets, 97).count() < 5 * 9100
+
+
+def test_signatures_hold_a_slice_of_a_batch_only():
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(400)) for _ in range(3000)] + [None, "", "one two"]
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n)), pa.array(["h"] * n), pa.array(["b"] * n), pa.array(texts)], ["page_id", "grp", "body_hash", "text"]
+    )
+    list(N._sign_slices(iter([batch.slice(0, 10)])))
+    tracemalloc.start()
+    rows, shingle_count = 0, 0
+    for part in N._sign_slices(iter([batch])):
+        rows += part.num_rows
+        shingle_count += len(part.column("sh").flatten())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and shingle_count == sum(len(shingles(t or "")) for t in texts)
+    assert peak < 8 * shingle_count  # the signatures of the whole batch take as much as plain numbers, as lists 5 times that

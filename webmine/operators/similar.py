@@ -4,7 +4,7 @@ Similarity is the Jaccard index of word-3-shingle sets (lower-cased text split o
 when it is exact-equal to, or at least 97% similar to, an *earlier* (smaller id) body of the same host — "earlier"
 rather than "earlier kept", which is order-free (differs only when A~B, B~C and A!~C).
 
-Plan: one map-side pass computes each body's content hash and, with an Arrow-batched pandas UDF (numpy inside), its
+Plan: one map-side pass computes each body's content hash and, over slices of Arrow batches (numpy inside), its
 shingle hashes and MinHash signature, so the body text is never shuffled. Exact copies are grouped on the hash (narrow
 columns), and only representatives go on, of those only the ones that share a signature band with another body.
 (Below a cut of BAND_CUT all go on.) They meet in a prefix-filter join: a body's shingles are ordered by rarity in its
@@ -18,13 +18,14 @@ so far. Verification is the exact Jaccard on the shingle-hash sets (JVM side).
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import urls as U
 from ..functions.patterns import BODY_SIMILARITY_CUT
@@ -42,13 +43,12 @@ _SPLIT = None
 #: Size classes of the prefix-filter join: exact sizes up to CLASS_FROM shingles, then steps of CLASS_WIDTH (a ratio's log).
 CLASS_FROM, CLASS_WIDTH = 500, 0.002
 
-SIG_TYPE = T.StructType([
-    T.StructField("sh", T.ArrayType(T.LongType())),
-    T.StructField("bands", T.ArrayType(T.LongType())),
-])
+#: Bodies whose shingles a Python worker holds at a time; it lets go of them before it takes the next ones.
+SLICE = 64
 
 
-def _one(text: str):
+def _one(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes and the band hashes of a text; none if it has no three words."""
     import re
 
     global _SPLIT
@@ -56,7 +56,7 @@ def _one(text: str):
         _SPLIT = re.compile(r"[\t\n\f\r ]+")
     toks = [t for t in _SPLIT.split(text or "") if t]
     if len(toks) < 3:
-        return {"sh": [], "bands": []}
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     th = pd.util.hash_array(np.asarray(toks, dtype=object), categorize=False)
     with np.errstate(over="ignore"):
         sh = (th[:-2] * _C1) ^ ((th[1:-1] * _C2) >> np.uint64(1)) ^ (th[2:] + _C1)
@@ -69,18 +69,38 @@ def _one(text: str):
         bh = np.zeros(N_BANDS, dtype=np.uint64)
         for j in range(ROWS_PER_BAND):
             bh = (bh * _C2) ^ (bands[:, j] + np.uint64(j))
-    return {"sh": sh.view(np.int64).tolist(), "bands": bh.view(np.int64).tolist()}
+    return sh.view(np.int64), bh.view(np.int64)
 
 
-# The UDF is the only Python code that runs on workers: ship it (and the constants above) by value, so workers need
+# The map is the only Python code that runs on workers: ship it (and the constants above) by value, so workers need
 # no copy of this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@F.pandas_udf(SIG_TYPE)
-def shingle_signature(texts: pd.Series) -> pd.DataFrame:
-    rows = [_one(t) for t in texts]
-    return pd.DataFrame({"sh": [r["sh"] for r in rows], "bands": [r["bands"] for r in rows]})
+def _sign_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``sh`` and ``bands`` in place of ``text``, a slice of a batch at a time. Arrays go to Arrow as they are: as lists
+    of Python numbers, a batch's shingles would take several times the batch."""
+
+    def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            part = batch.slice(lo, SLICE)
+            signed = [_one(t.as_py()) for t in part.column("text")]
+            columns = [part.column(c) for c in ("page_id", "grp", "body_hash")]
+            columns += [lists([sh for sh, _ in signed]), lists([bands for _, bands in signed])]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "grp", "body_hash", "sh", "bands"])
+
+
+def _signed(prepared: DataFrame) -> DataFrame:
+    """``(page_id, grp, body_hash, sh, bands)`` of ``prepared`` bodies (page_id, grp, text)."""
+    rows = prepared.select("page_id", "grp", F.sha2("text", 256).alias("body_hash"), F.lower("text").alias("text"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(
+        _sign_slices, f"page_id {kinds['page_id']}, grp {kinds['grp']}, body_hash string, sh array<bigint>, bands array<bigint>"
+    )
 
 
 def _prepare(bodies: DataFrame, group: str) -> DataFrame:
@@ -157,11 +177,7 @@ def similar_bodies(bodies: DataFrame, group: str = "host", cut: int = BODY_SIMIL
     """``(page_id, grp, similar_to)`` for every body with an earlier body of its group at least ``cut``% similar
     (exact copies included); ``similar_to`` is the smallest such id."""
     # One map-side pass over the bodies: content hash and signature together, so html is never shuffled.
-    sig = cut_lineage(
-        _prepare(bodies, group)
-        .select("page_id", "grp", F.sha2("text", 256).alias("body_hash"), shingle_signature(F.lower("text")).alias("s"))
-        .select("page_id", "grp", "body_hash", "s.sh", "s.bands")
-    )
+    sig = cut_lineage(_signed(_prepare(bodies, group)))
     exact = _first_copies(sig.select("page_id", "grp", "body_hash"))
     reps = exact.where(F.col("dup_of").isNull()).select("page_id")
     met = reps
