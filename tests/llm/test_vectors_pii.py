@@ -260,3 +260,11 @@ def test_personal_data_on_odd_rows(spark, model):
     assert pii.redact(one, model).first().text == "mail <email> or <ip>, call <phone>."
     empty = df.limit(0)
     assert pii.span_digest(empty).count() == 0 and pii.fit_model(empty).thresholds == {}
+
+
+def test_model_is_fitted_on_all_base_spans(spark):
+    n = 1500
+    rows = [(i, f"ask {chr(97 + i % 26)}{i} or user{i}@mail{i}.example.com for news") for i in range(n)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    right = pii.training_proposals(docs).where("label = 1").groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in right} == {pii.EMAIL: 5 * n}  # five right spellings of each different span

@@ -6,10 +6,11 @@ close to other digits that their greedy match is dropped. Generators with high r
 overlap; boosted trees score each proposal by its format and by the text around it; a threshold per kind, calibrated on
 held-out proposals for a stated precision, selects; of proposals that overlap, the best stays. Base spans always stay.
 
-Labels come from the corpus itself. A bounded sample of base spans with the text around them is rewritten: right in
+Labels come from the corpus itself. All different base spans with the text around them are rewritten: right in
 other spellings and beside other digits, wrong with a broken check digit, too large a part, more parts, or words of the
 text in place of a name. The generators run on the rewritten text: the proposal that is the rewritten span has its
-label, one that overlaps it with other ends is wrong. Without base spans there is nothing to learn and nothing is added.
+label, one that overlaps it with other ends is wrong. Proposals with the same features and label are one row with their
+number as its weight, so what is fitted grows with the kinds of spans more than with their number. Without base spans there is nothing to learn and nothing is added.
 
 Positions come from the lengths of matches and of what lies between them, so that no text is cut up by index, and all
 patterns take runs whole, so that long runs cost linear time and no stack.
@@ -32,8 +33,6 @@ from ..session import cut_lineage
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 
-#: The classifier is fitted on at most about so many base spans of each kind, whatever the size of the corpus.
-TRAINING_SPANS = 1000
 #: Precision that a kind's threshold must have on held-out proposals.
 PRECISION = 0.99
 TREES, DEPTH, STEP = 24, 3, 0.3
@@ -222,7 +221,7 @@ def _proposals(text: Column) -> Column:
 
 
 def _rewritten(kind: Column, m: Column, left: Column, right: Column) -> Column:
-    """Spellings of a sampled span in its context, as structs of text, label and the left and right context."""
+    """Spellings of a base span in its context, as structs of text, label and the left and right context."""
     d = _digits(m)
     number = F.conv(F.substring(F.md5(m), 1, 12), 16, 10)
     ten = F.right(F.concat(F.lit("0000000000"), d), F.lit(10))
@@ -265,18 +264,22 @@ def _rewritten(kind: Column, m: Column, left: Column, right: Column) -> Column:
     return F.when(kind == EMAIL, F.array(*emails)).when(kind == IP, F.array(*ips)).when(kind == CARD, F.array(*cards)).otherwise(F.array(*phones))
 
 
-def training_proposals(docs: DataFrame, text: str = "text", spans: int = TRAINING_SPANS) -> DataFrame:
-    """``(kind, f, label, held_out)``: proposals on rewritten base spans of ``docs``.
+def training_proposals(docs: DataFrame, text: str = "text", spans: int | None = None) -> DataFrame:
+    """``(kind, f, label, held_out)``: proposals on the rewritten base spans of ``docs``, all different ones.
 
-    At most about ``spans`` base spans of each kind take part (the different ones with the smallest hashes). A quarter,
-    by hash of the span, is held out for the thresholds. NULL and empty texts have no spans.
+    With ``spans``, at most about so many of each kind take part (those with the smallest hashes). A quarter, by hash of
+    the span, is held out for the thresholds. NULL and empty texts have no spans.
     """
     rows = _with_base(docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text")), "__text")
     found = rows.select(F.explode(F.concat(*[_base_as(k, "m", "l", "r") for k in range(4)])).alias("s")).select("s.*").distinct()
-    found = cut_lineage(found.withColumn("h", F.xxhash64("kind", "m", "l", "r") / F.lit(2.0**64) + 0.5))
-    share = {r.kind: spans / r.n for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = reduce(lambda c, k: c | ((F.col("kind") == k) & (F.col("h") < share[k])), share, F.lit(False))
-    sample = found.where(picked).select("kind", "m", F.explode(_rewritten(F.col("kind"), F.col("m"), F.col("l"), F.col("r"))).alias("v"))
+    # Spans are short and what is done with each is long: they are dealt over all tasks, however few bytes they are.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.repartition(tasks, "kind", "m", "l", "r")
+    if spans is not None:
+        found = cut_lineage(found.withColumn("h", F.xxhash64("kind", "m", "l", "r") / F.lit(2.0**64) + 0.5))
+        share = {r.kind: spans / r.n for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+        found = found.where(reduce(lambda c, k: c | ((F.col("kind") == k) & (F.col("h") < share[k])), share, F.lit(False)))
+    sample = found.select("kind", "m", F.explode(_rewritten(F.col("kind"), F.col("m"), F.col("l"), F.col("r"))).alias("v"))
     sample = sample.select(
         "kind", (F.pmod(F.crc32("m"), F.lit(4)) == 3).alias("held_out"), "v.label", F.concat("v.l", "v.m", "v.r").alias("__text"),
         F.length("v.l").alias("lo"), (F.length("v.l") + F.length("v.m")).alias("hi"),
@@ -321,17 +324,18 @@ def _tree(node) -> tuple | float:
     return int(split.featureIndex()), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def fit_model(docs: DataFrame, text: str = "text", spans: int = TRAINING_SPANS, precision: float = PRECISION) -> Model:
+def fit_model(docs: DataFrame, text: str = "text", spans: int | None = None, precision: float = PRECISION) -> Model:
     """Boosted trees fitted on :func:`training_proposals`, with a threshold per kind: the lowest score from which on
     held-out proposals of that kind reach ``precision``. A kind without such a score adds nothing; without both labels
     in the fitted part there are no trees."""
-    rows = cut_lineage(training_proposals(docs, text, spans))
-    fitted = rows.where(~F.col("held_out")).select(array_to_vector("f").alias("features"), "label")
+    alike = training_proposals(docs, text, spans).groupBy("kind", "f", "label", "held_out")
+    rows = cut_lineage(alike.agg(F.count(F.lit(1)).cast("double").alias("n")))
+    fitted = rows.where(~F.col("held_out")).select(array_to_vector("f").alias("features"), "label", "n")
     if len(fitted.select("label").distinct().collect()) < 2:
         return Model()
-    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, maxBins=64).fit(fitted)
+    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, maxBins=64, weightCol="n").fit(fitted)
     model = Model([_tree(t._java_obj.rootNode()) for t in gbt.trees], list(gbt.treeWeights))
-    counts = rows.where("held_out").withColumn("s", model.score(F.col("f"))).groupBy("kind", "s").agg(F.sum("label").alias("y"), F.count(F.lit(1)).alias("n"))
+    counts = rows.where("held_out").withColumn("s", model.score(F.col("f"))).groupBy("kind", "s").agg(F.sum(F.col("label") * F.col("n")).alias("y"), F.sum("n").alias("n"))
     down = Window.partitionBy("kind").orderBy(F.col("s").desc())
     reached = counts.withColumn("p", F.sum("y").over(down) / F.sum("n").over(down)).where(F.col("p") >= precision)
     model.thresholds = {r.kind: r.s for r in reached.groupBy("kind").agg(F.min("s").alias("s")).collect()}
