@@ -487,3 +487,27 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in rows_of(minhash.near_duplicates(docs))}
     assert got == dict(enumerate(root)) and 1 < len(set(root[:70])) < 70
+
+
+def test_anchors_are_computed_and_moved_once(spark):
+    from pyspark.sql import functions as F
+
+    from webmine.llm import substrings
+
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40)) + (" " + passage if i % 3 == 0 else "")) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    computed = spark.sparkContext.accumulator(0)
+    original = substrings.anchor_rows
+
+    def counted(*args):
+        computed.add(1)
+        return original(*args)
+
+    substrings.anchor_rows = counted
+    try:
+        shared = substrings.shared_anchors(docs.coalesce(1)).collect()
+    finally:
+        substrings.anchor_rows = original
+    assert computed.value == 1  # one task, one chunk of texts
+    assert {r.t for r in shared} == {r.t for r in docs.where("doc_id % 3 = 0").select(F.xxhash64("text").alias("t")).collect()}

@@ -235,11 +235,19 @@ def anchors_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return _keyed(docs).select("t", "text").mapInPandas(emit, "anchor long, t long")
 
 
-def marked_texts(docs: DataFrame, shared: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(t, first, anchors, packed)``: a row per text that has some of the anchors ``shared``, with these, its
-    smallest id and its compressed UTF-8; checkpointed."""
-    marks = anchors_of(docs, window).join(shared.select("anchor"), "anchor")
-    marks = marks.groupBy("t").agg(F.collect_set("anchor").alias("anchors"))
+def shared_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(anchor, t, n)``: the rows of :func:`anchors_of` whose anchor more than one text has, with the number of the
+    anchor's rows; checkpointed. Anchors are computed and moved once: their counts and what they are counted for read
+    the same shuffle."""
+    rows = anchors_of(docs, window).repartition("anchor")
+    counted = rows.groupBy("anchor").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return cut_lineage(rows.join(counted.where("lo <> hi").select("anchor", "n").hint("merge"), "anchor"))
+
+
+def marked_texts(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """``(t, first, anchors, packed)``: a row per text in ``shared`` (anchor, t) with its anchors there, its smallest id
+    and its compressed UTF-8; checkpointed."""
+    marks = shared.groupBy("t").agg(F.collect_set("anchor").alias("anchors"))
     # One key for both sides, so that the texts move once; two texts with one 64-bit hash end the job, they don't mix.
     rows = _keyed(docs).select("t", "c", "id", _pack(F.col("text")).alias("packed"))
     one = rows.groupBy("t").agg(
@@ -350,14 +358,11 @@ def piece_owners(pieces: DataFrame, hot: DataFrame, window: int, shards: int) ->
 def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """``(t, starts)``: the windows (by first word) of each text that also start in a document with a smaller id than the
     smallest one that has the text (``marked_texts`` has seen that no other text shares its ``t``)."""
-    # 40 bits of the hash tell two texts apart here (they don't once in 10 ** 12 anchors) and move in less space.
-    some = F.col("t").bitwiseAND(F.lit((1 << 40) - 1))
-    shared = anchors_of(docs, window).groupBy("anchor").agg(
-        F.min(some).alias("lo"), F.max(some).alias("hi"), F.count(F.lit(1)).alias("n"))
-    shared = cut_lineage(shared.where("lo <> hi").select("anchor", "n"))
-    shards = shared.count() // SHARD_ANCHORS + 1
-    marked = marked_texts(docs, shared, window)
-    hot = shared.where(F.col("n") > hot_texts).select("anchor")
+    shared = shared_anchors(docs, window)
+    anchors = cut_lineage(shared.groupBy("anchor").agg(F.any_value("n").alias("n")))
+    shards = anchors.count() // SHARD_ANCHORS + 1
+    marked = marked_texts(docs, shared)
+    hot = anchors.where(F.col("n") > hot_texts).select("anchor")
     owners = piece_owners(_cut(marked, window, True), hot, window, shards)
     taken = F.expr("filter(transform(owners, (o, i) -> if(o < first, start + at + i, null)), x -> x is not null)")
     hits = _cut(marked, window, False).join(owners, ["anchor", "piece"]).select("t", taken.alias("starts"))
