@@ -396,6 +396,26 @@ def test_fingerprints_of_real_weights():
     assert np.abs(np.corrcoef([r, log_c, u]) - np.eye(3)).max() < 0.01
 
 
+def test_fingerprints_draw_few_terms(monkeypatch):
+    """Most terms are left out by the bound of their rank, and the samples are those of all ranks drawn."""
+    rng = np.random.default_rng(6)
+    sizes = [1, 2, 30, 400, 3000, 20_000, 3000]
+    every = rng.integers(0, 2**63, 20_000).astype(np.uint64)
+    bags = [rng.choice(every, n, replace=False) for n in sizes]
+    weights = [rng.choice(w, n).astype(float) for n, w in zip(sizes, ([7], [1], [1, 2], [1, 1, 9], [1], [1, 1, 40], [0.001, 0.3, 25.0]), strict=True)]
+    starts = np.cumsum([0, *sizes])
+    drawn = []
+    draws = fingerprints.gamma_draws
+    monkeypatch.setattr(fingerprints, "gamma_draws", lambda terms, sample: drawn.append(len(terms)) or draws(terms, sample))
+    got = fingerprints.weighted_signatures(np.concatenate(bags), np.concatenate(weights), starts, 64)
+    assert sum(drawn) < 0.3 * 64 * sum(sizes)
+    for sample in range(64):
+        low = np.array([fingerprints.sample_ranks(t, np.log(w), sample).min() for t, w in zip(bags, weights, strict=True)])
+        assert (got[:, sample] == fingerprints.mix64(low.view(np.uint64)) >> np.uint64(48)).all()
+    one = fingerprints.weighted_signatures(every[:3], np.array([1e-9, 1.0, 1e9]), np.array([0, 0, 3]), 64)
+    assert not one[0].any() and one[1].any()
+
+
 def test_fingerprints_of_long_texts():
     rng = np.random.default_rng(4)
     long = [" ".join(map(str, rng.integers(0, 2**60, 100_000).tolist())) for _ in range(2)]

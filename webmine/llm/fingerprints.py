@@ -7,6 +7,10 @@ the (term, step) of the smallest rank. Two texts agree in a sample with the prob
 similarity, sum of minima over sum of maxima, whatever positive weights they have and however long they are. As the rank
 is the same for equal (term, step) and else another one, a sample is kept as 16 bits of a hash of its rank; unequal ones
 agree once in 65,536.
+
+A bag of weight W has its smallest rank below ln(LEAST / W) with the probability 1 - exp(-LEAST). So a cheap lower bound
+of the rank, from the same bits without logarithms, leaves out most terms before their numbers are drawn. A bag whose
+smallest rank left is not below that limit has all its ranks drawn, so the sample is the same as without the bound.
 """
 
 from __future__ import annotations
@@ -23,9 +27,12 @@ from .words import chunks, mix64, window_hashes, word_hashes
 
 SAMPLES = 128
 #: Terms whose numbers are drawn at a time; their arrays stay in a core's cache.
-BLOCK = 1 << 13
+BLOCK = 1 << 14
+#: A bag's smallest rank is looked for below ln(LEAST / weight of the bag) first.
+LEAST = 4.0
 _PAIR, _SHORT, _NEXT = np.uint64(0xA0761D6478BD642F), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _HALF, _TURN = np.uint64(32), np.uint64(17)
+_TWICE = np.uint64(int(_SHORT) ** 2 % 2**64)
 
 
 def weighted_terms(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,7 +43,7 @@ def weighted_terms(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     inside = text_of[:-1] == text_of[1:]
     terms = np.concatenate((words, pairs[inside]))
     texts = np.concatenate((text_of, text_of[:-1][inside]))
-    distinct, number = np.unique(terms, return_inverse=True)
+    number, distinct = pd.factorize(terms)
     bags = np.sort(texts << 32 | number)
     at = np.flatnonzero(np.diff(bags, prepend=-1))
     weights = np.diff(at, append=len(bags)).astype(np.float64)
@@ -92,6 +99,68 @@ def sample_ranks(terms: np.ndarray, log_weights: np.ndarray, sample: int, single
     return out
 
 
+class LowRanks:
+    """Which of some terms may have a rank below the logarithm of their limit. The buffers serve all samples."""
+
+    def __init__(self, terms: np.ndarray, limits: np.ndarray) -> None:
+        self.folded = terms ^ (terms >> _HALF)
+        # The bound is made of 32-bit floats, whose errors are far below this margin.
+        self.limits = ((limits * 1.0001 + 1e-6) * 2.0**63).astype(np.float32)
+        size = min(len(terms), BLOCK)
+        self.x, self.y = np.empty(size, dtype=np.uint64), np.empty(size, dtype=np.uint64)
+        self.both = np.empty(2 * size, dtype=np.float32)
+        self.p, self.q, self.sum = (np.empty(size, dtype=np.float32) for _ in range(3))
+        self.low = np.empty(size, dtype=bool)
+
+    def find(self, sample: int) -> np.ndarray:
+        """Places of such terms in ``sample``, ascending.
+
+        With p = exp(-r) and q = exp(-c), each a product of two uniforms of ``gamma_draws``, the rank of a term of weight
+        w is at least ln c - r - ln w, and c at least 2 * (1 - q) / (1 + q); a limit is given times w.
+        """
+        key = mix64(np.array([sample], dtype=np.uint64) * _NEXT)
+        key ^= key >> _HALF
+
+        def fold(x: np.ndarray, y: np.ndarray) -> None:
+            np.right_shift(x, _HALF, out=y)
+            x ^= y
+
+        def product(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+            both = self.both[: 2 * len(x)]
+            np.copyto(both, x.view(np.int32), casting="same_kind")
+            both += np.float32(2.0**31)
+            return np.multiply(both[0::2], both[1::2], out=out)
+
+        found = []
+        with np.errstate(over="ignore"):
+            for lo in range(0, len(self.folded), BLOCK):
+                n = min(BLOCK, len(self.folded) - lo)
+                x, y, low = self.x[:n], self.y[:n], self.low[:n]
+                # Two folds in a row are none, so two scrambles multiply by the square.
+                np.bitwise_xor(self.folded[lo : lo + n], key, out=x)
+                x *= _TWICE
+                fold(x, y)
+                p = product(x, self.p[:n])
+                x += _NEXT
+                fold(x, y)
+                x *= _SHORT
+                fold(x, y)
+                q = product(x, self.q[:n])
+                q *= np.float32(2.0**-64)
+                right = np.add(q, np.float32(1.0), out=self.sum[:n])
+                right *= self.limits[lo : lo + n]
+                np.subtract(np.float32(1.0), q, out=q)
+                p *= q
+                found.append(np.flatnonzero(np.less(p, right, out=low)) + lo)
+        return np.concatenate(found)
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``starts`` on, as many as ``counts`` says, one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
 def weighted_signatures(terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """A row of ``samples`` 16-bit numbers per bag (from each of ``starts`` on, one entry more than bags); zeros for an
     empty bag. Weights are positive numbers, whole or not. What is equal in term and weight is drawn once for all bags."""
@@ -100,16 +169,34 @@ def weighted_signatures(terms: np.ndarray, weights: np.ndarray, starts: np.ndarr
     if not len(full):
         return out
     with np.errstate(over="ignore"):
-        key = mix64(terms + mix64(weights.view(np.uint64)))
-    _, at, where = np.unique(key, return_index=True, return_inverse=True)
-    # By weight, then by where a term comes first, so that a bag reads neighbouring ranks.
-    order = np.lexsort((at, np.abs(np.log(weights[at]))))
+        where, distinct = pd.factorize(mix64(terms + mix64(weights.view(np.uint64))))
+    at = np.empty(len(distinct), dtype=np.intp)
+    at[where[::-1]] = np.arange(len(where))[::-1]
+    # Those that weigh 1 first, else by where a term comes first, so that a bag reads neighbouring ranks.
+    order = np.argsort(weights[at] != 1.0, kind="stable")
     place = np.empty(len(order), dtype=np.intp)
     place[order] = np.arange(len(order))
-    where, terms, log_weights = place[where], terms[at[order]], np.log(weights[at[order]])
-    first, single = np.asarray(starts)[full], int(np.count_nonzero(log_weights == 0.0))
+    first, sizes = np.asarray(starts)[full], np.diff(starts)[full]
+    limit = LEAST / np.add.reduceat(weights, first)
+    where, terms, weights = place[where], terms[at[order]], weights[at[order]]
+    log_weights, single = np.log(weights), int(np.count_nonzero(weights == 1.0))
+    # The bags of each term, and the largest limit among them.
+    by_term = np.argsort(where, kind="stable")
+    bags = np.repeat(np.arange(len(full)), sizes)[by_term]
+    uses = np.bincount(where, minlength=len(terms))
+    begins = np.cumsum(uses) - uses
+    low_ranks = LowRanks(terms, np.maximum.reduceat(limit[bags], begins) * weights)
+    log_limit = np.log(limit)
     for sample in range(samples):
-        low = np.minimum.reduceat(sample_ranks(terms, log_weights, sample, single).take(where), first)
+        some = low_ranks.find(sample)
+        ranks = sample_ranks(terms[some], log_weights[some], sample, int(np.searchsorted(some, single)))
+        low = np.full(len(full), np.inf)
+        np.minimum.at(low, bags[_ranges(begins[some], uses[some])], np.repeat(ranks, uses[some]))
+        open_ = np.flatnonzero(~(low < log_limit))
+        if len(open_):
+            every = where[_ranges(first[open_], sizes[open_])]
+            ranks = sample_ranks(terms[every], log_weights[every], sample)
+            low[open_] = np.minimum.reduceat(ranks, np.cumsum(sizes[open_]) - sizes[open_])
         out[full, sample] = mix64(low.view(np.uint64)) >> np.uint64(48)
     return out
 
@@ -128,7 +215,7 @@ def likeness(a: np.ndarray, b: np.ndarray, a_empty: bool, b_empty: bool) -> floa
 
 
 def _has_words(text: str) -> bool:
-    return bool(text.encode("utf-8", "surrogatepass").split())
+    return bool(text.encode("utf-8", "surrogatepass").strip())
 
 
 def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
