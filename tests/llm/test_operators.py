@@ -396,6 +396,28 @@ def test_fingerprints_of_real_weights():
     assert np.abs(np.corrcoef([r, log_c, u]) - np.eye(3)).max() < 0.01
 
 
+def test_tasks_hold_parts_of_a_batch(spark, monkeypatch):
+    """Hashes and features are made of bounded parts, whatever a batch or shard holds, with the same results."""
+    sizes = []
+
+    def watched(make):
+        return lambda encoded, *more: sizes.append((len(encoded), sum(map(len, encoded)))) or make(encoded, *more)
+
+    texts = [" ".join(words(400, i)) for i in range(1500)] + ["", None]
+    lexicon = toxicity.Lexicon.build(np.array([5], dtype=np.uint64), np.array([1.0]))
+    costs = toxicity.trigram_costs(np.ones(64**3, dtype=np.int64))
+    whole = toxicity.text_inputs(toxicity._restored_batch(texts, costs), lexicon)
+    pieces = [t.encode() for t in texts[:-1]]
+    hashes, at = substrings.word_hashes(pieces)
+    monkeypatch.setattr(toxicity, "text_inputs", watched(toxicity.text_inputs))
+    monkeypatch.setattr(substrings, "word_hashes", watched(substrings.word_hashes))
+    assert (toxicity._inputs_of(texts, costs, lexicon) == whole).all()
+    got = substrings._hashed(pieces)
+    assert len(got) == len(pieces) and (np.concatenate(got) == hashes).all() and [len(g) for g in got] == np.diff(at).tolist()
+    assert len(sizes) > 4 and max(b for _, b in sizes) <= 1 << 20
+    assert substrings._hashed([]) == []
+
+
 def test_fingerprints_draw_few_terms(monkeypatch):
     """Most terms are left out by the bound of their rank, and the samples are those of all ranks drawn."""
     rng = np.random.default_rng(6)

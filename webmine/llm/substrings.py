@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import id_or_last
-from .words import chunks, mix64, window_hashes, word_hashes
+from .words import byte_groups, chunks, mix64, window_hashes, word_hashes
 
 WINDOW = 13
 ANCHOR = 4
@@ -37,8 +38,10 @@ ANCHOR = 4
 ANCHOR_BITS = 48
 #: The pieces of an anchor with more occurrences than this are dealt out window by window.
 HOT_TEXTS = 200_000
-#: Anchors in a shard, about.
-SHARD_ANCHORS = 20_000
+#: Occurrences of anchors in a shard, about. What a shard takes of a worker's memory grows with its words, not its anchors.
+SHARD_ROWS = 30_000
+#: Bytes of pieces that are hashed at a time; hashing takes some 40 bytes for each.
+HASH_BYTES = 1 << 20
 _SALT = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -279,6 +282,11 @@ def _cut(marked: DataFrame, window: int, with_words: bool) -> DataFrame:
             of = {n: part[n].to_numpy(np.int64)[text] for n in ("first", "t")}
             yield pd.DataFrame({"anchor": anchor, "piece": piece, **of, "start": start - at[text]})[names]
 
+    def rows_of(known: dict[tuple[int, int], list]) -> Iterator[pd.DataFrame]:
+        rows = iter(known.items())
+        while part := [(*k, *v) for k, v in islice(rows, 10_000)]:
+            yield pd.DataFrame(part, columns=names)
+
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple[int, int], list] = {}
         for part, texts, _, text, anchor, piece, start, end in parts(batches):
@@ -291,17 +299,21 @@ def _cut(marked: DataFrame, window: int, with_words: bool) -> DataFrame:
                 else:
                     row[0], row[1] = min(row[0], i), max(row[1], i)
             if len(known) > 100_000:
-                yield pd.DataFrame([(*k, *v) for k, v in known.items()], columns=names)
+                yield from rows_of(known)
                 known = {}
-        yield pd.DataFrame([(*k, *v) for k, v in known.items()], columns=names)
+        yield from rows_of(known)
 
     schema = "anchor long, piece long, first long, " + ("last long, words binary" if with_words else "t long, start long")
     return marked.select("first", "anchors", "packed", "t").mapInPandas(distinct if with_words else occurrences, schema)
 
 
 def _hashed(pieces) -> list[np.ndarray]:
-    words, at = word_hashes(list(pieces))
-    return np.split(words, at[1:-1])
+    """The word hashes of each piece, of some pieces at a time."""
+    out = []
+    for part in byte_groups(pieces, HASH_BYTES):
+        words, at = word_hashes(part)
+        out += np.split(words, at[1:-1])
+    return out
 
 
 def _searched(pieces: DataFrame, window: int, shards: int) -> DataFrame:
@@ -349,7 +361,7 @@ def piece_owners(pieces: DataFrame, hot: DataFrame, window: int, shards: int) ->
     # Equal windows are searched once, under their own hash, and given back to all their places.
     one = single.groupBy("route", "words").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     one = one.select("route", F.col("route").alias("anchor"), F.xxhash64("words").alias("piece"), "first", "last", "words")
-    back = _searched(one, window, shards).select("route", F.col("piece").alias("w"), "owners")
+    back = _searched(one, window, single.count() // SHARD_ROWS + 1).select("route", F.col("piece").alias("w"), "owners")
     places = single.select("route", F.xxhash64("words").alias("w"), "anchor", "piece", "at").distinct()
     cut = places.join(back, ["route", "w"]).select("anchor", "piece", "at", "owners")
     return found.select("anchor", "piece", F.lit(0).alias("at"), "owners").unionByName(cut)
@@ -360,7 +372,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_texts: int = HOT
     smallest one that has the text (``marked_texts`` has seen that no other text shares its ``t``)."""
     shared = shared_anchors(docs, window)
     anchors = cut_lineage(shared.groupBy("anchor").agg(F.any_value("n").alias("n")))
-    shards = anchors.count() // SHARD_ANCHORS + 1
+    shards = (anchors.agg(F.sum("n")).first()[0] or 0) // SHARD_ROWS + 1
     marked = marked_texts(docs, shared)
     hot = anchors.where(F.col("n") > hot_texts).select("anchor")
     owners = piece_owners(_cut(marked, window, True), hot, window, shards)

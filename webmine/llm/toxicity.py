@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .words import chunks, mix64
+from .words import byte_groups, mix64
 
 #: At most so many labelled texts fit the lexicon and the regression (the first by md5 of the id).
 TRAINING_ROWS = 20_000
@@ -49,6 +49,8 @@ SPACERS = " .-_~,/\\'\"`^"
 LEET_COST, DROP_OF_PAIR, DROP_OF_RUN, KEEP_TRIPLE = 0.5, 4.0, 1.0, 4.0
 #: Lengths (bytes) of the word beginnings that are features.
 STEMS = (4, 5, 6)
+#: Texts that are restored at a time, and bytes whose features are made at a time; these take some 60 bytes for each.
+SLICE, SLICE_BYTES = 512, 1 << 19
 _STEM_SALT = np.uint64(0x51ED270B7A1F4E6D)
 
 
@@ -342,6 +344,17 @@ def _restored_batch(texts: list[str | None], costs: np.ndarray) -> list[bytes]:
     return [restored(t if isinstance(t, str) else "", decode, parts_of).encode("utf-8", "surrogatepass") for t in texts]
 
 
+def _restored_parts(texts: list[str | None], costs: np.ndarray) -> Iterator[list[bytes]]:
+    """The restored texts as UTF-8, some at a time, so that a task never holds the features of a whole batch."""
+    for lo in range(0, len(texts), SLICE):
+        yield from byte_groups(_restored_batch(texts[lo : lo + SLICE], costs), SLICE_BYTES)
+
+
+def _inputs_of(texts: list[str | None], costs: np.ndarray, lexicon: Lexicon) -> np.ndarray:
+    """What the regression sees of each text."""
+    return np.concatenate([np.zeros((0, 7)), *(text_inputs(part, lexicon) for part in _restored_parts(texts, costs))])
+
+
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by Newton steps; returns (coefficients, intercept)."""
     a = np.column_stack([x, np.ones(len(x))])
@@ -385,7 +398,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for toxic, part in batch.groupby("toxic"):
-                    for _, encoded in chunks([b.decode("utf-8", "surrogatepass") for b in _restored_batch(part["text"].tolist(), costs)]):
+                    for encoded in _restored_parts(part["text"].tolist(), costs):
                         features, first = word_features(encoded)
                         owner = np.repeat(np.arange(len(encoded)), np.diff(first))
                         kept = features != 0
@@ -416,7 +429,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
 
     def inputs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = text_inputs(_restored_batch(batch["text"].tolist(), costs), lexicon)
+            x = _inputs_of(batch["text"].tolist(), costs, lexicon)
             yield pd.DataFrame({"x": list(x), "toxic": batch["toxic"].to_numpy()})
 
     seen = sample.mapInPandas(inputs, "x array<double>, toxic boolean").toPandas()
@@ -433,9 +446,8 @@ def toxicity_score(model: ToxicityModel):
     def score(texts: pd.Series) -> pd.Series:
         out = np.zeros(len(texts))
         values = texts.tolist()
-        for lo in range(0, len(values), 512):
-            part = _restored_batch(values[lo : lo + 512], model.costs)
-            out[lo : lo + 512] = model.scores(text_inputs(part, model.lexicon))
+        for lo in range(0, len(values), SLICE):
+            out[lo : lo + SLICE] = model.scores(_inputs_of(values[lo : lo + SLICE], model.costs, model.lexicon))
         return pd.Series(out)
 
     return score
