@@ -396,6 +396,21 @@ def test_fingerprints_of_real_weights():
     assert np.abs(np.corrcoef([r, log_c, u]) - np.eye(3)).max() < 0.01
 
 
+def test_components_in_few_parts(spark, monkeypatch):
+    """A chain, a hub and a ring, in as many parts as the links need."""
+    from webmine.llm import graph
+
+    rows = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(501, 560)] + [(i, (i + 7) % 20) for i in range(20)]
+    links = spark.createDataFrame(rows, "a long, b long").repartition(8)
+    want = {i: 100 for i in range(100, 141)} | {i: 500 for i in range(500, 560)} | dict.fromkeys(range(20), 0)
+    got = graph.components(links)
+    assert {r["node"]: r["root"] for r in got.collect()} == want and got.count() == len(want)
+    assert got.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(graph, "PART_LINKS", 50)
+    assert {r["node"]: r["root"] for r in graph.components(links).collect()} == want
+    assert graph.components(links.limit(0)).count() == 0
+
+
 def test_tasks_hold_parts_of_a_batch(spark, monkeypatch):
     """Hashes and features are made of bounded parts, whatever a batch or shard holds, with the same results."""
     sizes = []
