@@ -453,6 +453,26 @@ def test_fingerprints_draw_few_terms(monkeypatch):
     assert not one[0].any() and one[1].any()
 
 
+def test_fingerprints_draw_fewer_terms_of_like_bags(monkeypatch):
+    """Bags as long as usual texts: a bag is seldom drawn whole, and no term with a rank below its limit is left out."""
+    rng = np.random.default_rng(8)
+    every = rng.integers(0, 2**63, 40_000).astype(np.uint64)
+    bags = [rng.choice(every, 700, replace=False) for _ in range(100)]
+    starts, drawn = np.arange(101) * 700, []
+    draws = fingerprints.gamma_draws
+    monkeypatch.setattr(fingerprints, "gamma_draws", lambda terms, sample: drawn.append(len(terms)) or draws(terms, sample))
+    got = fingerprints.weighted_signatures(np.concatenate(bags), np.ones(70_000), starts, 64)
+    assert sum(drawn) < 0.03 * 64 * 70_000
+    for sample in (0, 31, 63):
+        low = np.array([fingerprints.sample_ranks(t, np.zeros(700), sample).min() for t in bags])
+        assert (got[:, sample] == fingerprints.mix64(low.view(np.uint64)) >> np.uint64(48)).all()
+    terms = rng.integers(0, 2**63, 300_000).astype(np.uint64)
+    for weight, limit in ((1.0, 1e-5), (1.0, 0.01), (3.0, 0.05), (1.0, 0.7), (0.2, 3.0)):
+        found = fingerprints.LowRanks(terms, np.full(len(terms), limit * weight)).find(9)
+        ranks = fingerprints.sample_ranks(terms, np.full(len(terms), np.log(weight)), 9)
+        assert np.isin(np.flatnonzero(ranks < np.log(limit)), found).all()
+
+
 def test_fingerprints_of_long_texts():
     rng = np.random.default_rng(4)
     long = [" ".join(map(str, rng.integers(0, 2**60, 100_000).tolist())) for _ in range(2)]

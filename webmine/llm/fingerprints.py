@@ -26,13 +26,18 @@ from pyspark.sql import functions as F
 from .words import chunks, mix64, window_hashes, word_hashes
 
 SAMPLES = 128
-#: Terms whose numbers are drawn at a time; their arrays stay in a core's cache.
-BLOCK = 1 << 14
+#: Terms whose numbers are drawn at a time: so many that calls cost little beside the work, in arrays a cache holds.
+BLOCK = 1 << 16
+#: Texts whose terms are drawn together, in bytes; what they share is drawn once.
+TEXT_BYTES = 1 << 22
 #: A bag's smallest rank is looked for below ln(LEAST / weight of the bag) first.
-LEAST = 4.0
+LEAST = 6.0
 _PAIR, _SHORT, _NEXT = np.uint64(0xA0761D6478BD642F), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _HALF, _TURN = np.uint64(32), np.uint64(17)
 _TWICE = np.uint64(int(_SHORT) ** 2 % 2**64)
+#: Half of the 32-bit numbers, and a little more than the errors of 32-bit floats, so that no uniform is too small.
+_MIDDLE = np.float32(2.0**31 + 2.0**8)
+_UNIT = np.float32(2.0**-64)
 
 
 def weighted_terms(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,53 +110,55 @@ class LowRanks:
     def __init__(self, terms: np.ndarray, limits: np.ndarray) -> None:
         self.folded = terms ^ (terms >> _HALF)
         # The bound is made of 32-bit floats, whose errors are far below this margin.
-        self.limits = ((limits * 1.0001 + 1e-6) * 2.0**63).astype(np.float32)
+        self.quarters = ((limits * 1.0001 + 2e-5) * 2.0**62).astype(np.float32)
         size = min(len(terms), BLOCK)
         self.x, self.y = np.empty(size, dtype=np.uint64), np.empty(size, dtype=np.uint64)
         self.both = np.empty(2 * size, dtype=np.float32)
-        self.p, self.q, self.sum = (np.empty(size, dtype=np.float32) for _ in range(3))
+        self.p, self.q = np.empty(size, dtype=np.float32), np.empty(size, dtype=np.float32)
         self.low = np.empty(size, dtype=bool)
 
     def find(self, sample: int) -> np.ndarray:
         """Places of such terms in ``sample``, ascending.
 
         With p = exp(-r) and q = exp(-c), each a product of two uniforms of ``gamma_draws``, the rank of a term of weight
-        w is at least ln c - r - ln w, and c at least 2 * (1 - q) / (1 + q); a limit is given times w.
+        w is at least ln c - r - ln w; a limit is given times w. With s the root of q, c is at least 4 * (1 - s) / (1 + s),
+        so p * (1 - s) must be below a quarter of the limit times 1 + s, here as p - quarter < s * (p + quarter).
         """
         key = mix64(np.array([sample], dtype=np.uint64) * _NEXT)
         key ^= key >> _HALF
 
         def fold(x: np.ndarray, y: np.ndarray) -> None:
-            np.right_shift(x, _HALF, out=y)
-            x ^= y
+            np.right_shift(x, _HALF, y)
+            np.bitwise_xor(x, y, x)
 
-        def product(x: np.ndarray, out: np.ndarray) -> np.ndarray:
-            both = self.both[: 2 * len(x)]
+        def product(x: np.ndarray, both: np.ndarray, out: np.ndarray) -> None:
             np.copyto(both, x.view(np.int32), casting="same_kind")
-            both += np.float32(2.0**31)
-            return np.multiply(both[0::2], both[1::2], out=out)
+            np.add(both, _MIDDLE, both)
+            np.multiply(both[0::2], both[1::2], out)
 
         found = []
         with np.errstate(over="ignore"):
             for lo in range(0, len(self.folded), BLOCK):
                 n = min(BLOCK, len(self.folded) - lo)
-                x, y, low = self.x[:n], self.y[:n], self.low[:n]
+                x, y, p, q, low = self.x[:n], self.y[:n], self.p[:n], self.q[:n], self.low[:n]
                 # Two folds in a row are none, so two scrambles multiply by the square.
-                np.bitwise_xor(self.folded[lo : lo + n], key, out=x)
-                x *= _TWICE
+                np.bitwise_xor(self.folded[lo : lo + n], key, x)
+                np.multiply(x, _TWICE, x)
                 fold(x, y)
-                p = product(x, self.p[:n])
-                x += _NEXT
+                product(x, self.both[: 2 * n], p)
+                np.add(x, _NEXT, x)
                 fold(x, y)
-                x *= _SHORT
+                np.multiply(x, _SHORT, x)
                 fold(x, y)
-                q = product(x, self.q[:n])
-                q *= np.float32(2.0**-64)
-                right = np.add(q, np.float32(1.0), out=self.sum[:n])
-                right *= self.limits[lo : lo + n]
-                np.subtract(np.float32(1.0), q, out=q)
-                p *= q
-                found.append(np.flatnonzero(np.less(p, right, out=low)) + lo)
+                product(x, self.both[: 2 * n], q)
+                np.multiply(q, _UNIT, q)
+                s = np.sqrt(q, q)
+                quarter = self.quarters[lo : lo + n]
+                sums = np.add(p, quarter, self.both[:n])
+                np.multiply(s, sums, s)
+                np.subtract(p, quarter, p)
+                np.less(p, s, low)
+                found.append(np.flatnonzero(low) + lo)
         return np.concatenate(found)
 
 
@@ -181,15 +188,18 @@ def weighted_signatures(terms: np.ndarray, weights: np.ndarray, starts: np.ndarr
     where, terms, weights = place[where], terms[at[order]], weights[at[order]]
     log_weights, single = np.log(weights), int(np.count_nonzero(weights == 1.0))
     # The bags of each term, and the largest limit among them.
-    by_term = np.argsort(where, kind="stable")
-    bags = np.repeat(np.arange(len(full)), sizes)[by_term]
+    bags = np.sort(where << 32 | np.repeat(np.arange(len(full)), sizes)) & 0xFFFFFFFF
     uses = np.bincount(where, minlength=len(terms))
     begins = np.cumsum(uses) - uses
     low_ranks = LowRanks(terms, np.maximum.reduceat(limit[bags], begins) * weights)
     log_limit = np.log(limit)
+    useful = np.maximum.reduceat(log_limit[bags], begins)
     for sample in range(samples):
         some = low_ranks.find(sample)
         ranks = sample_ranks(terms[some], log_weights[some], sample, int(np.searchsorted(some, single)))
+        # The others settle no bag.
+        kept = np.flatnonzero(ranks < useful[some])
+        some, ranks = some[kept], ranks[kept]
         low = np.full(len(full), np.inf)
         np.minimum.at(low, bags[_ranges(begins[some], uses[some])], np.repeat(ranks, uses[some]))
         open_ = np.flatnonzero(~(low < log_limit))
@@ -204,7 +214,7 @@ def weighted_signatures(terms: np.ndarray, weights: np.ndarray, starts: np.ndarr
 def signatures(texts: list[str], samples: int = SAMPLES) -> np.ndarray:
     """A row of ``samples`` 16-bit numbers per text; zeros for a text without words."""
     out = np.zeros((len(texts), samples), dtype=np.uint16)
-    for base, encoded in chunks(texts):
+    for base, encoded in chunks(texts, limit=TEXT_BYTES):
         out[base : base + len(encoded)] = weighted_signatures(*weighted_terms(encoded), samples)
     return out
 
