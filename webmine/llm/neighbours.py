@@ -5,6 +5,9 @@ equi-join on the block number, for a stated query set against all rows). In such
 product of int8 codes. Each code carries the norm of its rounding error, which bounds the error of the product, so a
 vector is dropped only if its upper bound lies below the k-th best lower bound of the tile. What survives is computed
 again in double precision from the original vectors, and the tiles' best are merged by heaps. The result is exact.
+
+Tiles are made by a sort-merge join: Spark takes the queries, which it repeats for each block, for as small as they were
+before, and would broadcast them through the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import merged
 
 #: Vectors in a block, about: a tile's products take BLOCK * BLOCK numbers of memory.
 BLOCK = 2048
@@ -113,7 +117,7 @@ def nearest_neighbours(
     data = _packed(rows, n_blocks, "__block")
     ask = _packed(asked, n_asked, "__part").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
     ask = ask.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    tiles = ask.join(data, ["__dim", "__block"])
+    tiles = ask.join(merged(data), ["__dim", "__block"])
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -124,7 +128,7 @@ def nearest_neighbours(
                     np.frombuffer(t.ids, "<i8"), np.frombuffer(t.vectors, "<f8").reshape(-1, d), k)]
                 yield pd.DataFrame(got, columns=["query_id", "ids", "scores"])
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = [list(zip((-s).tolist(), ids.tolist(), strict=True)) for ids, s in zip(pdf["ids"], pdf["scores"], strict=True)]
         top = [x for x, _ in zip(heapq.merge(*lists), range(k), strict=False)]
         return pd.DataFrame({
@@ -135,4 +139,4 @@ def nearest_neighbours(
     found = tiles.select(F.col("__dim").alias("dim"), "q_ids", "q_vectors", "ids", "vectors").mapInPandas(
         best, "query_id long, ids array<long>, scores array<double>"
     )
-    return found.groupBy("query_id").applyInPandas(merged, "query_id long, rank int, vec_id long, score double")
+    return found.groupBy("query_id").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
