@@ -54,3 +54,5 @@ def test_near_duplicates(spark, no_broadcasts, monkeypatch, rows_over):
                 root = [low if r == high else r for r in root]
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
     assert got == dict(enumerate([*root, root[5], 41])) and 5 <= len(set(root)) < 40
+    kept = [r.doc_id for r in minhash.drop_near_duplicates(docs).collect()]
+    assert sorted(kept) == sorted({*root, 41})
